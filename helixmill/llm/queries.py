@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import bpe, mixing, records, token_counts
+from helixmill.llm import bpe, compression, mixing, pii, records, rules, simhash, token_counts
 from helixmill.llm.common import table
 
 
@@ -14,10 +14,26 @@ def _over_documents(function: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
     return lambda spark, sf_dir: function(table(spark, sf_dir, "documents"))
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5: scores of all documents by a model of the labelled ones outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return compression.score(docs, compression.train(docs, table(spark, sf_dir, "labels")))
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7: statistics and verdicts of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return rules.report(docs, rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": _over_documents(bpe.digests),
     "op3_source_mixing": _over_documents(mixing.taken),
     "op4_token_records": _over_documents(records.digests),
+    "op5_compression_quality": quality,
+    "op6_personal_data": _over_documents(pii.report),
+    "op7_quality_rules": quality_rules,
+    "op9_fingerprints": _over_documents(simhash.compare_edited),
     "op10_token_counts": _over_documents(token_counts.count_tokens),
 }
 
