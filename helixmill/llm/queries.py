@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import bpe, compression, mixing, pii, records, rules, simhash, token_counts
+from helixmill.llm import bpe, compression, minhash, mixing, pii, recompression, records, rules, simhash, token_counts
 from helixmill.llm.common import table
 
 
@@ -27,12 +27,14 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": _over_documents(minhash.near_duplicates),
     "op2_byte_bpe": _over_documents(bpe.digests),
     "op3_source_mixing": _over_documents(mixing.taken),
     "op4_token_records": _over_documents(records.digests),
     "op5_compression_quality": quality,
     "op6_personal_data": _over_documents(pii.report),
     "op7_quality_rules": quality_rules,
+    "op8_repeated_passages": _over_documents(lambda docs: recompression.remove_repeats(docs, texts=False)),
     "op9_fingerprints": _over_documents(simhash.compare_edited),
     "op10_token_counts": _over_documents(token_counts.count_tokens),
 }
