@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm.common import as_text, by_id, steps
-from helixmill.llm.pieces import codec
+from helixmill.llm.pieces import bytes_by_id, codec
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -30,36 +30,43 @@ def _lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """One row per document: doc_id, ids, and with ``offsets`` the code points where each id starts and ends."""
+def encoded_steps(batches: Iterator[pa.RecordBatch], path: str, pattern: str, offsets: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and text to batches of doc_id and ids, and with ``offsets`` starts and ends."""
+    own = codec(path, pattern)
+    for batch in steps(batches):
+        texts = as_text(batch.column("text"))
+        packed = [own.packed(x) for x in texts]
+        out = {"doc_id": batch.column("doc_id"), "ids": _lists(packed)}
+        if offsets:
+            spans = [own.spans(x, np.frombuffer(p, "<u4")) for x, p in zip(texts, packed, strict=True)]
+            for name, at in (("starts", 0), ("ends", 1)):
+                out[name] = pa.array([s[at].astype(np.int32) for s in spans], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_pydict(out)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in steps(batches):
-            texts = as_text(batch.column("text"))
-            packed = [own.packed(x) for x in texts]
-            out = {"doc_id": batch.column("doc_id"), "ids": _lists(packed)}
-            if offsets:
-                spans = [own.spans(x, np.frombuffer(p, "<u4")) for x, p in zip(texts, packed, strict=True)]
-                for name, at in (("starts", 0), ("ends", 1)):
-                    out[name] = pa.array([s[at].astype(np.int32) for s in spans], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict(out)
+def decoded_steps(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Adds ``decoded``, the bytes of ``ids``; null ids decode to no bytes."""
+    table = bytes_by_id(path)
+    for batch in batches:
+        out = [b"".join([table.get(i, b"") for i in x or ()]) for x in batch.column("ids").to_pylist()]
+        yield batch.append_column("decoded", pa.array(out, pa.binary()))
 
-    return by_id(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
+
+def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+    """One row per document: doc_id, ids, and with ``offsets`` the code points where each id starts and ends."""
+    schema = "doc_id bigint, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
+    return by_id(docs, id_col, text_col).mapInArrow(lambda batches: encoded_steps(batches, path, pattern, offsets), schema)
 
 
-def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds ``decoded`` (binary) for the ``ids`` of each row; ``keep`` names the other columns to carry."""
-    kept = encoded.select(*keep, F.col("ids").alias("__ids"))
+def decode(encoded: DataFrame, path: str = RANKS, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """One row per row of ``encoded``: doc_id, ids, decoded (binary)."""
+    kept = encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return kept.mapInArrow(lambda batches: decoded_steps(batches, path), "doc_id bigint, ids array<int>, decoded binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            out = [own.decoded(x or []) for x in batch.column("__ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, "decoded"])
 
-    types = dict(encoded.dtypes)
-    return kept.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "decoded binary"]))
+def round_trip(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode and decode in one Python worker for each task: doc_id, ids, decoded (binary)."""
+    return by_id(docs, id_col, text_col).mapInArrow(lambda batches: decoded_steps(encoded_steps(batches, path, pattern), path), "doc_id bigint, ids array<int>, decoded binary")
 
 
 def decoded_text(decoded: Column) -> Column:
@@ -69,8 +76,9 @@ def decoded_text(decoded: Column) -> Column:
 
 def digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Encode, decode, and digest both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    encoded = encode(docs, path, pattern).select(
-        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256")
+    return round_trip(docs, path, pattern).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    back = decode(encoded, path, pattern, ("doc_id", "n_tokens", "ids_sha256"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

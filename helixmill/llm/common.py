@@ -93,7 +93,7 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 class Memo(dict):
     """A bounded memo of ``compute``: two generations, so that what is in use survives when it fills."""
 
-    def __init__(self, compute: Callable, size: int = 250_000, longest: int = 64) -> None:
+    def __init__(self, compute: Callable, size: int = 120_000, longest: int = 64) -> None:
         super().__init__()
         self.compute, self.size, self.longest, self.old = compute, size, longest, {}
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm.common import Memo, as_text, by_id, steps
-from helixmill.llm.pieces import to_chars
+from helixmill.llm.pieces import MEMO_SIZE, splitter, to_chars
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT = 512
@@ -45,11 +45,11 @@ class MergeCounter:
         for at, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self.rank[vocab[left], vocab[right]] = (at, vocab[left + right])
-        self.find = regex.compile(pattern).findall
+        self.find = splitter(pattern)
         added = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.added = added
         self.cut = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.memo = Memo(self.count_piece)
+        self.memo = Memo(self.count_piece, MEMO_SIZE)
 
     def count_piece(self, piece: str) -> int:
         """Symbols left after all merges of one piece."""
