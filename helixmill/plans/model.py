@@ -1,0 +1,151 @@
+"""Objectives and gradients of the mixture models, as joins and sums.
+
+Entries of X are joined with counts once, so that only observed k-mers stay, and stored in ranges of kmer_id. An
+evaluation broadcasts theta (one number for each isoform, up to ``BROADCAST``), sums by k-mer where the rows already
+are together, and shuffles once, partial sums by isoform. Counts whose k-mer no isoform has are left out, and the rest
+is renormalised; ``dropped`` tells their share.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Isoforms up to which theta is broadcast (16 MB); beyond, it is joined by shuffle.
+BROADCAST = 1_000_000
+
+
+class Evaluator:
+    """X and counts in a form for many evaluations. Isoform ids must be 0 .. n_isoforms - 1."""
+
+    def __init__(self, x: DataFrame, y: DataFrame, n_isoforms: int, partitions: int | None = None) -> None:
+        self.spark, self.n = x.sparkSession, n_isoforms
+        seen = y.where("y > 0").select("kmer_id", F.col("y").cast("double").alias("y"))
+        joined = x.select("kmer_id", "isoform_id", "p").join(seen, "kmer_id")
+        parts = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.entries = joined.repartition(parts, "kmer_id").persist()
+        kept = self.entries.select("kmer_id", "y").distinct().agg(F.sum("y")).first()[0] or 0.0
+        every = y.agg(F.sum("y")).first()[0] or 0
+        self.total = float(kept)
+        self.dropped = 1.0 - self.total / float(every) if every else 0.0
+
+    def close(self) -> None:
+        """Releases the stored entries."""
+        self.entries.unpersist()
+
+    def vector(self, values: np.ndarray) -> DataFrame:
+        """A driver vector as a table: isoform_id, value."""
+        import pandas as pd
+
+        table = self.spark.createDataFrame(pd.DataFrame({"isoform_id": np.arange(self.n), "value": values}), "isoform_id bigint, value double")
+        return F.broadcast(table) if self.n <= BROADCAST else table
+
+    def product(self, theta: np.ndarray) -> DataFrame:
+        """Entries with s = (X theta) at their k-mer."""
+        joined = self.entries.join(self.vector(theta), "isoform_id")
+        sums = joined.groupBy("kmer_id").agg(F.sum(F.col("p") * F.col("value")).alias("s"))
+        return self.entries.join(sums, "kmer_id")
+
+    def likelihood(self, theta: np.ndarray) -> float:
+        """Sum of y log(X theta)."""
+        sums = self.entries.join(self.vector(theta), "isoform_id").groupBy("kmer_id").agg(F.first("y").alias("y"), F.sum(F.col("p") * F.col("value")).alias("s"))
+        return float(sums.agg(F.sum(F.col("y") * F.log("s"))).first()[0] or 0.0)
+
+    def likelihood_and_pull(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sum of y log(X theta), and X'(y / X theta), in one job; a k-mer's part of the sum rides with one of its entries."""
+        rows = self.product(theta)
+        first = F.col("isoform_id") == F.col("least")
+        least = self.entries.groupBy("kmer_id").agg(F.min("isoform_id").alias("least"))
+        rows = rows.join(least, "kmer_id")
+        summed = rows.groupBy("isoform_id").agg(F.sum(F.col("p") * F.col("y") / F.col("s")).alias("g"), F.sum(F.when(first, F.col("y") * F.log("s"))).alias("f")).toPandas()
+        pull = np.zeros(self.n)
+        pull[summed["isoform_id"].to_numpy(np.int64)] = summed["g"].to_numpy()
+        return float(np.nansum(summed["f"].to_numpy(float))), pull
+
+    def counts_pull(self) -> np.ndarray:
+        """X' y."""
+        summed = self.entries.groupBy("isoform_id").agg(F.sum(F.col("p") * F.col("y")).alias("g")).toPandas()
+        out = np.zeros(self.n)
+        out[summed["isoform_id"].to_numpy(np.int64)] = summed["g"].to_numpy()
+        return out
+
+
+class SimplexModel:
+    """theta on the simplex, counts normalised, and a prior on theta / length of strength beta - 1."""
+
+    def __init__(self, x: DataFrame, y: DataFrame, lengths: np.ndarray, beta: float = 1.0, partitions: int | None = None) -> None:
+        self.lengths, self.beta = np.asarray(lengths, float), float(beta)
+        self.data = Evaluator(x, y, len(self.lengths), partitions)
+
+    @property
+    def size(self) -> int:
+        """Number of isoforms."""
+        return self.data.n
+
+    def _prior(self, theta: np.ndarray) -> float:
+        if self.beta == 1.0:
+            return 0.0
+        on = theta > 0
+        scaled = theta[on] / self.lengths[on]
+        return (self.beta - 1) * (np.log(scaled).sum() - np.log(scaled.sum()))
+
+    def objective(self, theta: np.ndarray) -> float:
+        """Log density."""
+        return self.data.likelihood(theta) / self.data.total + self._prior(theta)
+
+    def objective_and_gradient(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Log density and its gradient."""
+        f, pull = self.data.likelihood_and_pull(theta)
+        g = pull / self.data.total
+        if self.beta != 1.0:
+            on = theta > 0
+            whole = (theta[on] / self.lengths[on]).sum()
+            g[on] += (self.beta - 1) / theta[on] - (self.beta - 1) / (self.lengths[on] * whole)
+        return f / self.data.total + self._prior(theta), g
+
+    def start(self, kind: str = "uniform") -> np.ndarray:
+        """First iterate: uniform, Xy (X'y normalised) or lsq (least squares of X theta = y, made positive)."""
+        if kind == "uniform":
+            return np.full(self.size, 1.0 / self.size)
+        if kind == "Xy":
+            v = self.data.counts_pull()
+            return v / v.sum()
+        if kind == "lsq":
+            from helixmill.plans.solvers import lsqr
+
+            v = lsqr(self.data, iterations=200)
+            positive = v[v > 0]
+            v = np.where(v > 0, v, (positive.min() if len(positive) else 1.0) / 10)
+            return v / v.sum()
+        raise ValueError(f"no such start: {kind}")
+
+
+class SoftmaxModel:
+    """theta = softmax(alpha), raw counts, and a normal prior on alpha."""
+
+    def __init__(self, x: DataFrame, y: DataFrame, n_isoforms: int, beta: float = 1 / 18, partitions: int | None = None) -> None:
+        self.beta = float(beta)
+        self.data = Evaluator(x, y, n_isoforms, partitions)
+
+    @property
+    def size(self) -> int:
+        """Number of isoforms."""
+        return self.data.n
+
+    @staticmethod
+    def softmax(alpha: np.ndarray) -> np.ndarray:
+        """Shifted by the maximum."""
+        e = np.exp(alpha - alpha.max())
+        return e / e.sum()
+
+    def objective_and_gradient(self, alpha: np.ndarray) -> tuple[float, np.ndarray]:
+        """Log density and its gradient at ``alpha``."""
+        sigma = self.softmax(alpha)
+        f, pull = self.data.likelihood_and_pull(sigma)
+        return f - self.beta * float(alpha @ alpha), pull * sigma - self.data.total * sigma - 2 * self.beta * alpha
+
+
+def make_model(x: DataFrame, y: DataFrame, lengths: np.ndarray, model_type: str = "simplex", beta: float = 1.0) -> SimplexModel | SoftmaxModel:
+    """The softmax model by that name, else the simplex model."""
+    return SoftmaxModel(x, y, len(lengths), beta) if model_type == "softmax" else SimplexModel(x, y, lengths, beta)
