@@ -75,7 +75,7 @@ def read_quant(spark: SparkSession, path: str) -> DataFrame:
 def read_list(spark: SparkSession, path: str, suffix: str = ".fa") -> DataFrame:
     """A list of ids, one a line, without their suffix."""
     ids = F.trim("value", F.lit(BLANKS))
-    bare = F.when(ids.endswith(suffix), F.expr(f"left(__v, length(__v) - {len(suffix)})")).otherwise(F.col("__v"))
+    bare = F.when(F.col("__v").endswith(suffix), F.expr(f"left(__v, length(__v) - {len(suffix)})")).otherwise(F.col("__v"))
     return spark.read.text(path).select(ids.alias("__v")).select(bare.alias("id")).where("id != ''")
 
 
