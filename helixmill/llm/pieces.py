@@ -106,16 +106,19 @@ class Codec:
             self.tokenizer = Tokenizer(models.BPE(vocab={to_chars(t): r for t, r in ranks.items()}, merges=merges_of(ranks), ignore_merges=True))
             self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             self.special = ()
+        self.model = self.tokenizer.model
         self.bytes_of = bytes_by_id(path)
         self.memo = Memo(self._piece, MEMO_SIZE)
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        """A piece goes to the library's model in characters of the byte table, past its splitting and offsets."""
+        chars = piece.encode("utf-8").decode("latin-1").translate(byte_table())
+        return array("I", [token.id for token in self.model.tokenize(chars)]).tobytes()
 
     def packed(self, text: str) -> bytes:
         """Ids of a whole text; a text that holds an added token goes to the library whole."""
         if any(x in text for x in self.special):
-            return self._piece(text)
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.memo.__getitem__, self.find(text)))
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
