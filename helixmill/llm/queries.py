@@ -39,7 +39,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": _over_documents(token_counts.count_tokens),
 }
 
+WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_duplicates": f"""
+WITH RECURSIVE listed AS (SELECT doc_id, {WORDS.format(text=LOWER)} AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS n FROM listed),
+shingles AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, i, n, concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER (PARTITION BY doc_id ORDER BY i)" for k in range(1, 5))}) AS shingle FROM words)
+  WHERE i <= n - 5 OR (n < 5 AND i = 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * met.n >= 75 * (x.n + y.n - met.n)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN least l USING (doc_id)
+""",
+    "op8_repeated_passages": f"""
+WITH listed AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS n FROM listed),
+windows AS (
+  SELECT doc_id, i, n, md5(concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER (PARTITION BY doc_id ORDER BY i)" for k in range(1, 20))})) AS k FROM words),
+repeats AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM windows WHERE i <= n - 20) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM repeats),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT l.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM listed l LEFT JOIN kept k USING (doc_id)
+""",
     "op3_source_mixing": """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
