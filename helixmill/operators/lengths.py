@@ -10,9 +10,11 @@ from helixmill.operators.linalg import share
 
 def adjust(psi: DataFrame, lengths: DataFrame) -> DataFrame:
     """theta = psi * length, normalised: isoform_id, value. ``lengths``: isoform_id, length."""
-    return psi.join(lengths, "isoform_id").select("isoform_id", share(F.col("value") * F.col("length")).alias("value"))
+    both = psi.join(lengths, "isoform_id")
+    return both.select("isoform_id", share(both, F.col("value") * F.col("length")).alias("value"))
 
 
 def adjust_inverse(theta: DataFrame, lengths: DataFrame) -> DataFrame:
     """psi = theta / length, normalised."""
-    return theta.join(lengths, "isoform_id").select("isoform_id", share(F.col("value") / F.col("length")).alias("value"))
+    both = theta.join(lengths, "isoform_id")
+    return both.select("isoform_id", share(both, F.col("value") / F.col("length")).alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,21 +21,25 @@ def observed(x: DataFrame, y: DataFrame) -> DataFrame:
     return x.select("kmer_id", "isoform_id", "p").join(y.where("y > 0").select("kmer_id", "y"), "kmer_id")
 
 
-def normalised(v: DataFrame, value: str = "value") -> DataFrame:
-    """A vector divided by its sum."""
-    return v.withColumn(value, F.col(value) / F.sum(value).over(Window.partitionBy(F.lit(1))))
+def over_all(df: DataFrame, aggregate: Column) -> Column:
+    """An aggregate over all rows of ``df`` as a scalar subquery: partial sums, then one number, no task with all rows."""
+    return df.agg(aggregate.alias("__whole")).scalar()
+
 
+def share(df: DataFrame, values: Column) -> Column:
+    """Values divided by their sum over all rows of ``df``."""
+    return values / over_all(df, F.sum(values))
 
-def share(values: Column) -> Column:
-    """Values divided by their sum over all rows, for short tables."""
-    return values / F.sum(values).over(Window.partitionBy(F.lit(1)))
+
+def normalised(v: DataFrame, value: str = "value") -> DataFrame:
+    """A vector divided by its sum."""
+    return v.withColumn(value, share(v, F.col(value)))
 
 
 def exp_normalised(v: DataFrame, x: str, y: str, out: str = "value") -> DataFrame:
     """x * exp(y - max y), divided by the sum."""
-    whole = Window.partitionBy(F.lit(1))
-    raised = v.withColumn("__e", F.col(x) * F.exp(F.col(y) - F.max(y).over(whole)))
-    return raised.withColumn(out, F.col("__e") / F.sum("__e").over(whole)).drop("__e")
+    raised = v.withColumn("__e", F.col(x) * F.exp(F.col(y) - over_all(v, F.max(y))))
+    return raised.withColumn(out, share(raised, F.col("__e"))).drop("__e")
 
 
 def softmax(v: DataFrame, value: str = "value", out: str = "value") -> DataFrame:
@@ -62,5 +66,5 @@ def dot(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def clipped(v: DataFrame, value: str = "value") -> DataFrame:
     """Values that aren't positive become a tenth of the least positive one."""
-    least = F.min(F.when(F.col(value) > 0, F.col(value))).over(Window.partitionBy(F.lit(1)))
+    least = over_all(v, F.min(F.when(F.col(value) > 0, F.col(value))))
     return v.withColumn(value, F.when(F.col(value) <= 0, least / 10).otherwise(F.col(value)))

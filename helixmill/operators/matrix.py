@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.bases import valid_windows
+from helixmill.operators.order import running
 from helixmill.operators.shred import code_of, reads_of, shred, spread
 
 
@@ -16,17 +17,8 @@ def keep_records(records: DataFrame, min_length: int = 0, header: str | None = "
 
 
 def dense_ids(records: DataFrame, *order: str, name: str = "isoform_id") -> DataFrame:
-    """Adds 0, 1, 2, ... in the order of the columns.
-
-    Sorted once by range; each partition's rows are numbered in place and moved by the row counts of those before it,
-    a table with a row for each partition, so no task orders all rows. The sorted rows are kept while both use them.
-    """
-    numbered = records.orderBy(*order).withColumn("__m", F.monotonically_increasing_id())
-    part, row = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
-    numbered = numbered.withColumn("__p", part).withColumn("__r", row).persist()
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = numbered.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))
-    return numbered.join(sizes, "__p").withColumn(name, F.col("__b") + F.col("__r")).drop("__m", "__p", "__r", "__b")
+    """Adds 0, 1, 2, ... in the order of the columns, which should tell all rows apart."""
+    return running(records.withColumn("__one", F.lit(1).cast("bigint")), list(order), "__one", name).drop("__one")
 
 
 def build_matrix(isoforms: DataFrame, k: int, id_col: str = "isoform_id", sequence: str = "sequence") -> DataFrame:
@@ -78,8 +70,7 @@ def clustered(x: DataFrame) -> DataFrame:
 def row_pointers(x: DataFrame, row: str = "kmer_id") -> DataFrame:
     """For each non-empty row: its number of entries and the place of its first one in row order."""
     sizes = x.groupBy(row).agg(F.count("*").alias("entries"))
-    before = Window.orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(row, "entries", F.coalesce(F.sum("entries").over(before), F.lit(0)).cast("bigint").alias("start"))
+    return running(sizes, [row], "entries", "start").select(row, "entries", F.col("start").cast("bigint").alias("start"))
 
 
 def check_lengths(x: DataFrame, lengths: DataFrame) -> None:

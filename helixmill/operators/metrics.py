@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.operators.linalg import over_all
+
 
 def l1_errors(snapshots: DataFrame, truth: DataFrame) -> DataFrame:
     """iteration, l1: distance of each snapshot (iteration, isoform_id, value) to the truth (isoform_id, value)."""
@@ -30,10 +32,10 @@ def curves(runs: DataFrame, threshold: float | None = None) -> DataFrame:
 
     ``runs``: run, iteration, value.
     """
-    ends = runs.groupBy("run").agg(F.max("iteration").alias("end")).agg(F.min("end").alias("end"))
+    end = over_all(runs.groupBy("run").agg(F.max("iteration").alias("end")), F.min("end"))
     reduced = runs.groupBy("iteration").agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
-    reduced = reduced.join(F.broadcast(ends), F.col("iteration") <= F.col("end")).drop("end")  # ends is one row
+    reduced = reduced.where(F.col("iteration") <= end)
     if threshold is None:
         return reduced
-    first = F.min(F.when(F.col("mean") <= threshold, F.col("iteration"))).over(Window.partitionBy(F.lit(1)))
-    return reduced.withColumn("__f", first).where("__f IS NULL OR iteration <= __f").drop("__f")
+    first = over_all(reduced, F.min(F.when(F.col("mean") <= threshold, F.col("iteration"))))
+    return reduced.where(F.col("iteration") <= F.coalesce(first, F.col("iteration")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.bases import names_in, reads_per_transcript
+from helixmill.operators.linalg import share
 
 
 def clean(records: DataFrame, header: str = "header", sequence: str = "sequence", wanted: str = ", mRNA", least: int = 100) -> DataFrame:
@@ -43,4 +44,4 @@ def planned_reads(records: DataFrame, width: str, fold: str) -> DataFrame:
 def name_shares(headers: DataFrame, header: str = "header") -> DataFrame:
     """Transcript names found in headers: name, n, theta (share of all)."""
     counted = headers.select(F.explode(names_in(F.col(header))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    return counted.withColumn("theta", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return counted.withColumn("theta", share(counted, F.col("n")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.bases import uniform
+from helixmill.operators.linalg import over_all, share
+from helixmill.operators.order import running
 
 #: Cells that the unit interval is cut into, so that the range join is an equi-join on cells.
 CELLS = 1024
@@ -13,9 +15,9 @@ CELLS = 1024
 
 def cumulative(p: DataFrame, order: str = "isoform_id", value: str = "value") -> DataFrame:
     """Adds low and high, the interval of each category; the last one ends at 1 or above."""
-    upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = p.withColumn("high", F.sum(value).over(upto))
-    return summed.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy(order)), F.lit(0.0))).withColumn("high", F.when(F.lead(order).over(Window.orderBy(order)).isNull(), F.greatest(F.col("high"), F.lit(1.0))).otherwise(F.col("high")))
+    summed = running(p, [order], value, "low").withColumn("low", F.col("low").cast("double"))
+    high = F.col("low") + F.col(value)
+    return summed.withColumn("high", F.when(F.col(order) == over_all(p, F.max(order)), F.greatest(high, F.lit(1.0))).otherwise(high))
 
 
 def draw(p: DataFrame, draws: DataFrame, u: str = "u", order: str = "isoform_id") -> DataFrame:
@@ -35,4 +37,4 @@ def bincount(drawn: DataFrame, categories: DataFrame, key: str = "isoform_id") -
     """Draws of each category, 0 where none: key, n, share of all draws."""
     counted = drawn.groupBy(key).agg(F.count("*").alias("n"))
     filled = categories.select(key).join(counted, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-    return filled.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return filled.withColumn("share", share(filled, F.col("n")))

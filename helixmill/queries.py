@@ -354,14 +354,16 @@ def uniform_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """Observed entries, X theta with counts (kmer_id, y, s, total) and the gradient (isoform_id, g) at uniform theta."""
     x, y = x_and_y(spark, sf_dir)
     entries = linalg.observed(x, y)
-    theta = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("isoform_id"), (1.0 / F.count("*").over(Window.partitionBy(F.lit(1)))).alias("value"))
+    docs = read(spark, sf_dir, "documents")
+    theta = docs.select(F.col("doc_id").alias("isoform_id"), (1.0 / linalg.over_all(docs, F.count("*"))).alias("value"))
     return entries, *step_parts(entries, theta)
 
 
 def step_parts(entries: DataFrame, theta: DataFrame) -> tuple[DataFrame, DataFrame]:
     """X theta with counts, and the gradient, at ``theta``."""
     product = linalg.spmv(entries, theta).withColumnRenamed("value", "s")
-    rows = entries.select("kmer_id", "y").distinct().join(product, "kmer_id").withColumn("total", F.sum("y").over(Window.partitionBy(F.lit(1))))
+    seen = entries.select("kmer_id", "y").distinct()
+    rows = seen.join(product, "kmer_id").withColumn("total", linalg.over_all(seen, F.sum("y")))
     gradient = linalg.spmv_t(entries, rows.select("kmer_id", (F.col("y") / F.col("total") / F.col("s")).alias("value"))).withColumnRenamed("value", "g")
     return rows, gradient
 
@@ -379,8 +381,8 @@ def grad_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {UNIFORM} SELECT isoform_id, round(g / (SELECT n FROM t), 9) AS theta FROM g")
 def mg_step_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
-    return uniform_parts(spark, sf_dir)[2].join(F.broadcast(n)).select("isoform_id", F.round(F.col("g") / F.col("n"), 9).alias("theta"))  # n is one row
+    n = linalg.over_all(read(spark, sf_dir, "documents"), F.count("*"))
+    return uniform_parts(spark, sf_dir)[2].select("isoform_id", F.round(F.col("g") / n, 9).alias("theta"))
 
 
 @query(f"""WITH {UNIFORM}, t1 AS (SELECT isoform_id, g / (SELECT n FROM t) AS theta FROM g),
@@ -389,8 +391,8 @@ g2 AS (SELECT isoform_id, sum(o.p * o.y / s2.s) / (SELECT total FROM w) AS g FRO
 SELECT isoform_id, round(theta * g, 9) AS theta FROM t1 JOIN g2 USING (isoform_id)""")
 def mg_step_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, _, gradient = uniform_parts(spark, sf_dir)
-    n = read(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
-    theta = gradient.join(F.broadcast(n)).select("isoform_id", (F.col("g") / F.col("n")).alias("value"))
+    n = linalg.over_all(read(spark, sf_dir, "documents"), F.count("*"))
+    theta = gradient.select("isoform_id", (F.col("g") / n).alias("value"))
     _, second = step_parts(entries, theta)
     return theta.join(second, "isoform_id").select("isoform_id", F.round(F.col("value") * F.col("g"), 9).alias("theta"))
 
@@ -399,15 +401,15 @@ def mg_step_2(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT isoform_id, round(e / sum(e) OVER (), 9) AS theta FROM e""")
 def eg_step_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     gradient = uniform_parts(spark, sf_dir)[2]
-    scaled = gradient.withColumn("step", F.lit(2**-0.5) / F.max(F.abs("g")).over(Window.partitionBy(F.lit(1))) * F.col("g")).withColumn("one", F.lit(1.0))
+    scaled = gradient.withColumn("step", F.lit(2**-0.5) / linalg.over_all(gradient, F.max(F.abs("g"))) * F.col("g")).withColumn("one", F.lit(1.0))
     return linalg.exp_normalised(scaled, "one", "step", "theta").select("isoform_id", F.round("theta", 9).alias("theta"))
 
 
 @query(f"WITH {UNIFORM} SELECT isoform_id, round((g - 1) * (SELECT total FROM w) / (SELECT n FROM t), 6) AS g FROM g")
 def softmax_grad_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows, gradient = uniform_parts(spark, sf_dir)
-    one = rows.agg(F.first("total").alias("total")).join(F.broadcast(read(spark, sf_dir, "documents").agg(F.count("*").alias("n"))))
-    return gradient.join(F.broadcast(one)).select("isoform_id", F.round((F.col("g") - 1) * F.col("total") / F.col("n"), 6).alias("g"))  # one row
+    total, n = linalg.over_all(rows, F.max("total")), linalg.over_all(read(spark, sf_dir, "documents"), F.count("*"))
+    return gradient.select("isoform_id", F.round((F.col("g") - 1) * total / n, 6).alias("g"))
 
 
 @query("SELECT c_custkey, round(exp(c_acctbal / 1000 - max(c_acctbal / 1000) OVER ()) / sum(exp(c_acctbal / 1000 - (SELECT max(c_acctbal / 1000) FROM customer))) OVER (), 12) AS value FROM customer")
@@ -448,7 +450,8 @@ CUSTOM = "c AS (SELECT c_custkey AS isoform_id, (c_custkey + 1.0::DOUBLE) / sum(
 
 def custom_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A distribution over customers."""
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("isoform_id"), linalg.share(F.col("c_custkey") + 1.0).alias("value"))
+    customers = read(spark, sf_dir, "customer")
+    return customers.select(F.col("c_custkey").alias("isoform_id"), linalg.share(customers, F.col("c_custkey") + 1.0).alias("value"))
 
 
 @query(f"WITH {CUSTOM}, d AS (SELECT i AS draw, {U.format(seed=7)} AS u FROM range(5000) r(i)) SELECT draw, isoform_id FROM d JOIN cum ON u >= low AND u < high")
@@ -469,7 +472,7 @@ j AS (SELECT draw, isoform_id, s, floor(w * length)::BIGINT AS start FROM d JOIN
 SELECT draw, isoform_id, start, substr(s, start + 1, 50) AS read FROM j""")
 def simulate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = lengths_of(spark, sf_dir)
-    theta = known.select("isoform_id", linalg.share(F.col("length")).alias("value"))
+    theta = known.select("isoform_id", linalg.share(known, F.col("length")).alias("value"))
     return sampled_reads(known, theta, 3000, 50, 42)
 
 
