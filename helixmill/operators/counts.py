@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.bases import check_k
+from helixmill.functions.bases import check_k, uniform
 from helixmill.operators.shred import code_of, shred, spread
 
 
@@ -40,3 +41,21 @@ def density(reads: DataFrame, ks: list[int], sequence: str = "sequence") -> Data
     """For each k: nnz (distinct k-mers) and density (nnz / 4^k)."""
     parts = [count_kmers(reads, k, sequence).agg(F.count_if(F.col("y") > 0).alias("nnz")).select(F.lit(k).alias("k"), "nnz", (F.col("nnz") / float(4**k)).alias("density")) for k in ks]
     return reduce(DataFrame.unionByName, parts)
+
+
+#: Distribution function of the Poisson law with mean 1, up to where a double reaches 1.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(18)]
+
+
+def bootstrap_counts(reads: DataFrame, k: int, replicates: int, seed: int, key: tuple[str, ...], sequence: str = "sequence") -> DataFrame:
+    """Counts of resampled reads: replicate, kmer_id, y.
+
+    Each read stands a Poisson number of times in each replicate, drawn from a hash of its key, so no replicate needs
+    the number of reads and a lost task draws the same again.
+    """
+    drawn = reads.select(*key, sequence).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    u = uniform(seed, F.col("replicate"), *map(F.col, key))
+    times = reduce(lambda a, b: a + b, [(u >= limit).cast("bigint") for limit in POISSON])
+    drawn = drawn.withColumn("times", times).where("times > 0")
+    summed = shred(spread(drawn), k, sequence, ("replicate", "times")).groupBy("replicate", "kmer").agg(F.sum("times").alias("y"))
+    return summed.select("replicate", code_of(F.col("kmer")).alias("kmer_id"), "y")

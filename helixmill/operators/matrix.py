@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.bases import valid_windows
 from helixmill.operators.order import running
-from helixmill.operators.shred import code_of, reads_of, shred, spread
+from helixmill.operators.shred import code_of, reads_of, shred, shred_positions, spread
 
 
 def keep_records(records: DataFrame, min_length: int = 0, header: str | None = "header", sequence: str = "sequence", reject: str = "PREDICTED") -> DataFrame:
@@ -47,6 +47,14 @@ def read_aware_matrix(isoforms: DataFrame, k: int, read_length: int, id_col: str
     return counted.select(code_of(F.col("kmer")).alias("kmer_id"), "isoform_id", "weight", (F.col("weight") / whole).alias("p"))
 
 
+def weighted_matrix(isoforms: DataFrame, k: int, weight: Column, id_col: str = "isoform_id", sequence: str = "sequence") -> DataFrame:
+    """X with a weight for each occurrence, an expression of ``position``: kmer_id, isoform_id, weight, p."""
+    placed = shred_positions(spread(isoforms.select(F.col(id_col).alias("isoform_id"), F.col(sequence).alias("sequence"))), k, "sequence", ("isoform_id",))
+    summed = placed.withColumn("__w", weight).groupBy("isoform_id", "kmer_id").agg(F.sum("__w").alias("weight"))
+    whole = summed.groupBy("isoform_id").agg(F.sum("weight").alias("__t"))
+    return summed.join(whole, "isoform_id").select("kmer_id", "isoform_id", "weight", (F.col("weight") / F.col("__t")).alias("p"))
+
+
 def row_sums(x: DataFrame) -> DataFrame:
     """kmer_id, total."""
     return x.groupBy("kmer_id").agg(F.sum("p").alias("total"))

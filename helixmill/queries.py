@@ -184,6 +184,14 @@ def read_aware_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.read_aware_matrix(items, 3, 6)
 
 
+@query(f"""WITH b AS (SELECT item_id AS isoform_id, {SEQ} AS s FROM benchmark), {kmers('k', 3, 'b', 'isoform_id')},
+w AS (SELECT {code(3)} AS kmer_id, isoform_id, sum(1.0::DOUBLE / i) AS weight FROM k GROUP BY isoform_id, kmer)
+SELECT kmer_id, isoform_id, round(weight, 9) AS weight, round(weight / sum(weight) OVER (PARTITION BY isoform_id), 9) AS p FROM w""")
+def position_weighted_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("isoform_id"), from_text(F.coalesce("text", F.lit(""))).alias("sequence"))
+    return matrix.weighted_matrix(items, 3, 1.0 / (F.col("position") + 1)).select("kmer_id", "isoform_id", F.round("weight", 9).alias("weight"), F.round("p", 9).alias("p"))
+
+
 @query(f"WITH {DOCS}, {x_cte(3)} SELECT kmer_id, round(sum(p), 6) AS total FROM x GROUP BY kmer_id")
 def row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.row_sums(matrix.build_matrix(isoforms(spark, sf_dir), 3)).select("kmer_id", F.round("total", 6).alias("total"))
@@ -476,6 +484,13 @@ def simulate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_reads(known, theta, 3000, 50, 42)
 
 
+@query(f"""WITH d AS (SELECT {SEQ} AS s, r AS replicate, ('0x' || substr(md5('11-' || r || '-' || conv_id || '-' || turn), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM conversations, range(3) t(r)),
+times AS (SELECT replicate, s, {" + ".join(f"(u >= {limit!r}::DOUBLE)::BIGINT" for limit in counts.POISSON)} AS times FROM d), b AS (SELECT * FROM times WHERE times > 0),
+{kmers('k', 3, 'b', 'replicate, times')} SELECT replicate::INT AS replicate, {code(3)} AS kmer_id, sum(times)::BIGINT AS y FROM k GROUP BY replicate, kmer""")
+def bootstrap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.bootstrap_counts(reads(spark, sf_dir), 3, 3, 11, ("conv_id", "turn"))
+
+
 @query(f"SELECT i AS id, {U.format(seed=3)} AS u FROM range(1000) r(i)")
 def hash_uniforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1000).select("id", uniform(3, F.col("id")).alias("u"))
