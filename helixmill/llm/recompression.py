@@ -7,8 +7,10 @@ of names. For each symbol the context that fixed it is kept. A window of ``WINDO
 lies inside it; of these it picks one of the highest level with the least name, so equal windows pick equal symbols.
 Windows that see none pick themselves.
 
-Symbols that were picked at two places or more reveal the windows that may repeat. Only these are hashed (96 bits) and
-grouped, which verifies them; each but the first of a group is a repeat, and the words that repeats cover go.
+Neighbouring windows that pick one occurrence of a symbol form a stretch. Stretches whose symbol was picked at two places
+or more are compared by the hash of all their words: each but the first of equal ones is repeated whole. Where one symbol
+has several different stretches, at the ends of a repeat, the windows of the first of each are hashed and compared one by
+one. So the interior of a long repeat costs a row for each stretch and not for each window. Hashes have 96 bits or more.
 
 Every phase is written to the shared folder before the next, and what a phase shuffled is released then.
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.llm.common import as_bytes, mix64, steps, written
-from helixmill.llm.shingles import window_hashes, word_hashes
+from helixmill.llm.shingles import word_hashes
 
 WINDOW = 20
 ROUNDS = 4
@@ -38,13 +40,39 @@ BROADCAST_ROWS, BROADCAST_INTS = 200_000, 2_000_000
 LAST_ID = 2**63 - 1
 
 
+class Substrings:
+    """Hashes of any stretches of a sequence of word hashes, from running sums of a polynomial."""
+
+    def __init__(self, words: np.ndarray, seed: int) -> None:
+        base = int(mix64(np.array([seed], np.uint64), 17)[0]) | 1
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words, seed) * powers(base, len(words)), dtype=np.uint64)])
+        self.inverse, self.seed = powers(pow(base, -1, 2**64), len(words) + 1), seed
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """One for each stretch from start to end (exclusive)."""
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64), self.seed)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... mod 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out, dtype=np.uint64)
+
+
 def picks(words: np.ndarray, counts: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The symbol that each window picks, its spot, the text and the first word (overall) of each window.
 
     Windows that pick one occurrence of a symbol have one spot.
     """
-    hashes, text, place = window_hashes(words, counts, window, seed=50)
-    chosen, spot = hashes.copy(), -1 - place
+    within = Substrings(words, 50)
+    text = np.repeat(np.arange(len(counts)), counts)
+    whole = np.flatnonzero(text[: max(len(words) - window + 1, 0)] == text[window - 1 :]) if len(words) >= window else np.zeros(0, np.int64)
+    text, place = text[whole] if len(whole) else np.zeros(0, np.int64), whole
+    chosen, spot = within.hashes(place, place + window), -1 - place
     if not len(place):
         return chosen, spot, text, place
     ends = np.cumsum(counts)
@@ -91,7 +119,8 @@ def picks(words: np.ndarray, counts: np.ndarray, window: int = WINDOW, rounds: i
             other = low[inside] + k
             better = rank[other] < best_rank[inside]
             best[inside[better]], best_rank[inside[better]] = other[better], rank[other[better]]
-        chosen[done], spot[done] = mix64(name[best], level), best * (rounds + 1) + level
+        # The words that fixed a symbol lie in the window too, so its name may take them in.
+        chosen[done], spot[done] = mix64(name[best] ^ within.hashes(first[best], last[best]), level), best * (rounds + 1) + level
         todo = todo[~seen]
         if not len(todo):
             break
@@ -110,86 +139,102 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def symbols(rows: DataFrame, window: int) -> DataFrame:
-    """The symbols that each document's windows pick, a row for each spot: doc, part, name."""
+def openings(chosen: np.ndarray, spot: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether a window opens a stretch.
+
+    Equal windows in a row, inside a long run of one word, pick themselves; the first is a stretch and the others are
+    one more, so that they meet each other.
+    """
+    again = np.append(False, (spot[1:] < 0) & (spot[:-1] < 0) & (chosen[1:] == chosen[:-1]) & (text[1:] == text[:-1]))
+    same = np.append(False, (spot[1:] == spot[:-1]) & (text[1:] == text[:-1]))
+    second = again & ~np.append(False, again[:-1])
+    return ~(same | again) | second
+
+
+def stretches(rows: DataFrame, window: int) -> DataFrame:
+    """name, span (hash of all words), doc, part, start (first word in its text) and n (windows) of each stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             words, counts = word_hashes(as_bytes(batch.column("text")), lower=False)
-            chosen, spot, text, _ = picks(words, counts, window)
+            chosen, spot, text, place = picks(words, counts, window)
             if not len(chosen):
                 continue
-            # Neighbouring windows mostly pick the same occurrence of a symbol, which counts once.
-            fresh = np.append(True, spot[1:] != spot[:-1])
-            # Equal windows in a row, inside a long run, need no more than two.
-            twice = np.append(False, (chosen[1:] == chosen[:-1]) & (text[1:] == text[:-1]) & (spot[1:] < 0))
-            fresh[2:] &= ~(twice[2:] & twice[1:-1])
-            at = pa.array(text[fresh])
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("part").take(at), pa.array(chosen[fresh].view(np.int64))], ["doc", "part", "name"])
+            first = np.flatnonzero(openings(chosen, spot, text))
+            n = np.diff(np.append(first, len(spot)))
+            begin, owner = place[first], text[first]
+            span = Substrings(words, 200).hashes(begin, begin + n + window - 1)
+            start = (begin - (np.cumsum(counts) - counts)[owner]).astype(np.int32)
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(chosen[first].view(np.int64)), pa.array(span.view(np.int64)), batch.column("doc").take(at), batch.column("part").take(at), pa.array(start), pa.array(n.astype(np.int32))], ["name", "span", "doc", "part", "start", "n"])
 
-    return rows.select("doc", "part", "text").mapInArrow(run, "doc bigint, part bigint, name bigint")
+    return written(rows.select("doc", "part", "text").mapInArrow(run, "name bigint, span bigint, doc bigint, part bigint, start int, n int"))
 
 
-def shared_symbols(rows: DataFrame, window: int) -> DataFrame:
-    """Symbols picked at two places or more, by document: doc, part, names."""
-    every = written(symbols(rows, window))
-    often = every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    return written(every.join(often, "name").groupBy("doc", "part").agg(F.collect_set("name").alias("names")))
+def shared(every: DataFrame) -> DataFrame:
+    """Stretches whose symbol was picked at two places or more."""
+    often = every.groupBy("name").agg(F.count("*").alias("places")).where("places > 1").select("name")
+    return written(every.join(often, "name"))
 
 
-def candidates(rows: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """Windows that picked a shared symbol: high, low (hash of the words), doc, part, start (first word in its text)."""
+def windows_of(rows: DataFrame, owners: DataFrame, window: int) -> DataFrame:
+    """The windows of chosen stretches: high, low (hash of the words), doc, part, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             words, counts = word_hashes(as_bytes(batch.column("text")), lower=False)
-            chosen, _, text, place = picks(words, counts, window)
-            if not len(chosen):
-                continue
-            names = batch.column("names")
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(names.offsets.to_numpy()))
-            wanted = names.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ mix64(owner.astype(np.uint64), 5)
-            hit = np.isin(chosen ^ mix64(text.astype(np.uint64), 5), wanted)
-            text, place = text[hit], place[hit]
-            high, _, at_high = window_hashes(words, counts, window, seed=200)
-            low, _, _ = window_hashes(words, counts, window, seed=300)
-            index = np.searchsorted(at_high, place)
-            start = (place - (np.cumsum(counts) - counts)[text]).astype(np.int32)
-            at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(high[index].view(np.int64)), pa.array((low[index] >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column("doc").take(at), batch.column("part").take(at), pa.array(start)], ["high", "low", "doc", "part", "start"])
-
-    return written(rows.select("doc", "part", "text").join(shared, ["doc", "part"]).mapInArrow(run, "high bigint, low int, doc bigint, part bigint, start int"))
-
-
-def repeats(windows: DataFrame, window: int) -> DataFrame:
-    """Ranges of words that repeats cover: doc, part, ranges (start, end, start, end, ...)."""
+            high, low = Substrings(words, 300), Substrings(words, 400)
+            lists = batch.column("owned")
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            start, n = flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
+            owner, start = np.repeat(owner, n), np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            place = start + (np.cumsum(counts) - counts)[owner]
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(high.hashes(place, place + window).view(np.int64)), pa.array((low.hashes(place, place + window) >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column("doc").take(at), batch.column("part").take(at), pa.array(start.astype(np.int32))],
+                ["high", "low", "doc", "part", "start"],
+            )
+
+    listed = written(owners.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "n")).alias("owned")))
+    few = listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and (listed.agg(F.sum(F.size("owned"))).first()[0] or 0) <= BROADCAST_INTS // 2
+    joined = rows.select("doc", "part", "text").join(F.broadcast(listed) if few else listed, ["doc", "part"])
+    return written(joined.mapInArrow(run, "high bigint, low int, doc bigint, part bigint, start int"))
+
+
+def repeats(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """Ranges of words that repeats cover: doc, part, ranges (start, end, start, end, ...). ``found``: shared stretches."""
     place = F.struct("doc", "part", "start")
-    groups = windows.groupBy("high", "low").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("high", "low", "least")
-    later = windows.join(groups, ["high", "low"]).where(place > F.col("least"))
+    groups = written(found.groupBy("name", "span").agg(F.min(place).alias("least"), F.max("n").alias("n"), F.count("*").alias("places")))
+    later = found.join(groups.where("places > 1").select("name", "span", "least"), ["name", "span"]).where(place > F.col("least")).select("doc", "part", "start", "n")
+    several = groups.groupBy("name").agg(F.count("*").alias("spans")).where("spans > 1").select("name")
+    owners = groups.join(several, "name").select("least.*", "n")
+    windows = windows_of(rows, owners, window)
+    first = windows.groupBy("high", "low").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("high", "low", "least")
+    single = windows.join(first, ["high", "low"]).where(place > F.col("least")).select("doc", "part", "start", F.lit(1).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for starts in batch.column("starts").to_pylist():
-                at = np.unique(np.array(starts, np.int32))
-                gap = np.flatnonzero(at[1:] > at[:-1] + window)
-                out.append(np.stack([np.append(at[0], at[gap + 1]), np.append(at[gap], at[-1]) + window], axis=1).ravel().astype(np.int32))
+            for pairs in batch.column("found").to_pylist():
+                at = np.array(sorted((x["start"], x["start"] + x["n"] + window - 1) for x in pairs), np.int32)
+                reach = np.maximum.accumulate(at[:, 1])
+                cut = np.flatnonzero(at[1:, 0] > reach[:-1])
+                out.append(np.stack([at[np.append(0, cut + 1), 0], np.append(reach[cut], reach[-1])], axis=1).ravel())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("part"), pa.array(out, pa.list_(pa.int32()))], ["doc", "part", "ranges"])
 
-    listed = later.groupBy("doc", "part").agg(F.collect_list("start").alias("starts"))
+    listed = later.unionByName(single).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "n")).alias("found"))
     return written(listed.mapInArrow(run, "doc bigint, part bigint, ranges array<int>"))
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, part, ranges of the documents that lose words."""
     spark, rows = docs.sparkSession, keyed(docs)
-    shared = shared_symbols(rows, window)
-    release(spark)
-    windows = candidates(rows, shared, window)
+    found = shared(stretches(rows, window))
     release(spark)
-    found = repeats(windows, window)
+    ranges = repeats(rows, found, window)
     release(spark)
-    return found
+    return ranges
 
 
 def attached(docs: DataFrame, window: int) -> DataFrame:
