@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +46,27 @@ def written(df: DataFrame, sort: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, *paths: str) -> None:
-    """Delete folders of the shared store through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+class Scratch:
+    """Written tables that go together as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Like ``written``."""
+        self.paths.append(shared_dir(self.spark))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        """Deletes the tables, through Spark's own file system layer, and lets Spark drop shuffle files of past plans."""
+        gc.collect()
+        jvm = self.spark.sparkContext._jvm
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+        jvm.System.gc()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -91,12 +108,26 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class Memo(dict):
-    """A bounded memo of ``compute``: two generations, so that what is in use survives when it fills."""
+    """A bounded memo of ``compute``: two generations, so that what is in use survives when it fills.
+
+    A Python worker serves one stage after another; ``alone`` empties the memos that earlier stages have left in it.
+    """
+
+    every: ClassVar[list[Memo]] = []
 
     def __init__(self, compute: Callable, size: int = 120_000, longest: int = 64) -> None:
         super().__init__()
+        Memo.every.append(self)
         self.compute, self.size, self.longest, self.old = compute, size, longest, {}
 
+    def alone(self) -> Memo:
+        """This memo, the others emptied."""
+        for memo in Memo.every:
+            if memo is not self and (memo or memo.old):
+                memo.clear()
+                memo.old = {}
+        return self
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:

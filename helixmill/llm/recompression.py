@@ -12,7 +12,7 @@ or more are compared by the hash of all their words: each but the first of equal
 has several different stretches, at the ends of a repeat, the windows of the first of each are hashed and compared one by
 one. So the interior of a long repeat costs a row for each stretch and not for each window. Hashes have 96 bits or more.
 
-Every phase is written to the shared folder before the next, and what a phase shuffled is released then.
+Every phase is written to the shared folder before the next; the largest table goes as soon as it has been read.
 
 Defined results: a null or empty text has no words and nothing is removed; order is by doc_id, a null doc_id last, then
 by place; rows with equal doc_id and text are one document and get the same result, rows with equal doc_id and
@@ -21,16 +21,15 @@ different texts come in the order of their checksums; an empty table gives an em
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import as_bytes, mix64, steps, written
+from helixmill.llm.common import Scratch, as_bytes, mix64, steps, written
 from helixmill.llm.shingles import word_hashes
 
 WINDOW = 20
@@ -133,12 +132,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.crc32(F.col("text").cast("binary")).alias("part"), "text")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished phases, whose plans are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def openings(chosen: np.ndarray, spot: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Whether a window opens a stretch.
 
@@ -168,12 +161,15 @@ def stretches(rows: DataFrame, window: int) -> DataFrame:
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(chosen[first].view(np.int64)), pa.array(span.view(np.int64)), batch.column("doc").take(at), batch.column("part").take(at), pa.array(start), pa.array(n.astype(np.int32))], ["name", "span", "doc", "part", "start", "n"])
 
-    return written(rows.select("doc", "part", "text").mapInArrow(run, "name bigint, span bigint, doc bigint, part bigint, start int, n int"))
+    return rows.select("doc", "part", "text").mapInArrow(run, "name bigint, span bigint, doc bigint, part bigint, start int, n int")
 
 
 def shared(every: DataFrame) -> DataFrame:
-    """Stretches whose symbol was picked at two places or more."""
-    often = every.groupBy("name").agg(F.count("*").alias("places")).where("places > 1").select("name")
+    """Stretches whose symbol was picked at two places or more.
+
+    The symbols are written first: a join of two plain shuffles lets Spark split a symbol that very many places share.
+    """
+    often = written(every.groupBy("name").agg(F.count("*").alias("places")).where("places > 1").select("name"))
     return written(every.join(often, "name"))
 
 
@@ -210,7 +206,7 @@ def repeats(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
     several = groups.groupBy("name").agg(F.count("*").alias("spans")).where("spans > 1").select("name")
     owners = groups.join(several, "name").select("least.*", "n")
     windows = windows_of(rows, owners, window)
-    first = windows.groupBy("high", "low").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("high", "low", "least")
+    first = written(windows.groupBy("high", "low").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("high", "low", "least"))
     single = windows.join(first, ["high", "low"]).where(place > F.col("least")).select("doc", "part", "start", F.lit(1).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,12 +225,10 @@ def repeats(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, part, ranges of the documents that lose words."""
-    spark, rows = docs.sparkSession, keyed(docs)
-    found = shared(stretches(rows, window))
-    release(spark)
-    ranges = repeats(rows, found, window)
-    release(spark)
-    return ranges
+    rows, scratch = keyed(docs), Scratch(docs.sparkSession)
+    found = shared(scratch.write(stretches(rows, window)))
+    scratch.drop()
+    return repeats(rows, found, window)
 
 
 def attached(docs: DataFrame, window: int) -> DataFrame:
