@@ -10,12 +10,12 @@ from helixmill.llm.common import written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and component (the least node that it reaches) for each node of ``edges`` (u, v: bigint).
 
     Each round is written to the shared folder, so lineage stays short and lost executors cost one round at most.
-    Stops when a round changes nothing; raises if that needs more than ``rounds``.
+    Minima are written before they are joined, so that the join is of two plain shuffles and Spark can split a node with
+    very many edges. Stops when a round changes nothing; raises if that needs more than ``rounds``.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF))))

@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("doc_id")))
     firsts = full.join(classes, ["doc_id", "sig_a", "sig_b"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = firsts.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1")
+    buckets = written(firsts.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1"))
     members = written(firsts.join(buckets, "key"))
     sets = written(shingle_table(docs, members.select(F.col("id").alias("doc_id")).distinct()))
     hot, groups = hot_links(members.where(F.col("m") > HOT).select("key", "hub", "id"), sets)

@@ -18,7 +18,7 @@ def word_memo() -> Memo:
 
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, one after another, and the number of words of each text."""
-    own = word_memo().__getitem__
+    own = word_memo().alone().__getitem__
     joined, counts = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         words = (text.lower() if lower else text).split()
