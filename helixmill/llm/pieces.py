@@ -66,7 +66,7 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
 
 
 #: Pieces in each of the two generations of a worker's memo, about 200 bytes each.
-MEMO_SIZE = 500_000
+MEMO_SIZE = 350_000
 #: What ``public_tokenizers.PATTERN`` comes to on ASCII texts, for the faster standard library.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
@@ -93,7 +93,7 @@ def bytes_by_id(path: str) -> dict[int, bytes]:
 class Codec:
     """Encodes texts to packed little-endian uint32 ids by the tokenizers library."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, memo_size: int = MEMO_SIZE) -> None:
         self.find = splitter(pattern)
         if path.endswith(".json"):
             self.tokenizer = Tokenizer.from_file(path)
@@ -108,7 +108,7 @@ class Codec:
             self.special = ()
         self.model = self.tokenizer.model
         self.bytes_of = bytes_by_id(path)
-        self.memo = Memo(self._piece, MEMO_SIZE)
+        self.memo = Memo(self._piece, memo_size)
 
     def _piece(self, piece: str) -> bytes:
         """A piece goes to the library's model in characters of the byte table, past its splitting and offsets."""
@@ -131,6 +131,12 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
-    """One codec for a Python worker."""
-    return Codec(path, pattern)
+def _codec(path: str, pattern: str, memo_size: int) -> Codec:
+    return Codec(path, pattern, memo_size)
+
+
+def codec(path: str, pattern: str, memo_size: int = MEMO_SIZE) -> Codec:
+    """One codec for a Python worker, the memos of other operators emptied."""
+    own = _codec(path, pattern, memo_size)
+    own.memo.alone()
+    return own

@@ -84,11 +84,17 @@ class MergeCounter:
 
 
 @functools.lru_cache(maxsize=4)
-def counter(path: str, pattern: str) -> MergeCounter:
-    """One counter for a Python worker."""
+def _counter(path: str, pattern: str) -> MergeCounter:
     return MergeCounter(path, pattern)
 
 
+def counter(path: str, pattern: str) -> MergeCounter:
+    """One counter for a Python worker, the memos of other operators emptied."""
+    own = _counter(path, pattern)
+    own.memo.alone()
+    return own
+
+
 def count_tokens(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``)."""
 
