@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from helixmill.llm.common import as_text, by_id, steps
 from helixmill.llm.pieces import bytes_by_id, codec
 
+#: Pieces in a generation of a worker's memo: small, since the pipeline's last stage runs in executors that earlier ones have filled.
+MEMO_SIZE = 150_000
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -32,7 +34,7 @@ def _lists(packed: list[bytes]) -> pa.Array:
 
 def encoded_steps(batches: Iterator[pa.RecordBatch], path: str, pattern: str, offsets: bool = False) -> Iterator[pa.RecordBatch]:
     """Batches of doc_id and text to batches of doc_id and ids, and with ``offsets`` starts and ends."""
-    own = codec(path, pattern)
+    own = codec(path, pattern, MEMO_SIZE)
     for batch in steps(batches):
         texts = as_text(batch.column("text"))
         packed = [own.packed(x) for x in texts]
