@@ -35,10 +35,23 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # only the first four characters are taken, so that a run may hold the start of another; what follows is looked at
+    "iban": r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2})(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "secret": r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)[\x20]?[=:][\x20]?\"?[a-z0-9_/+-]{16,256}+\"?",
 }
+#: What a match becomes between cuts, and how many pieces it and the text before it make. An IBAN's second piece is a copy.
+WRITTEN, STEP = {"iban": ("$1", "$2")}, {"iban": 3}
+#: Characters of an IBAN without blanks by country; in countries that aren't listed any of 15 to 34 is tried.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 #: Score of a confirmed pattern, and words that raise or lower it when they stand just before.
 PRIOR = {"iban": 0.8, "ssn": 0.5, "secret": 0.7}
 RAISES = {"iban": r"(?i)\b(iban|account|konto|compte|cuenta|bank)", "ssn": r"(?i)\b(ssn|social security|tax id|taxpayer)", "secret": r"(?i)\b(auth|bearer|key|login|credential)"}
@@ -67,6 +80,27 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(chars, F.lit(0), lambda a, c: F.when(F.ascii(c) < 58, (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)) == 1
 
 
+def iban(run: Column) -> Column:
+    """The IBAN that a run of words starts with, null if none passes mod-97.
+
+    It ends at the end of a word. The length of its country goes first, then the whole run; in a country that isn't
+    listed every end of a word counts, the last first.
+    """
+    of_country = F.element_at(F.create_map(*(F.lit(x) for c in IBAN_LENGTHS.items() for x in c)), F.left(run, F.lit(2)))
+
+    def bare(end: Column) -> Column:
+        return F.replace(F.left(run, end), F.lit(" "), F.lit(""))
+
+    def passes(end: Column) -> Column:
+        size = F.length(bare(end))
+        meant = of_country.isNull() | (size == of_country) | (end == F.length(run))
+        return F.substr(run, end + 1, F.lit(1)).isin("", " ") & size.between(15, 34) & meant & ~bare(end).rlike("[a-z]") & mod97(bare(end))
+
+    ends = F.filter(F.sequence(F.length(run), F.lit(15), F.lit(-1)), passes)
+    first = F.coalesce(F.get(F.filter(ends, lambda end: F.length(bare(end)) == of_country), F.lit(0)), F.get(ends, F.lit(0)))
+    return F.left(run, first)
+
+
 def confirmed(kind: str, match: Column) -> Column:
     """The check of a kind on a matched string."""
     if kind == "ip":
@@ -76,7 +110,7 @@ def confirmed(kind: str, match: Column) -> Column:
     if kind == "phone":
         return F.length(F.regexp_replace(match, "[^0-9]", "")).between(9, 15)
     if kind == "iban":
-        return mod97(F.regexp_replace(match, " ", ""))
+        return match.isNotNull()
     if kind == "secret":
         return match.rlike(r"[=:].*[0-9]") & match.rlike(r"(?i)[=:].*[a-z]")
     return F.lit(True)
@@ -91,16 +125,31 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds for each kind an array ``__<kind>`` of (start, end, match, before), ascending; end is exclusive."""
     own = docs.columns
     found = docs.withColumn("__text", F.replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.lit(CUT), F.lit(STAND_IN)))
-    found = found.withColumns({f"__cut_{k}": F.when(F.col("__text").rlike(p), F.split(F.regexp_replace("__text", p, f"{CUT}$0{CUT}"), CUT, -1)) for k, p in PATTERNS.items()})
-    at = {f"__at_{k}": F.aggregate(f"__cut_{k}", F.array(F.lit(0)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.length(p))) for k in KINDS}
-    found = found.withColumns(at)
+
+    def pieces(kind: str) -> Column:
+        marked = CUT + "".join(w + CUT for w in WRITTEN.get(kind, ("$0",)))
+        return F.when(F.col("__text").rlike(PATTERNS[kind]), F.split(F.regexp_replace("__text", PATTERNS[kind], marked), CUT, -1))
+
+    def places(kind: str) -> Column:
+        cut = F.col(f"__cut_{kind}")
+        lengths = F.transform(cut, lambda p, i: F.when(i % STEP.get(kind, 2) == 2, 0).otherwise(F.length(p)))
+        return F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+
+    found = found.withColumns({f"__cut_{k}": pieces(k) for k in KINDS})
+    found = found.withColumns({f"__at_{k}": places(k) for k in KINDS})
 
     def spans(kind: str) -> Column:
+        # Spark would write a column that is read once into the lambda, and compute it for each span; both are read twice.
         cut, place = F.col(f"__cut_{kind}"), F.col(f"__at_{kind}")
-        every = F.transform(
-            F.sequence(F.lit(1), F.size(cut) - 2, F.lit(2)),
-            lambda i: F.struct(F.get(place, i).alias("start"), F.get(place, i + 1).alias("end"), F.get(cut, i).alias("match"), F.right(F.get(cut, i - 1), F.lit(CONTEXT)).alias("before")),
-        )
+
+        def span(i: Column) -> Column:
+            match = iban(F.concat(F.get(cut, i), F.get(cut, i + 1))) if kind == "iban" else F.get(cut, i)
+            return F.struct(F.get(place, i).alias("start"), F.get(place, i + 1).alias("end"), match.alias("match"), F.right(F.get(cut, i - 1), F.lit(CONTEXT)).alias("before"))
+
+        step = STEP.get(kind, 2)
+        every = F.transform(F.sequence(F.lit(1), F.size(cut) - step, F.lit(step)), span)
+        if kind == "iban":
+            every = F.transform(every, lambda s: s.withField("end", s["start"] + F.length(s["match"])))
         passed = F.filter(every, lambda s: confirmed(kind, s["match"]))
         if kind in SCORED:
             passed = F.filter(passed, lambda s: score(kind, s["before"]) >= THRESHOLD)

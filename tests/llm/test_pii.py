@@ -83,3 +83,24 @@ def test_edges_and_redaction(spark, documents, edges):
     assert rows[1] is None and rows[2] == "" and rows[8] == dict((e[0], e[1]) for e in edges)[8]
     odd = {r["doc_id"]: r["text"] for r in pii.redact(documents([(1, "+4111 1111 1111 1111 é"), (2, "1.2.3.4"), (3, "a@b.c 1.2.3.4 🎉 a@b.c")])).collect()}
     assert odd[2] == "[IP]" and odd[3] == "[EMAIL] [IP] 🎉 [EMAIL]" and odd[1].endswith("] é") and "1111" not in odd[1]
+
+
+def spans_of(documents, texts, kind):
+    """For each text the matched strings of a kind."""
+    rows = {r["doc_id"]: r["spans"].split(",") for r in pii.report(documents(list(enumerate(texts)))).collect()}
+    listed = {i: [x.split(":") for x in spans if x.startswith(kind + ":")] for i, spans in rows.items()}
+    return [[text[int(a) : int(b)] for _, a, b in listed[i]] for i, text in enumerate(texts)]
+
+
+DE, DE_BLANKS, GB = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+IBANS = [
+    (f"IBAN {GB} Please pay", [GB]), (f"IBAN {DE} BIC COBADEFFXXX", [DE]), (f"{DE_BLANKS} The", [DE_BLANKS]), (f"iban {DE} 2024 invoice", [DE]),
+    (f"é🎉 {DE} {GB} NO12 {DE_BLANKS}", [DE, GB, DE_BLANKS]), (f"REF AB12 3456 {DE_BLANKS}.", [DE_BLANKS]), ("MT84MALT011000012345MTLCAST001S A", ["MT84MALT011000012345MTLCAST001S"]),
+    (f"{DE}x {DE}1 x{DE}", []), (f"{DE} " * 2000, [DE] * 2000), ("AB12 " * 4000, []),
+]
+
+
+def test_ibans_end_where_they_end(documents):
+    texts, wanted = zip(*IBANS)
+    assert spans_of(documents, texts, "iban") == list(wanted)
+    assert pii.redact(documents([(1, f"IBAN {DE} BIC X")])).first()["text"] == "IBAN [IBAN] BIC X"
