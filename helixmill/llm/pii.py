@@ -144,13 +144,21 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         def span(i: Column) -> Column:
             match = iban(F.concat(F.get(cut, i), F.get(cut, i + 1))) if kind == "iban" else F.get(cut, i)
-            return F.struct(F.get(place, i).alias("start"), F.get(place, i + 1).alias("end"), match.alias("match"), F.right(F.get(cut, i - 1), F.lit(CONTEXT)).alias("before"))
+            return F.struct(F.get(place, i).alias("start"), F.get(place, i + 1).alias("end"), match.alias("match"), i.alias("piece"))
 
         step = STEP.get(kind, 2)
         every = F.transform(F.sequence(F.lit(1), F.size(cut) - step, F.lit(step)), span)
         if kind == "iban":
             every = F.transform(every, lambda s: s.withField("end", s["start"] + F.length(s["match"])))
+
+        def before(i: Column) -> Column:
+            # No match is shorter than four characters, so that so many matches back reach CONTEXT. Copies don't count.
+            start = F.greatest(F.lit(0), i - step * (CONTEXT // 4) - 1)
+            tails = F.transform(F.slice(cut, start + 1, i - start), lambda p, j: F.when(j % step == 2, "").otherwise(F.right(p, F.lit(CONTEXT))))
+            return F.right(F.array_join(tails, ""), F.lit(CONTEXT))
+
         passed = F.filter(every, lambda s: confirmed(kind, s["match"]))
+        passed = F.transform(passed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), before(s["piece"]).alias("before")))
         if kind in SCORED:
             passed = F.filter(passed, lambda s: score(kind, s["before"]) >= THRESHOLD)
         return F.coalesce(F.when(cut.isNotNull(), passed), F.array().cast(SPANS))

@@ -104,3 +104,13 @@ def test_ibans_end_where_they_end(documents):
     texts, wanted = zip(*IBANS)
     assert spans_of(documents, texts, "iban") == list(wanted)
     assert pii.redact(documents([(1, f"IBAN {DE} BIC X")])).first()["text"] == "IBAN [IBAN] BIC X"
+
+
+def test_context_reaches_across_earlier_matches(documents):
+    listing = "SSN: 123-45-6789, 234-56-7891, 345-67-8912"
+    far = "ssn" + " " * 46 + "123-45-6789"  # 49 code points from the start of the word to the span
+    texts = [listing, "é🎉 " + listing, far, far.replace("  ", " ", 1), "ssn 123-45-6789" + " 🎉" * 9 + " 234-56-7891", "number 123-45-6789, 234-56-7891", f"example {DE}, {GB}", f"example {DE}" + " ." * 24 + GB, "ssn AB12 " + "AB12 " * 7 + "123-45-6789"]
+    listed = ["123-45-6789", "234-56-7891", "345-67-8912"]
+    assert spans_of(documents, texts, "ssn") == [listed, listed, [], listed[:1], listed[:2], [], [], [], listed[:1]]
+    assert spans_of(documents, texts, "iban")[6:8] == [[], [GB]]
+    assert pii.redact(documents([(1, listing)])).first()["text"] == "SSN: [SSN], [SSN], [SSN]"
