@@ -38,7 +38,7 @@ PATTERNS = {
     # only the first four characters are taken, so that a run may hold the start of another; what follows is looked at
     "iban": r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2})(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-    "secret": r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)[\x20]?[=:][\x20]?\"?[a-z0-9_/+-]{16,256}+\"?",
+    "secret": r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)[\x20]?[=:][\x20]?\"?[a-z0-9_/+-]{16,}+\"?",
 }
 #: What a match becomes between cuts, and how many pieces it and the text before it make. An IBAN's second piece is a copy.
 WRITTEN, STEP = {"iban": ("$1", "$2")}, {"iban": 3}

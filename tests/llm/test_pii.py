@@ -114,3 +114,9 @@ def test_context_reaches_across_earlier_matches(documents):
     assert spans_of(documents, texts, "ssn") == [listed, listed, [], listed[:1], listed[:2], [], [], [], listed[:1]]
     assert spans_of(documents, texts, "iban")[6:8] == [[], [GB]]
     assert pii.redact(documents([(1, listing)])).first()["text"] == "SSN: [SSN], [SSN], [SSN]"
+
+
+def test_long_secrets_are_taken_whole(documents):
+    texts = ["token=" + "a1" * 200, "my api_key: " + "b2" * 50_000 + " ends"]
+    assert spans_of(documents, texts, "secret") == [[texts[0]], [texts[1][3:-5]]]
+    assert [r["text"] for r in pii.redact(documents(list(enumerate(texts)))).orderBy("doc_id").collect()] == ["[SECRET]", "my [SECRET] ends"]
