@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.llm.common import written
+
 BITS = 64
 HEAVIEST = 16
 BLANKS = " \t\n\x0b\f\r"
@@ -141,3 +143,10 @@ def near(fingerprint_rows: DataFrame, queries: DataFrame, radius: int = 3, block
     distance = F.bit_count(F.col("query").bitwiseXOR(F.col("fingerprint")))
     met = tables(queries, "query").join(tables(fingerprint_rows, "fingerprint"), ["table", "key"]).where(distance <= radius)
     return met.select("query", "fingerprint", distance.alias("distance")).distinct()
+
+
+def count_near(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (hex) and n_near, the number of distinct fingerprints of all documents within the radius of ``near``, its own included."""
+    own = written(fingerprints(docs))
+    met = near(own, own).groupBy(F.col("query").alias("fingerprint")).agg(F.count("*").alias("n_near"))
+    return own.join(met, "fingerprint").select("doc_id", in_hex(F.col("fingerprint")).alias("fingerprint"), "n_near")

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from helixmill.llm import simhash
+from helixmill.llm import queries, simhash
+from helixmill.llm.common import table
 
 
 def with_next(rows):
@@ -70,3 +71,10 @@ def test_near_finds_all_within_the_radius(spark):
     got = {(r["query"], r["fingerprint"]): r["distance"] for r in simhash.near(table, queries).collect()}
     want = {(a, b): d for a, b in itertools.product(set(signed[::7]), set(signed)) if (d := bin((a ^ b) & (2**64 - 1)).count("1")) <= 3}
     assert got == want
+
+
+def test_near_query_searches_the_whole_table(spark):
+    folder = "/root/testdata/sf0.001"
+    prints = {r["doc_id"]: int(r["h"], 16) for r in simhash.fingerprints(table(spark, folder, "documents")).select("doc_id", simhash.in_hex(F.col("fingerprint")).alias("h")).collect()}
+    got = {r["doc_id"]: (int(r["fingerprint"], 16), r["n_near"]) for r in queries.QUERIES["op9_near_fingerprints"](spark, folder).collect()}
+    assert got == {i: (p, sum((p ^ q).bit_count() <= 3 for q in set(prints.values()))) for i, p in prints.items()}
