@@ -1,20 +1,27 @@
 """Operator 6, personal data by DataFrame functions alone.
 
 Regular expressions propose spans; checksums (Luhn for cards, mod-97 for IBANs) and range checks confirm them; words
-just before a span adjust its score. The four base kinds (email, ip, card, phone) stand on pattern and check alone.
-Further kinds (iban, ssn, secret) need a score of ``THRESHOLD`` or more.
+near a span adjust its score. The four base kinds (email, ip, card, phone) stand on pattern and check alone.
+Further kinds (iban, ssn, secret) need a score of ``THRESHOLD`` or more: words before a span raise or lower it, words
+after it raise it.
 
 The patterns give the matches of the plain ones that the comments show, and are written so that Java's matcher does
 linear work on any text and doesn't recurse: possessive loops, and look-behinds that forbid starts inside a run that
 has failed before.
 
-A text is cut at its matches once for each kind, and lengths in code points are summed along the cut pieces, so the
-cost of a kind is linear in the text. Texts are taken whole. Defined results: a null or empty text has no spans;
-repeated rows give repeated results; an empty table gives an empty result; columns of other names are ignored.
+A text is cut at its matches once for each kind. Places are running sums over the cut pieces, by doubling: n pieces
+take log2(n) passes over the array, and no array grows inside a fold. Stretches of the text (contexts, what stands
+between spans) come from blocks of ``BLOCK`` code points, so none is looked for from the beginning of the text.
+
+Texts are taken whole. Defined results: a null or empty text has no spans; repeated rows give repeated results; an
+empty table gives an empty result; columns of other names are carried by ``redact`` and ignored by ``report``, and none
+of their names gets in the way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +30,10 @@ BASE = ("email", "ip", "card", "phone")
 SCORED = ("iban", "ssn", "secret")
 KINDS = (*BASE, *SCORED)
 THRESHOLD = 0.6
-#: How far before a span context words count, in code points.
+#: How far from a span context words count, in code points.
 CONTEXT = 48
+#: Code points of a block of text.
+BLOCK = 256
 
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -52,13 +61,13 @@ IBAN_LENGTHS = {
     }.items()
     for c in countries.split()
 }
-#: Score of a confirmed pattern, and words that raise or lower it when they stand just before.
+#: Score of a confirmed pattern, words that raise it when they stand near, and words that lower it when they stand before.
 PRIOR = {"iban": 0.8, "ssn": 0.5, "secret": 0.7}
 RAISES = {"iban": r"(?i)\b(iban|account|konto|compte|cuenta|bank)", "ssn": r"(?i)\b(ssn|social security|tax id|taxpayer)", "secret": r"(?i)\b(auth|bearer|key|login|credential)"}
 LOWERS = {"iban": r"(?i)\b(example|serial|part no)", "ssn": r"(?i)\b(order|ticket|isbn|part no|serial)", "secret": r"(?i)\b(example|placeholder|dummy)"}
 #: A noncharacter marks the cuts; where a text holds it, another of the same length stands in, which no pattern takes.
 CUT, STAND_IN = "￿", "￾"
-SPANS = "array<struct<start:int,end:int,match:string,before:string>>"
+SPANS = "array<struct<start:int,end:int,match:string>>"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 
@@ -116,96 +125,124 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def score(kind: str, before: Column) -> Column:
-    """The score of a confirmed span by the words before it."""
-    return F.lit(PRIOR[kind]) + F.when(before.rlike(RAISES[kind]), 0.2).otherwise(0.0) - F.when(before.rlike(LOWERS[kind]), 0.3).otherwise(0.0)
+def score(kind: str, before: Column, after: Column) -> Column:
+    """The score of a confirmed span by the words around it."""
+    raised, lowered = before.rlike(RAISES[kind]) | after.rlike(RAISES[kind]), before.rlike(LOWERS[kind])
+    return F.lit(PRIOR[kind]) + F.when(raised, 0.2).otherwise(0.0) - F.when(lowered, 0.3).otherwise(0.0)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """``join`` of each value with all before it; associative, and a null (there is none before) leaves the other."""
+
+    def doubled(v: Column) -> Column:
+        reaches = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda p: p < F.size(v))
+        return F.aggregate(reaches, v, lambda held, p: F.transform(held, lambda x, i: join(x, F.get(held, i - p))))
+
+    return let(values, doubled)
+
+
+def blocks(text: Column) -> Column:
+    """A text in blocks of ``BLOCK`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0))
+
+
+def stretch(cut: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end (exclusive) of a text in blocks; end may lie beyond the text."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    held = F.when(first == last, F.get(cut, first)).otherwise(F.array_join(F.transform(F.sequence(first, last), lambda b: F.get(cut, b)), ""))
+    return F.when(end > start, F.substr(held, start - first * BLOCK + 1, end - start)).otherwise("")
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds for each kind an array ``__<kind>`` of (start, end, match, before), ascending; end is exclusive."""
-    own = docs.columns
-    found = docs.withColumn("__text", F.replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.lit(CUT), F.lit(STAND_IN)))
+def spans_of(kind: str, text: Column) -> Column:
+    """(start, end, match) of a kind in a text that isn't null, ascending; end is exclusive."""
+    step = STEP.get(kind, 2)
+    marked = CUT + "".join(w + CUT for w in WRITTEN.get(kind, ("$0",)))
 
-    def pieces(kind: str) -> Column:
-        marked = CUT + "".join(w + CUT for w in WRITTEN.get(kind, ("$0",)))
-        return F.when(F.col("__text").rlike(PATTERNS[kind]), F.split(F.regexp_replace("__text", PATTERNS[kind], marked), CUT, -1))
+    def found(cut: Column) -> Column:
+        lengths = F.transform(cut, lambda p, i: F.when(i % step == 2, 0).otherwise(F.length(p)))
 
-    def places(kind: str) -> Column:
-        cut = F.col(f"__cut_{kind}")
-        lengths = F.transform(cut, lambda p, i: F.when(i % STEP.get(kind, 2) == 2, 0).otherwise(F.length(p)))
-        return F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        def placed(ends: Column) -> Column:
+            def span(i: Column) -> Column:
+                match = iban(F.concat(F.get(cut, i), F.get(cut, i + 1))) if kind == "iban" else F.get(cut, i)
+                return F.struct(F.get(ends, i - 1).alias("start"), match.alias("match"))
 
-    found = found.withColumns({f"__cut_{k}": pieces(k) for k in KINDS})
-    found = found.withColumns({f"__at_{k}": places(k) for k in KINDS})
+            every = F.transform(F.sequence(F.lit(1), F.size(cut) - step, F.lit(step)), span)
+            passed = F.filter(every, lambda s: confirmed(kind, s["match"]))
+            return F.transform(passed, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("end"), s["match"].alias("match")))
 
-    def spans(kind: str) -> Column:
-        # Spark would write a column that is read once into the lambda, and compute it for each span; both are read twice.
-        cut, place = F.col(f"__cut_{kind}"), F.col(f"__at_{kind}")
+        return let(running(lengths, lambda x, before: x + F.coalesce(before, F.lit(0))), placed)
 
-        def span(i: Column) -> Column:
-            match = iban(F.concat(F.get(cut, i), F.get(cut, i + 1))) if kind == "iban" else F.get(cut, i)
-            return F.struct(F.get(place, i).alias("start"), F.get(place, i + 1).alias("end"), match.alias("match"), i.alias("piece"))
+    def scored(spans: Column) -> Column:
+        def near(cut: Column) -> Column:
+            return F.filter(spans, lambda s: score(kind, stretch(cut, F.greatest(F.lit(0), s["start"] - CONTEXT), s["start"]), stretch(cut, s["end"], s["end"] + CONTEXT)) >= THRESHOLD)
 
-        step = STEP.get(kind, 2)
-        every = F.transform(F.sequence(F.lit(1), F.size(cut) - step, F.lit(step)), span)
-        if kind == "iban":
-            every = F.transform(every, lambda s: s.withField("end", s["start"] + F.length(s["match"])))
+        return F.when(F.size(spans) > 0, let(blocks(text), near)).otherwise(spans)
 
-        def before(i: Column) -> Column:
-            # No match is shorter than four characters, so that so many matches back reach CONTEXT. Copies don't count.
-            start = F.greatest(F.lit(0), i - step * (CONTEXT // 4) - 1)
-            tails = F.transform(F.slice(cut, start + 1, i - start), lambda p, j: F.when(j % step == 2, "").otherwise(F.right(p, F.lit(CONTEXT))))
-            return F.right(F.array_join(tails, ""), F.lit(CONTEXT))
+    spans = let(F.split(F.regexp_replace(text, F.lit(PATTERNS[kind]), F.lit(marked)), CUT, -1), found)
+    return F.when(text.rlike(PATTERNS[kind]), let(spans, scored) if kind in SCORED else spans).otherwise(F.array().cast(SPANS))
 
-        passed = F.filter(every, lambda s: confirmed(kind, s["match"]))
-        passed = F.transform(passed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), before(s["piece"]).alias("before")))
-        if kind in SCORED:
-            passed = F.filter(passed, lambda s: score(kind, s["before"]) >= THRESHOLD)
-        return F.coalesce(F.when(cut.isNotNull(), passed), F.array().cast(SPANS))
 
-    found = found.withColumns({f"__{k}": spans(k) for k in KINDS})
-    return found.select(*(F.col(f"`{c}`") for c in own), *(f"__{k}" for k in KINDS))
+def find(text: Column) -> Column:
+    """A struct with an array of (start, end, match) for each kind."""
+    whole = F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(CUT), F.lit(STAND_IN))
+    return let(whole, lambda t: F.struct(*(spans_of(kind, t).alias(kind) for kind in KINDS)))
 
 
-def listed(kinds: tuple[str, ...]) -> Column:
+def listed(found: Column, kinds: tuple[str, ...]) -> Column:
     """kind:start:end of found spans, comma-joined."""
 
     def written(kind: str) -> Column:
-        return F.transform(f"__{kind}", lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
+        return F.transform(found[kind], lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
 
     return F.array_join(F.concat(*map(written, kinds)), ",")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, counts of the base kinds, base_sha256, spans."""
-    found = find(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
-    return found.select("doc_id", *(F.size(f"__{k}").cast("bigint").alias(f"n_{k}") for k in BASE), F.sha2(listed(BASE), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), find(F.col(f"`{text_col}`")).alias("found"))
+    found = F.col("found")
+    return rows.select("doc_id", *(F.size(found[k]).cast("bigint").alias(f"n_{k}") for k in BASE), F.sha2(listed(found, BASE), 256).alias("base_sha256"), listed(found, KINDS).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every found span replaced by its kind in brackets; overlapping spans become one, of the first kind.
+def masked(text: Column) -> Column:
+    """A text with every found span replaced by its kind in brackets; overlapping spans become one, of the first kind.
 
-    A document without spans keeps its text as it is; a null text stays null.
+    A text without spans stays as it is, and so does a null one.
     """
-    own = docs.columns
-    found = find(docs, text_col)
-
-    def named(kind: str) -> Column:
-        return F.transform(f"__{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-
-    found = found.withColumn("__every", F.array_sort(F.concat(*map(named, KINDS))))
-
-    def join(held: Column, s: Column) -> Column:
-        last = F.element_at(held, -1)
-        merged = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(held) > 0) & (s["start"] < F.get(held, F.size(held) - 1)["end"]), F.array_append(F.slice(held, 1, F.size(held) - 1), merged)).otherwise(F.array_append(held, s))
-
-    disjoint = F.aggregate("__every", F.array().cast("array<struct<start:int,end:int,kind:string>>"), join)
-    found = found.withColumn("__spans", F.when(F.size("__every") > 0, disjoint))
-    text, spans = F.col(f"`{text_col}`"), F.col("__spans")
-    pieces = F.transform(
-        spans,
-        lambda s, i: F.concat(F.substr(text, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]")),
-    )
-    masked = F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(spans, -1)["end"] + 1))
-    return found.withColumn(text_col, F.when(spans.isNotNull(), masked).otherwise(text)).select(*(F.col(f"`{c}`") for c in own))
+
+    def named(found: Column, kind: str) -> Column:
+        return F.transform(found[kind], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    def replaced(every: Column) -> Column:
+        def cut_at(reach: Column) -> Column:
+            # A span that starts before the end of an earlier one is part of it.
+            opens = F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda i: F.get(every, i)["start"] >= F.coalesce(F.get(reach, i - 1), F.lit(0)))
+
+            def written(first: Column) -> Column:
+                def piece(cut: Column, i: Column) -> Column:
+                    s = F.get(every, i)
+                    return F.concat(stretch(cut, F.coalesce(F.get(reach, i - 1), F.lit(0)), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+
+                def whole(cut: Column) -> Column:
+                    tail = stretch(cut, F.element_at(reach, -1), F.size(cut) * BLOCK)
+                    return F.concat(F.array_join(F.transform(first, lambda i: piece(cut, i)), ""), tail)
+
+                return let(blocks(text), whole)
+
+            return let(opens, written)
+
+        ends = F.transform(every, lambda s: s["end"])
+        return F.when(F.size(every) > 0, let(running(ends, F.greatest), cut_at)).otherwise(text)
+
+    every = let(find(text), lambda found: F.array_sort(F.concat(*(named(found, kind) for kind in KINDS))))
+    return F.when(text.isNotNull(), let(every, replaced))
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the personal data of its texts masked, all other columns as they are."""
+    return docs.withColumn(text_col, masked(F.col(f"`{text_col}`").cast("string")))

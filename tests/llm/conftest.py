@@ -2,7 +2,7 @@ import pytest
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use for their results or inside.
-CLASHES = ("n_tokens", "ids", "decoded", "size", "key", "taken", "target", "score", "kept", "range", "place", "order", "doc", "part", "name", "fingerprint", "n_shingles", "bands", "spans", "set", "cell")
+CLASHES = ("n_tokens", "ids", "decoded", "size", "key", "taken", "target", "score", "kept", "range", "place", "order", "doc", "part", "name", "fingerprint", "n_shingles", "bands", "spans", "set", "cell", "found", "text_col", "__text", "__email", "__key", "__h", "__copies", "__copy", "h", "copies", "order_key", "next_text", "edited", "n_near", "id", "n", "label", "token")
 
 
 @pytest.fixture(scope="session")

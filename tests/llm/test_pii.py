@@ -1,9 +1,11 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from helixmill.llm import pii
 
@@ -120,3 +122,44 @@ def test_long_secrets_are_taken_whole(documents):
     texts = ["token=" + "a1" * 200, "my api_key: " + "b2" * 50_000 + " ends"]
     assert spans_of(documents, texts, "secret") == [[texts[0]], [texts[1][3:-5]]]
     assert [r["text"] for r in pii.redact(documents(list(enumerate(texts)))).orderBy("doc_id").collect()] == ["[SECRET]", "my [SECRET] ends"]
+
+
+def test_context_after_a_span_raises_only(documents):
+    texts = ["123-45-6789 (SSN)", "123-45-6789 is my social security number", "123-45-6789" + " ." * 24 + " SSN", "ssn 123-45-6789 with order 5", "🎉" * 300 + "123-45-6789 ssn"]
+    one = ["123-45-6789"]
+    assert spans_of(documents, texts, "ssn") == [one, one, [], one, one]
+
+
+def masked(text, spans):
+    """Spans (start, end, kind) replaced, overlapping ones by the first kind."""
+    out, at, open_until = [], 0, 0
+    for start, end, kind in sorted(spans):
+        if start >= open_until:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        open_until = at = max(open_until, end)
+    return "".join([*out, text[at:]])
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a@b.co ", "1.2.3.4", "+4111 1111 1111 1111", " é🎉 ", "ssn 123-45-6789", DE, "x" * 300, ", ", "4111111111111111", "token=abcdefgh12345678"]), max_size=25).map("".join), min_size=30, max_size=30))
+def test_redaction_against_spans(spark, documents, texts):
+    docs = documents(list(enumerate(texts)))
+    found = {r["doc_id"]: [(int(a), int(b), k) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)] for r in pii.report(docs).collect()}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()} == {i: masked(t, found[i]) for i, t in enumerate(texts)}
+
+
+def seconds(documents, n):
+    """To find and to mask ``n`` addresses, and as many numbers, in one text."""
+    docs = documents([(1, " ".join(f"name{i}@host{i % 97}.example.org" for i in range(n))), (2, "; ".join(f"ssn {100 + i % 800}-{10 + i % 89}-{1000 + i % 8999}" for i in range(n)))]).persist()
+    docs.count()
+    begun = time.monotonic()
+    assert pii.report(docs).agg(F.sum("n_email")).first()[0] == n
+    assert pii.redact(docs).where("length(text) > 8 * doc_id").count() == 2
+    docs.unpersist()
+    return time.monotonic() - begun
+
+
+def test_time_grows_with_the_matches(spark, documents):
+    seconds(documents, 100)
+    few, many = seconds(documents, 25_000), seconds(documents, 200_000)
+    assert many < 16 * max(few, 1.0), (few, many)  # 8 times the matches; their square would take 64 times as long
