@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,35 +40,58 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/helixmill-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, sort: list[str] | None = None) -> DataFrame:
-    """``df`` after a round trip through Parquet in the shared folder: short lineage, computed once."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders through Spark's own file system layer."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class Scratch:
-    """Written tables that go together as soon as nothing reads them any more."""
+    """Written tables that go as soon as nothing reads them any more."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
+        self.spark, self.held = spark, []
 
     def write(self, df: DataFrame) -> DataFrame:
-        """Like ``written``."""
-        self.paths.append(shared_dir(self.spark))
-        df.write.parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
-
-    def drop(self) -> None:
-        """Deletes the tables, through Spark's own file system layer, and lets Spark drop shuffle files of past plans."""
-        gc.collect()
-        jvm = self.spark.sparkContext._jvm
-        for path in self.paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        self.paths = []
-        jvm.System.gc()
+        """``df`` after a round trip through Parquet in the shared folder: short lineage, computed once."""
+        path = shared_dir(self.spark)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these tables, or all."""
+        gone = [path for table, path in self.held if not tables or any(table is x for x in tables)]
+        self.held = [(table, path) for table, path in self.held if path not in gone]
+        delete(self.spark, gone)
+
+
+#: Tables that results still read; they go when the interpreter ends, or by ``release`` once results have been taken.
+RESULTS: list[Scratch] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``Scratch.write``, for tables that a result reads."""
+    if not RESULTS or RESULTS[-1].spark is not df.sparkSession:
+        RESULTS.append(Scratch(df.sparkSession))
+    return RESULTS[-1].write(df)
+
+
+def release() -> None:
+    """Deletes the tables behind all results so far, which can't be read any more, except of stopped sessions."""
+    while RESULTS:
+        scratch = RESULTS.pop()
+        if scratch.spark.sparkContext._jsc is not None:
+            scratch.drop()
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    with contextlib.suppress(Py4JError):  # the JVM may be gone already
+        release()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -4,14 +4,19 @@ A document's set of five-word shingles is sketched by fast similarity sketching
 are candidates, and each candidate link is confirmed on the full sets. With 32 bands of 4 coordinates a pair at the
 threshold (0.75) shares no band with probability 5e-6, and less above it.
 
-Work stays linear where groups are large:
+Work stays in proportion where groups are large:
 
 * Documents with equal sets are one class, and only its first document goes on.
 * A bucket (documents that share a band) of at most ``HOT`` gives its pairs.
 * Larger buckets are joined into groups. A group's most central member is its hub, and each member is confirmed against
-  the hub alone. Those that link to it need no test among each other. The rest are tested in blocks, against each other,
-  and against the linked ones only if they have similarity 0.5 to the hub: by the triangle inequality of Jaccard
-  distance no other can link. A block cell gives a spanning forest of its links, not its pairs.
+  the hub alone. Those that link to it are one star and need no test among each other.
+* What else can link is found by an exact prefix filter over the sets of the group, not by pairs of the group. Shingles
+  are ordered by how many members have them, rarest first. Two sets that link share one of their first shingles, and the
+  more alike their sizes, the fewer first ones that are; so sizes go by classes. Members of one template, which share
+  its shingles and not their rare ones, meet nowhere. Where more than ``HOT`` members of several stars share a first
+  shingle, each is confirmed against a hub of that shingle before, for at most ``HUB_ROUNDS`` rounds, and stars that
+  link become one. Members of one star aren't paired, by triangle inequality of Jaccard distance neither are those of
+  a star and one with similarity below 0.5 to its hub.
 
 Links go through connected components. Defined results: a document without words, or with a null text, has an empty
 set and is linked with nothing; one with fewer than five words has its whole sequence as one shingle; rows that share a
@@ -22,13 +27,14 @@ gives an empty result; columns of other names are ignored. Texts are taken whole
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import as_bytes, by_id, mix64, steps, written
+from helixmill.llm.common import Scratch, as_bytes, by_id, mix64, steps, written
 from helixmill.llm.components import connected_components
 from helixmill.llm.shingles import band_keys, shingle_sets, similarity_sketch
 
@@ -37,7 +43,10 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 HOT = 64
-BLOCK = 256
+#: Rounds of hubs of shared shingles; each costs a test for each member that shares a crowded one.
+HUB_ROUNDS = 6
+#: Leading bits of a size that tell its class.
+CLASS_BITS = 5
 #: A side of ids is broadcast up to so many rows (8 bytes each), beyond it is joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -98,113 +107,157 @@ def pair_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.mapInArrow(run, "a bigint, b bigint, both bigint, either bigint")
 
 
-def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of all sets of ``left`` with all of ``right``."""
-    sides = []
-    for sets in (left, right):
-        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
-    shared = np.intersect1d(sides[0][0], sides[1][0])
-    out = np.zeros((len(left), len(right)), np.float32)
-    found = []
-    for hashes, owner in sides:
-        at = np.searchsorted(shared, hashes)
-        inside = (at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == hashes) if len(shared) else np.zeros(len(hashes), bool)
-        found.append((at[inside], owner[inside]))
-    for start in range(0, len(shared), 4096):
-        dense = []
-        for (at, owner), n in zip(found, (len(left), len(right)), strict=True):
-            part = (at >= start) & (at < start + 4096)
-            own = np.zeros((n, 4096), np.float32)
-            own[owner[part], at[part] - start] = 1
-            dense.append(own)
-        out += dense[0] @ dense[1].T
-    return out.astype(np.int64)
-
-
-def block_links(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """A spanning forest (a, b) of the links inside each cell. Rows: cell, side (0, 1 or both), id, set."""
-
-    def run(cell: pa.Table) -> pa.Table:
-        ids, side = cell.column("id").to_numpy(), cell.column("side").to_numpy()
-        sets = [np.frombuffer(x, "<u8") for x in cell.column("set").to_pylist()]
-        one, other = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        links: list[tuple[int, int]] = []
-        if len(one) and len(other):
-            both = _common([sets[i] for i in one], [sets[i] for i in other])
-            n = np.array([len(s) for s in sets], np.int64)
-            linked = 100 * both >= percent * (n[one][:, None] + n[other][None, :] - both)
-            root = list(range(len(ids)))
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for i, j in np.argwhere(linked):
-                x, y = find(int(one[i])), find(int(other[j]))
-                if x != y:
-                    root[x] = y
-                    links.append((int(ids[one[i]]), int(ids[other[j]])))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    return cells.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
-
-
-def hot_links(hot: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of the documents in large buckets, and their groups (id, label). ``hot``: key, hub, id."""
+def overlap(n: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Least intersection with which sets of these sizes link."""
+    return -(-percent * (n + other) // (100 + percent))
+
+
+def class_of(n: np.ndarray) -> np.ndarray:
+    """The least size whose ``CLASS_BITS`` leading bits are those of ``n``."""
+    shift = np.maximum(np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1 - CLASS_BITS, 0)
+    return (n >> shift) << shift
+
+
+def classes_above(n: int, percent: int = PERCENT) -> np.ndarray:
+    """Classes of the sizes from ``n`` to the largest that can link with it."""
+    return np.unique(class_of(np.arange(n, 100 * n // percent + 1)))
+
+
+def tokens(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """id and token of the sets of ``members`` (id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "set"):
+            held = [np.frombuffer(x, "<i8") for x in batch.column("set").to_pylist()]
+            owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(np.concatenate([np.zeros(0, np.int64), *held]))], ["id", "token"])
+
+    return sets.join(members.select("id"), "id", "left_semi").select("id", "set").mapInArrow(run, "id bigint, token bigint")
+
+
+def prefixes(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """First tokens of sets, in the order of how many members have them: id, n, token, place, class, probes.
+
+    A set stands by its tokens for those at most as large as itself (``probes`` false) under its own class, and asks by
+    the fewer that it must share with a set of a class at least as large (``probes`` true). Tokens of one member alone
+    come first and are left out.
+    """
+    listed = scratch.write(tokens(members, sets))
+    common = scratch.write(listed.groupBy("token").agg(F.count("*").alias("owners")).where("owners > 1"))
+    found = listed.join(common, "token").groupBy("id").agg(F.collect_list(F.struct("owners", "token")).alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, n, held in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("held"), strict=True):
+                owners, token = (held.values.field(c).to_numpy() for c in ("owners", "token"))
+                token = token[np.lexsort((token, owners))]
+                place = n - len(token) + np.arange(len(token))
+                above = classes_above(n)
+                asked = [(int(c), int(np.searchsorted(place, n - overlap(n, max(c, n)), "right")), True) for c in above]
+                for of_class, upto, probes in [(int(class_of(n)), int(np.searchsorted(place, n - -(-PERCENT * n // 100), "right")), False), *asked]:
+                    out.append((np.full(upto, doc), np.full(upto, n), token[:upto], place[:upto], np.full(upto, of_class), np.full(upto, probes)))
+            if out:
+                names = ("id", "n", "token", "place", "class", "probes")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], list(names))
+
+    rows = found.join(members.select("id", "n"), "id").select("id", "n", "held")
+    first = scratch.write(rows.mapInArrow(run, "id bigint, n bigint, token bigint, place bigint, class bigint, probes boolean"))
+    scratch.drop(listed, common)
+    return first
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link."""
+    return pair_counts(pairs, sets).where(100 * F.col("both") >= PERCENT * F.col("either")).select("a", "b")
+
+
+def hub_rounds(first: DataFrame, stars: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """Stars (id, star) after tests against hubs of crowded tokens, and the links found."""
+    listed, links = first.where("NOT probes").select("token", "id"), []
+    for _ in range(HUB_ROUNDS):
+        held = listed.join(stars, "id")
+        crowded = held.groupBy("token").agg(F.count("*").alias("owners"), F.min(F.struct("id", "star")).alias("hub"), F.min("star").alias("least"), F.max("star").alias("most"))
+        crowded = scratch.write(crowded.where(f"owners > {HOT} AND least < most").select("token", "owners", F.col("hub.id").alias("hub"), F.col("hub.star").alias("hub_star")))
+        if crowded.isEmpty():
+            break
+        asks = held.join(crowded, "token").where("star <> hub_star").groupBy("id", "star").agg(F.min(F.struct("owners", "hub", "hub_star")).alias("to"))
+        asks = scratch.write(asks.select(F.col("id").alias("a"), F.col("to.hub").alias("b"), "star", F.col("to.hub_star").alias("hub_star")))
+        found = scratch.write(confirmed(asks.select("a", "b"), sets))
+        links.append(found)
+        # A star takes the name of one that it links with: members of one name are always linked, if not the reverse.
+        moved = asks.join(found, ["a", "b"]).groupBy("star").agg(F.min("hub_star").alias("to"))
+        moved = scratch.write(moved)
+        stars = scratch.write(stars.join(moved, "star", "left").select("id", F.coalesce("to", "star").alias("star")))
+        if 10 * found.count() < asks.count():
+            break
+    return stars, links
+
+
+def prefix_pairs(first: DataFrame, stars: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different stars that share a first token and may link by its places."""
+    rows = scratch.write(first.join(stars, "id"))
+    key = ["token", "class"]
+    by_star = rows.groupBy(*key, "star").agg(F.count("*").alias("m"), F.max("probes").alias("asks"), F.min("probes").alias("asked"))
+    mixed = by_star.groupBy(*key).agg(F.max_by("star", F.struct("m", "star")).alias("main"), F.count("*").alias("stars"), F.max("asks").alias("asks"), F.min("asked").alias("asked"))
+    mixed = scratch.write(mixed.where("stars > 1 AND asks AND NOT asked").select(*key, "main"))
+    held = scratch.write(rows.join(mixed, key))
+    # Most of a crowded token's rows are of one star; pairs inside it are never formed.
+    small, every = F.col("star") != F.col("main"), F.lit(True)
+    found = None
+    for mine, theirs in ((small, every), (~small, small)):
+        asking, stood = held.where("probes").where(mine), held.where("NOT probes").where(theirs)
+        asking, stood = (side.select(*key, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "place", "star"))) for side, x in ((asking, "a"), (stood, "b")))
+        both = F.ceil(PERCENT * (F.col("n_a") + F.col("n_b")) / (100 + PERCENT))
+        fits = (F.col("star_a") != F.col("star_b")) & (F.struct("n_a", "id_a") < F.struct(F.col("n_b"), F.col("id_b"))) & (100 * F.col("n_a") >= PERCENT * F.col("n_b"))
+        fits = fits & (F.col("place_a") + both <= F.col("n_a")) & (F.col("place_b") + both <= F.col("n_b"))
+        met = asking.join(stood, key).where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
+
+
+def hot_links(hot: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links of the documents in large buckets, and their groups (id, label). ``hot``: key, hub, id, n."""
     edges = hot.select(F.col("hub").alias("u"), F.col("id").alias("v"))
-    groups = written(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("label")))
-    rank = hot.groupBy("id").agg(F.count("*").alias("buckets")).join(groups, "id")
-    hubs = rank.groupBy("label").agg(F.max_by("id", F.struct("buckets", -F.col("id"))).alias("center"))
-    stars = rank.join(hubs, "label").where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b"))
-    tested = written(pair_counts(stars, sets).join(groups.withColumnRenamed("id", "a"), "a"))
-    linked = 100 * F.col("both") >= PERCENT * F.col("either")
-    near = 2 * F.col("both") >= F.col("either")
-    part = tested.select(F.col("a").alias("id"), "label", F.when(linked, 0).when(near, 1).otherwise(2).alias("part"))
-    # Blocks of the linked part (0) and of the rest (1 and 2) of each group, by a hash of the id.
-    rest = F.col("part") > 0
-    numbers = part.groupBy("label").agg(F.ceil(F.count_if(~rest) / BLOCK).cast("int").alias("d"), F.ceil(F.count_if(rest) / BLOCK).cast("int").alias("r")).where("r > 0")
-    dealt = part.join(numbers, "label").withColumn("own", F.pmod(F.xxhash64("id"), F.when(rest, F.col("r")).otherwise(F.col("d"))).cast("int"))
-
-    def cell(kind: str, i: str, j: str) -> str:
-        return f"struct(label, {kind} AS kind, {i} AS i, {j} AS j)"
-
-    cells = dealt.select(
-        "id",
-        F.explode(
-            F.expr(f"""CASE
-              WHEN part = 0 THEN transform(sequence(0, r - 1), j -> struct({cell('0', 'own', 'j')} AS cell, 0 AS side))
-              ELSE concat(
-                transform(sequence(0, r - 1), j -> struct({cell('1', 'least(own, j)', 'greatest(own, j)')} AS cell, CASE WHEN own = j THEN 2 WHEN own < j THEN 0 ELSE 1 END AS side)),
-                CASE WHEN part = 1 AND d > 0 THEN transform(sequence(0, d - 1), i -> struct({cell('0', 'i', 'own')} AS cell, 1 AS side)) ELSE array() END)
-              END""")
-        ).alias("x"),
-    ).select("id", "x.cell", "x.side")
-    blocks = block_links(cells.join(sets, "id"))
-    return tested.where(linked).select("a", "b").unionByName(blocks), groups
+    groups = scratch.write(connected_components(edges, scratch).select(F.col("node").alias("id"), F.col("component").alias("label")))
+    rank = scratch.write(hot.groupBy("id", "n").agg(F.count("*").alias("buckets")).join(groups, "id"))
+    hubs = scratch.write(rank.groupBy("label").agg(F.max_by("id", F.struct("buckets", -F.col("id"))).alias("center")))
+    asks = rank.join(hubs, "label").where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b"))
+    tested = scratch.write(pair_counts(asks, sets))
+    linked, near = 100 * F.col("both") >= PERCENT * F.col("either"), 2 * F.col("both") >= F.col("either")
+    links = [tested.where(linked).select("a", "b")]
+    parts = rank.join(tested.select(F.col("a").alias("id"), F.col("b").alias("center"), linked.alias("linked"), near.alias("near")), "id")
+    open_groups = scratch.write(parts.groupBy("label").agg(F.count_if(~F.col("linked")).alias("rest"), F.count_if(~F.col("linked") & F.col("near")).alias("close")).where("rest > 0"))
+    members = parts.join(open_groups, "label").where("NOT linked OR close > 0")
+    members = scratch.write(members.select("id", "n", F.when(F.col("linked"), F.col("center")).otherwise(F.col("id")).alias("star")))
+    if not members.isEmpty():
+        first = prefixes(members, sets, scratch)
+        stars, more = hub_rounds(first, members.select("id", "star"), sets, scratch)
+        links += [*more, confirmed(prefix_pairs(first, stars, scratch), sets)]
+    return reduce(DataFrame.unionByName, links), groups
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
+    scratch = Scratch(docs.sparkSession)
     sketched = written(sketches(docs))
     full = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("doc_id")))
+    classes = scratch.write(full.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("doc_id")))
     firsts = full.join(classes, ["doc_id", "sig_a", "sig_b"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = written(firsts.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1"))
-    members = written(firsts.join(buckets, "key"))
-    sets = written(shingle_table(docs, members.select(F.col("id").alias("doc_id")).distinct()))
-    hot, groups = hot_links(members.where(F.col("m") > HOT).select("key", "hub", "id"), sets)
+    buckets = scratch.write(firsts.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1"))
+    members = scratch.write(firsts.join(buckets, "key"))
+    sets = scratch.write(shingle_table(docs, members.select(F.col("id").alias("doc_id")).distinct()))
+    hot, groups = hot_links(members.where(F.col("m") > HOT).select("key", "hub", "id", "n"), sets, scratch)
     small = members.where(F.col("m") <= HOT).select("key", "id", "n").join(groups, "id", "left")
     left, right = (small.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "label"))) for x in "ab")
     apart = F.col("label_a").isNull() | F.col("label_b").isNull() | (F.col("label_a") != F.col("label_b"))
     alike = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     met = left.join(right, (left.key == right.key) & (F.col("id_a") < F.col("id_b")) & apart & alike)
     pairs = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    cold = pair_counts(pairs, sets).where(100 * F.col("both") >= PERCENT * F.col("either")).select("a", "b")
-    links = cold.unionByName(hot).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    linked = connected_components(links)
-    named = classes.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig_a", "sig_b", F.coalesce("component", "doc_id").alias("component"))
+    links = confirmed(pairs, sets).unionByName(hot).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    linked = connected_components(links, scratch)
+    named = written(classes.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig_a", "sig_b", F.coalesce("component", "doc_id").alias("component")))
+    scratch.drop()
     joined = sketched.join(named, ["sig_a", "sig_b"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
