@@ -12,11 +12,13 @@ or more are compared by the hash of all their words: each but the first of equal
 has several different stretches, at the ends of a repeat, the windows of the first of each are hashed and compared one by
 one. So the interior of a long repeat costs a row for each stretch and not for each window. Hashes have 96 bits or more.
 
-Every phase is written to the shared folder before the next; the largest table goes as soon as it has been read.
+Every phase is written to the shared folder before the next; the largest table goes as soon as it has been read, the
+others when the removed ranges are known.
 
 Defined results: a null or empty text has no words and nothing is removed; order is by doc_id, a null doc_id last, then
-by place; rows with equal doc_id and text are one document and get the same result, rows with equal doc_id and
-different texts come in the order of their checksums; an empty table gives an empty result. Texts are taken whole.
+by place; rows with equal doc_id and text are one document and get the same result, rows with equal doc_id (or none)
+and different texts are told apart and ordered by a 64-bit hash of them; an empty table gives an empty result; columns
+of other names are ignored. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -127,9 +129,9 @@ def picks(words: np.ndarray, counts: np.ndarray, window: int = WINDOW, rounds: i
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc (order key), part (checksum of the text), text, and doc_id as it is."""
+    """doc (order key), part (hash of the text, another one where there is no doc_id), text, and doc_id as it is."""
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return base.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.crc32(F.col("text").cast("binary")).alias("part"), "text")
+    return base.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.xxhash64("text", F.col("doc_id").isNull()).alias("part"), "text")
 
 
 def openings(chosen: np.ndarray, spot: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -164,16 +166,16 @@ def stretches(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("doc", "part", "text").mapInArrow(run, "name bigint, span bigint, doc bigint, part bigint, start int, n int")
 
 
-def shared(every: DataFrame) -> DataFrame:
+def shared(every: DataFrame, scratch: Scratch) -> DataFrame:
     """Stretches whose symbol was picked at two places or more.
 
     The symbols are written first: a join of two plain shuffles lets Spark split a symbol that very many places share.
     """
-    often = written(every.groupBy("name").agg(F.count("*").alias("places")).where("places > 1").select("name"))
-    return written(every.join(often, "name"))
+    often = scratch.write(every.groupBy("name").agg(F.count("*").alias("places")).where("places > 1").select("name"))
+    return scratch.write(every.join(often, "name"))
 
 
-def windows_of(rows: DataFrame, owners: DataFrame, window: int) -> DataFrame:
+def windows_of(rows: DataFrame, owners: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """The windows of chosen stretches: high, low (hash of the words), doc, part, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,21 +194,21 @@ def windows_of(rows: DataFrame, owners: DataFrame, window: int) -> DataFrame:
                 ["high", "low", "doc", "part", "start"],
             )
 
-    listed = written(owners.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "n")).alias("owned")))
+    listed = scratch.write(owners.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "n")).alias("owned")))
     few = listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and (listed.agg(F.sum(F.size("owned"))).first()[0] or 0) <= BROADCAST_INTS // 2
     joined = rows.select("doc", "part", "text").join(F.broadcast(listed) if few else listed, ["doc", "part"])
-    return written(joined.mapInArrow(run, "high bigint, low int, doc bigint, part bigint, start int"))
+    return scratch.write(joined.mapInArrow(run, "high bigint, low int, doc bigint, part bigint, start int"))
 
 
-def repeats(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
+def repeats(rows: DataFrame, found: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """Ranges of words that repeats cover: doc, part, ranges (start, end, start, end, ...). ``found``: shared stretches."""
     place = F.struct("doc", "part", "start")
-    groups = written(found.groupBy("name", "span").agg(F.min(place).alias("least"), F.max("n").alias("n"), F.count("*").alias("places")))
+    groups = scratch.write(found.groupBy("name", "span").agg(F.min(place).alias("least"), F.max("n").alias("n"), F.count("*").alias("places")))
     later = found.join(groups.where("places > 1").select("name", "span", "least"), ["name", "span"]).where(place > F.col("least")).select("doc", "part", "start", "n")
     several = groups.groupBy("name").agg(F.count("*").alias("spans")).where("spans > 1").select("name")
     owners = groups.join(several, "name").select("least.*", "n")
-    windows = windows_of(rows, owners, window)
-    first = written(windows.groupBy("high", "low").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("high", "low", "least"))
+    windows = windows_of(rows, owners, window, scratch)
+    first = scratch.write(windows.groupBy("high", "low").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("high", "low", "least"))
     single = windows.join(first, ["high", "low"]).where(place > F.col("least")).select("doc", "part", "start", F.lit(1).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +228,12 @@ def repeats(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, part, ranges of the documents that lose words."""
     rows, scratch = keyed(docs), Scratch(docs.sparkSession)
-    found = shared(scratch.write(stretches(rows, window)))
+    every = scratch.write(stretches(rows, window))
+    found = shared(every, scratch)
+    scratch.drop(every)
+    out = repeats(rows, found, window, scratch)
     scratch.drop()
-    return repeats(rows, found, window)
+    return out
 
 
 def attached(docs: DataFrame, window: int) -> DataFrame:
