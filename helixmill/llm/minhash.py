@@ -45,6 +45,8 @@ BANDS, ROWS = 32, 4
 HOT = 64
 #: Rounds of hubs of shared shingles; each costs a test for each member that shares a crowded one.
 HUB_ROUNDS = 6
+#: Tokens that a task holds when it counts them.
+TOKENS = 2_000_000
 #: Leading bits of a size that tell its class.
 CLASS_BITS = 5
 #: A side of ids is broadcast up to so many rows (8 bytes each), beyond it is joined by shuffle.
@@ -123,6 +125,27 @@ def classes_above(n: int, percent: int = PERCENT) -> np.ndarray:
     return np.unique(class_of(np.arange(n, 100 * n // percent + 1)))
 
 
+def token_owners(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """token and owners (how many of ``members`` (id) have it), counted inside tasks first, ``TOKENS`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            token, owners = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(owners)], ["token", "owners"])
+
+        for batch in steps(batches, "set"):
+            held += [np.frombuffer(x, "<i8") for x in batch.column("set").to_pylist()]
+            if sum(map(len, held)) > TOKENS:
+                yield counted()
+        yield counted()
+
+    counted = sets.join(members.select("id"), "id", "left_semi").select("set").mapInArrow(run, "token bigint, owners bigint")
+    return counted.groupBy("token").agg(F.sum("owners").alias("owners"))
+
+
 def tokens(members: DataFrame, sets: DataFrame) -> DataFrame:
     """id and token of the sets of ``members`` (id)."""
 
@@ -135,36 +158,53 @@ def tokens(members: DataFrame, sets: DataFrame) -> DataFrame:
     return sets.join(members.select("id"), "id", "left_semi").select("id", "set").mapInArrow(run, "id bigint, token bigint")
 
 
+def first_tokens(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The rows of ``prefixes`` for sets (id, n, tokens that others have too, how many have them)."""
+    out: list[tuple] = []
+    for doc, n, token, owners in rows:
+        token = token[np.lexsort((token, owners))]
+        place = n - len(token) + np.arange(len(token))
+        stands = (int(class_of(np.int64(n))), n - -(-PERCENT * n // 100), False)
+        for of_class, last, probes in [stands, *((int(c), int(n - overlap(n, max(c, n))), True) for c in classes_above(n))]:
+            upto = int(np.searchsorted(place, last, "right"))
+            out.append((np.full(upto, doc), np.full(upto, n), token[:upto], place[:upto], np.full(upto, of_class), np.full(upto, probes)))
+    types = (np.int64, np.int64, np.int64, np.int64, np.int64, np.bool_)
+    columns = [pa.array(np.concatenate([np.zeros(0, t), *(x[i].astype(t) for x in out)])) for i, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays(columns, ["id", "n", "token", "place", "class", "probes"])
+
+
 def prefixes(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """First tokens of sets, in the order of how many members have them: id, n, token, place, class, probes.
 
     A set stands by its tokens for those at most as large as itself (``probes`` false) under its own class, and asks by
     the fewer that it must share with a set of a class at least as large (``probes`` true). Tokens of one member alone
-    come first and are left out.
+    come first and are left out. The others go to each task if they are few, else they are joined by shuffle.
     """
-    listed = scratch.write(tokens(members, sets))
-    common = scratch.write(listed.groupBy("token").agg(F.count("*").alias("owners")).where("owners > 1"))
-    found = listed.join(common, "token").groupBy("id").agg(F.collect_list(F.struct("owners", "token")).alias("held"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common = scratch.write(token_owners(members, sets).where("owners > 1"))
+    schema = "id bigint, n bigint, token bigint, place bigint, class bigint, probes boolean"
+    if common.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = common.toArrow().sort_by("token")
+        all_tokens, all_owners = (known.column(c).to_numpy() for c in ("token", "owners"))
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in steps(batches, "set"):
+                rows = []
+                for doc, n, held in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "set")), strict=True):
+                    token = np.frombuffer(held, "<i8")
+                    at = np.searchsorted(all_tokens, token)
+                    at = at[all_tokens[np.minimum(at, len(all_tokens) - 1)] == token] if len(all_tokens) else at[:0]
+                    rows.append((doc, n, all_tokens[at], all_owners[at]))
+                yield first_tokens(rows)
+
+        return scratch.write(sets.join(members.select("id", "n"), "id").select("id", "n", "set").mapInArrow(look_up, schema))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, n, held in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("held"), strict=True):
-                owners, token = (held.values.field(c).to_numpy() for c in ("owners", "token"))
-                token = token[np.lexsort((token, owners))]
-                place = n - len(token) + np.arange(len(token))
-                above = classes_above(n)
-                asked = [(int(c), int(np.searchsorted(place, n - overlap(n, max(c, n)), "right")), True) for c in above]
-                for of_class, upto, probes in [(int(class_of(n)), int(np.searchsorted(place, n - -(-PERCENT * n // 100), "right")), False), *asked]:
-                    out.append((np.full(upto, doc), np.full(upto, n), token[:upto], place[:upto], np.full(upto, of_class), np.full(upto, probes)))
-            if out:
-                names = ("id", "n", "token", "place", "class", "probes")
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], list(names))
-
-    rows = found.join(members.select("id", "n"), "id").select("id", "n", "held")
-    first = scratch.write(rows.mapInArrow(run, "id bigint, n bigint, token bigint, place bigint, class bigint, probes boolean"))
-    scratch.drop(listed, common)
-    return first
+            held = [(x.values.field("token").to_numpy(), x.values.field("owners").to_numpy()) for x in batch.column("held")]
+            yield first_tokens([(doc, n, *h) for doc, n, h in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), held, strict=True)])
+
+    found = tokens(members, sets).join(common, "token").groupBy("id").agg(F.collect_list(F.struct("owners", "token")).alias("held"))
+    return scratch.write(found.join(members.select("id", "n"), "id").select("id", "n", "held").mapInArrow(listed, schema))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -126,8 +126,10 @@ def test_templates_against_brute_force(spark, documents, monkeypatch, hot, seed)
     check(spark, documents, list(enumerate(texts)))
 
 
-def test_prefix_filter_loses_no_pair(spark):
-    """Prefix pairs of sets against all pairs, every set a star of its own and none crowded."""
+@pytest.mark.parametrize("few", [500_000, 10])
+def test_prefix_filter_loses_no_pair(spark, monkeypatch, few):
+    """Prefix pairs of sets against all pairs, every set a star of its own; tokens given to the tasks or joined."""
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", few)
     rng = np.random.default_rng(5)
     sets = {}
     for i in range(160):
