@@ -36,7 +36,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": quality_rules,
     "op8_repeated_passages": _over_documents(lambda docs: recompression.remove_repeats(docs, texts=False)),
     "op9_fingerprints": _over_documents(simhash.compare_edited),
-    "op9_near_fingerprints": _over_documents(simhash.count_near),
     "op10_token_counts": _over_documents(token_counts.count_tokens),
 }
 

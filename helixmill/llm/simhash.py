@@ -6,11 +6,11 @@ occurs. Terms are exploded and their hash bits voted by one hash aggregate: a lo
 than half of the weight has it. ``near`` finds fingerprints within a Hamming radius by permuted block tables.
 
 Successors ("next" documents) come from ranges of ids: each range is ordered on its own, and the first document of
-the range below is added to each as its last row, so no task orders the whole table.
+the range below is added to each as its last row, so no task orders the whole table. A range is a partition.
 
-Defined results: a text without words has fingerprint 0; equal texts have equal fingerprints; a null text is empty;
-rows with one doc_id are ordered by text; a null doc_id comes last; an only document is its own successor; an empty
-table gives an empty result.
+Texts are taken whole. Defined results: a text without words has fingerprint 0; equal texts have equal fingerprints; a
+null text is empty; rows with one doc_id are ordered by text; a null doc_id comes last; an only document is its own
+successor; an empty table gives an empty result; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from helixmill.llm.common import written
 BITS = 64
 HEAVIEST = 16
 BLANKS = " \t\n\x0b\f\r"
-#: Ids are cut into as many ranges as the input has partitions, at most so many; the tree of cuts is an expression.
-MOST_RANGES = 4096
+#: Bits within which another fingerprint is counted as near, and blocks of the tables that find it.
+RADIUS, BLOCKS = 3, 6
 LANES = 0x0000000100000001
 
 
@@ -61,41 +61,38 @@ def in_hex(fingerprint: Column) -> Column:
 
 
 def range_of(order: Column, cuts: list[int]) -> Column:
-    """Number of cuts below ``order``, by a balanced tree of comparisons."""
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(order > F.lit(cuts[mid]), tree(mid + 1, high)).otherwise(tree(low, mid))
-
-    return tree(0, len(cuts))
+    """Number of cuts below ``order``, by a binary search in one literal array."""
+    if not cuts:
+        return F.lit(0)
+    sorted_cuts = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(sorted_cuts, at + step - 1) < order, at + step).otherwise(at))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and of the next document in descending doc_id order: range, place, next_text, last.
 
-    Rows with ``last`` are the added ones; they end each range and are left out of results.
+    Rows with ``last`` are the added ones; they end each range and are left out of results. Ranges are as many as the
+    input has partitions; what is collected and broadcast is a number for each of them.
     """
     lowest = -(2**63)
     base = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("order", F.coalesce("doc_id", F.lit(lowest)))
-    ranges = min(max(1, docs.rdd.getNumPartitions()), MOST_RANGES)
+    ranges = max(1, docs.rdd.getNumPartitions())
     cuts = []
     if ranges > 1:
         found = base.agg(F.percentile_approx("order", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first()["q"]
         cuts = sorted(set(found or []))
     base = base.withColumn("range", range_of(F.col("order"), cuts))
-    heads = {r["range"]: r["head"] for r in base.groupBy("range").agg(F.max("order").alias("head")).collect()}  # a row for each range
-    held = sorted(heads, reverse=True)
-    after = {r: heads[held[(i + 1) % len(held)]] for i, r in enumerate(held)}
     rows = base.select("range", F.lit(False).alias("last"), "order", "doc_id", "text")
-    if after:
-        to = F.create_map(*itertools.chain.from_iterable((F.lit(head), F.lit(r)) for r, head in after.items()))
-        added = base.where(F.col("order").isin(list(after.values()))).select(F.element_at(to, F.col("order")).alias("range"), F.lit(True).alias("last"), "order", "doc_id", "text")
-        rows = rows.unionByName(added)
+    # The first row of each range follows the last one of the range above it; that of the highest follows the lowest's.
+    heads, above = base.groupBy("range").agg(F.max("order").alias("head")), Window.orderBy("range")
+    to = F.coalesce(F.lead("range").over(above), F.first("range").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = heads.select(F.col("head").alias("order"), to.alias("to"))
+    added = base.join(F.broadcast(heads), "order").select(F.col("to").alias("range"), F.lit(True).alias("last"), "order", "doc_id", "text")
+    dealt = rows.unionByName(added).repartitionById(len(cuts) + 1, F.col("range"))
     order = Window.partitionBy("range").orderBy("last", F.desc("order"), F.desc("text"))
-    return rows.select("range", "last", "doc_id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
+    return dealt.select("range", "last", "doc_id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +102,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text, of its edited text and of the next text, and their likeness."""
+    """Fingerprints of each text, of its edited text and of the next text, their likeness, and how many are near.
+
+    One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and
+    n_near, the number of distinct fingerprints of all documents within ``RADIUS`` bits of its own, itself included.
+    """
     rows = with_next(docs)
     n, k = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.left("text", n - k), F.left("next_text", k))
@@ -114,14 +115,16 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     both = rows.select("range", "place", "last", "doc_id", "n_chars", "edited_sha256", F.explode(F.filter(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t"))), lambda x: x["t"].isNotNull())).alias("x"))
     both = both.select("range", "place", "last", "doc_id", "n_chars", "edited_sha256", F.col("x.v").alias("v"), F.col("x.t").alias("t"))
     voted = vote(both, ["range", "place", "v", "last", "doc_id", "n_chars", "edited_sha256"], "t")
+    voted = voted.repartitionById(max(1, docs.rdd.getNumPartitions()), F.col("range"))
     order = Window.partitionBy("range").orderBy("place", "v")
     # Each document has two rows, its own (v = 0) and its edited one; the row after these is the next document's own.
     lined = voted.select("*", F.lead("fingerprint").over(order).alias("edited"), F.lead("fingerprint", 2).over(order).alias("next"))
-    own = lined.where("v = 0 AND NOT last")
-    return own.select("doc_id", "n_chars", "edited_sha256", in_hex(F.col("fingerprint")).alias("fingerprint"), in_hex(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))
+    own = written(lined.where("v = 0 AND NOT last").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited", "next"))
+    counted = own.join(count_near(own), "fingerprint")
+    return counted.select("doc_id", "n_chars", "edited_sha256", in_hex(F.col("fingerprint")).alias("fingerprint"), in_hex(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"), "n_near")
 
 
-def near(fingerprint_rows: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def near(fingerprint_rows: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Distinct fingerprints of ``fingerprint_rows`` within ``radius`` bits of each distinct one of ``queries``.
 
     Both have a column fingerprint (bigint). Bits are cut into ``blocks``; two fingerprints within the radius agree in
@@ -145,8 +148,6 @@ def near(fingerprint_rows: DataFrame, queries: DataFrame, radius: int = 3, block
     return met.select("query", "fingerprint", distance.alias("distance")).distinct()
 
 
-def count_near(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (hex) and n_near, the number of distinct fingerprints of all documents within the radius of ``near``, its own included."""
-    own = written(fingerprints(docs))
-    met = near(own, own).groupBy(F.col("query").alias("fingerprint")).agg(F.count("*").alias("n_near"))
-    return own.join(met, "fingerprint").select("doc_id", in_hex(F.col("fingerprint")).alias("fingerprint"), "n_near")
+def count_near(rows: DataFrame) -> DataFrame:
+    """For each distinct fingerprint of ``rows``: fingerprint and n_near, distinct ones within the radius, itself included."""
+    return written(near(rows, rows).groupBy(F.col("query").alias("fingerprint")).agg(F.count("*").alias("n_near")))

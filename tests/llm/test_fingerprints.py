@@ -76,5 +76,5 @@ def test_near_finds_all_within_the_radius(spark):
 def test_near_query_searches_the_whole_table(spark):
     folder = "/root/testdata/sf0.001"
     prints = {r["doc_id"]: int(r["h"], 16) for r in simhash.fingerprints(table(spark, folder, "documents")).select("doc_id", simhash.in_hex(F.col("fingerprint")).alias("h")).collect()}
-    got = {r["doc_id"]: (int(r["fingerprint"], 16), r["n_near"]) for r in queries.QUERIES["op9_near_fingerprints"](spark, folder).collect()}
+    got = {r["doc_id"]: (int(r["fingerprint"], 16), r["n_near"]) for r in queries.QUERIES["op9_fingerprints"](spark, folder).collect()}
     assert got == {i: (p, sum((p ^ q).bit_count() <= 3 for q in set(prints.values()))) for i, p in prints.items()}
