@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -132,25 +133,31 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that a memo's generation holds at most, unless its operator says otherwise.
+MEMO_BYTES = 64 << 20
+#: About what an entry takes beside its key and value.
+ENTRY_BYTES = 100
+
+
 class Memo(dict):
-    """A bounded memo of ``compute``: two generations, so that what is in use survives when it fills.
+    """A memo of ``compute`` bounded by bytes: two generations, so that what is in use survives when one is full.
 
     A Python worker serves one stage after another; ``alone`` empties the memos that earlier stages have left in it.
     """
 
     every: ClassVar[list[Memo]] = []
 
-    def __init__(self, compute: Callable, size: int = 120_000, longest: int = 64) -> None:
+    def __init__(self, compute: Callable, size: int = MEMO_BYTES, longest: int = 64) -> None:
         super().__init__()
         Memo.every.append(self)
-        self.compute, self.size, self.longest, self.old = compute, size, longest, {}
+        self.compute, self.size, self.longest, self.old, self.held = compute, size, longest, {}, 0
 
     def alone(self) -> Memo:
         """This memo, the others emptied."""
         for memo in Memo.every:
             if memo is not self and (memo or memo.old):
                 memo.clear()
-                memo.old = {}
+                memo.old, memo.held = {}, 0
         return self
 
     def __missing__(self, key):
@@ -158,9 +165,10 @@ class Memo(dict):
         if value is None:
             value = self.compute(key)
         if len(key) <= self.longest:
-            if len(self) >= self.size:
-                self.old = dict(self)
+            if self.held >= self.size:
+                self.old, self.held = dict(self), 0
                 self.clear()
+            self.held += sys.getsizeof(key) + sys.getsizeof(value) + ENTRY_BYTES
             self[key] = value
         return value
 

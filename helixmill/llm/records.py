@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from helixmill.llm.common import as_text, by_id, shared_dir, steps, written
 from helixmill.llm.pieces import codec
 
-#: Pieces in a generation of a worker's memo: large, as encoding is most of the work here.
-MEMO_SIZE = 700_000
+#: Bytes of a generation of a worker's memo: large, as encoding is most of the work here.
+MEMO = 128 << 20
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 HEAD, TAIL, RECORD, ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qIB"), struct.Struct("<qqq")
 #: Fixed value of the mask.
@@ -103,8 +103,8 @@ def write_records(docs: DataFrame, folder: str | None = None, path: str = VOCABU
     edges = np.array(bounds, np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern, MEMO_SIZE)
-        kind = "<u2" if max(max(own.bytes_of), end_id or 0) < 2**16 else "<u4"
+        own = codec(path, pattern, MEMO)
+        kind = "<u2" if max(own.size - 1, end_id or 0) < 2**16 else "<u4"
         end = b"" if end_id is None else np.array([end_id], kind).tobytes()
         for batch in steps(batches):
             ids = [np.frombuffer(own.packed(x), "<u4").astype(kind).tobytes() + end for x in as_text(batch.column("text"))]

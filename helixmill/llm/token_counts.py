@@ -5,7 +5,8 @@ first; each pop joins two neighbours of a linked list. The count is the initial
 are made. Pieces repeat, so each worker memoises their counts in a bounded memo.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; an added token's string inside a text counts as one
-token, as the library takes it by default; texts are taken whole.
+token, as the library takes it by default; texts are taken whole, whatever their length; repeated rows give repeated
+results; an empty table gives an empty result; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm.common import Memo, as_text, by_id, steps
-from helixmill.llm.pieces import MEMO_SIZE, splitter, to_chars
+from helixmill.llm.pieces import check_byte_level, splitter, to_chars
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT = 512
@@ -35,8 +36,9 @@ class MergeCounter:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        if model["type"] != "BPE" or spec["normalizer"] or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or model.get("ignore_merges"):
-            raise ValueError(f"{path} is not a byte-level BPE without normaliser")
+        check_byte_level(path, spec)
+        if model.get("ignore_merges"):
+            raise ValueError(f"{path} takes pieces of its vocabulary whole, past their merges")
         if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"]):
             raise ValueError("added tokens that take white space or stand as words only are not covered")
         vocab = model["vocab"]
@@ -49,7 +51,7 @@ class MergeCounter:
         added = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.added = added
         self.cut = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.memo = Memo(self.count_piece, MEMO_SIZE)
+        self.memo = Memo(self.count_piece)
 
     def count_piece(self, piece: str) -> int:
         """Symbols left after all merges of one piece."""

@@ -54,7 +54,7 @@ def test_byte_table():
 
 def test_encode_decode(spark, documents, edges):
     rows = [*edges, *((100 + i, t) for i, t in enumerate(ODD))]
-    got = bpe.digests(documents(rows)).collect()
+    got = bpe.digests(documents(rows)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
 
     def want(r):
         own = OWN.encode_ordinary(r[1] or "")
@@ -66,7 +66,7 @@ def test_encode_decode(spark, documents, edges):
 
 def test_offsets_and_split_characters(spark, documents):
     text = "naïve 🎉🎉 日本 x"
-    row = bpe.encode(documents([(1, text)]), offsets=True).first()
+    row = bpe.encode(documents([(1, text)])).first()
     data = [read for read in (OWN.decode_single_token_bytes(i) for i in row["ids"])]
     at = 0
     for piece, start, end in zip(data, row["starts"], row["ends"], strict=True):
@@ -119,3 +119,57 @@ def test_frames_are_checked():
     for at in (0, 9, 13, 16):
         with pytest.raises(ValueError):
             list(records.frames(io.BytesIO(good[:at] + bytes([good[at] ^ 1]) + good[at + 1 :])))
+
+
+def spans(text, tokens):
+    """Start and end code point of tokens (bytes) of a text."""
+    at_byte = [i for i, c in enumerate(text) for _ in c.encode()]
+    ends = np.cumsum([0, *map(len, tokens)])
+    return [(at_byte[a], at_byte[b - 1] + 1) for a, b in zip(ends[:-1], ends[1:])]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=40), min_size=1, max_size=4))
+def test_offsets_are_the_librarys(texts):
+    texts = [t.encode("utf-8", "replace").decode() for t in [*texts, *ODD]]
+    rows, counts = codec(JSON, public_tokenizers.PATTERN, offsets=True).placed(texts)
+    want = [LIBRARY.encode(t, add_special_tokens=False) for t in texts]
+    assert counts.tolist() == [len(w.ids) for w in want]
+    assert [tuple(r) for r in rows.tolist()] == [(i, *o) for w in want for i, o in zip(w.ids, w.offsets)]
+    own = codec(MULTI, public_tokenizers.PATTERN, offsets=True)
+    rows, counts = own.placed(texts)
+    tokens = [[OWN.decode_single_token_bytes(i) for i in OWN.encode_ordinary(t)] for t in texts]
+    assert [tuple(r) for r in rows[:, 1:].tolist()] == [x for t, b in zip(texts, tokens) for x in spans(t, b)]
+    assert own.decoded(rows[:, 0]) == [b for t in tokens for b in t] and own.decoded(np.array([-1, 10**9])) == [b"", b""]
+
+
+def test_digest_of_offsets(spark, documents, edges):
+    rows = [*edges, *((100 + i, t) for i, t in enumerate(ODD))]
+    got = {(r["doc_id"], r["n_tokens"]): (r["n_split"], r["offsets_crc32"]) for r in bpe.digests(documents(rows)).collect()}
+    for doc_id, text, *_ in rows:
+        tokens = [OWN.decode_single_token_bytes(i) for i in OWN.encode_ordinary(text or "")]
+        placed = spans(text or "", tokens)
+        crc = zlib.crc32(np.array([s[0] for s in placed] + [s[1] for s in placed], "<u4").tobytes())
+        assert got[doc_id, len(tokens)] == (sum(b[0] < a[1] for a, b in zip(placed, placed[1:])), crc)
+
+
+def test_a_pattern_that_leaves_text_out():
+    own = codec(MULTI, r"[a-z]+", offsets=True)
+    rows, _ = own.placed(["12 ab é cd!"])
+    assert [("12 ab é cd!"[a:b]) for _, a, b in rows.tolist()] and "".join("12 ab é cd!"[a:b] for _, a, b in rows.tolist()) == "abcd"
+
+
+@pytest.mark.parametrize("change", [{"add_prefix_space": True}, {"use_regex": False}, {"type": "Whitespace"}])
+def test_other_splits_are_refused(tmp_path, change):
+    import json
+
+    with open(JSON, encoding="utf-8") as file:
+        spec = json.load(file)
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} | change
+    if change.get("type"):
+        spec["pre_tokenizer"] = change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    for make in (codec, token_counts.counter):
+        with pytest.raises(ValueError):
+            make(str(path), public_tokenizers.PATTERN)
