@@ -8,8 +8,9 @@ more repetition, more repeated lines, more symbols and more capitals never make
 The sample is the ``TRAIN_ROWS`` labelled documents of lowest id hash; fewer than ``LEAST_ROWS`` of either label train
 nothing, and the verdict is then the plain rules'. A document is rejected if the trees give it ``REJECT`` or more.
 
-Defined results: a null or empty text has no words and fails; repeated rows give repeated results; an empty table
-gives an empty result; other columns of the input are carried by ``judge`` and ignored by ``report``.
+Texts are taken whole. Defined results: a null or empty text has no words and fails; repeated rows give repeated
+results, and rows that share a doc_id teach as one; an empty table gives an empty result; other columns of the input,
+whatever their names, are carried by ``keep`` and ignored by ``report``.
 """
 
 from __future__ import annotations
@@ -93,11 +94,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             values = [list(statistics(x)[1]) for x in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(values, pa.list_(pa.float64()))], ["quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    # The chosen ids are ``rows`` at most, so their side is small by construction.
-    taken = by_id(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality"))
-    found = taken.mapInArrow(run, "quality int, x array<double>").orderBy("x", "quality").limit(rows).collect()
+    # The chosen ids are ``rows`` at most, so their side is small by construction; so is what is collected, a row for each.
+    taken = by_id(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    each = taken.mapInArrow(run, "doc_id bigint, quality int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("row"))
+    found = [r["row"] for r in sorted(each.collect(), key=lambda r: r["doc_id"])]
     return np.array([r["x"] for r in found]).reshape(-1, len(FEATURES)), np.array([1 - r["quality"] for r in found], float)
 
 

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -92,7 +93,72 @@ def test_compression_edges(spark, documents, edges):
 
 
 def test_scores_use_text_alone(spark, documents):
-    model = compression.Model(b"good text " * 50, b"$$$ ### " * 50, (0.0, 1.0, 0.1))
+    model = compression.Model(b"good text " * 50, b"$$$ ### " * 50, (0.0, 1.0))
     a = compression.score(documents([(1, "good text here", "a")]), model).first()["score"]
     assert a == compression.score(documents([(99, "good text here", "zz")]), model).first()["score"]
     assert compression.dictionary([b"few"]) == b"few"
+
+
+def plain_score(text, model):
+    """The score by the zstandard library, block by block, without anything shared."""
+    data, total = (text or "").encode(), 0
+    for start in range(0, len(data), compression.BLOCK):
+        sizes = []
+        for content in (model.good, model.bad):
+            own = zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False)
+            sizes.append(len(own.compress(data[start : start + compression.BLOCK])))
+        total += sizes[1] - sizes[0]
+    return 1 / (1 + np.exp(-(model.weights[0] + model.weights[1] * 10 * (total / len(data) if data else 0))))
+
+
+def test_scores_against_the_library(spark):
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    model = compression.train(docs, labels)
+    assert len(model.weights) == 2 and model.weights[1] > 0
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id % 9 = 0").collect()}
+    got = {r["doc_id"]: r["score"] for r in queries.QUERIES["op5_compression_quality"](spark, FOLDER).collect()}
+    assert all(abs(got[i] - plain_score(t, model)) < 1e-9 for i, t in texts.items()) and len(got) == docs.count()
+
+
+def test_training_texts_are_bounded(spark, documents, monkeypatch):
+    monkeypatch.setattr(compression, "TRAIN_BYTES", 5000)
+    monkeypatch.setattr(compression, "LONGEST", 900)
+    rows = [(i, f"{i} " + "w" * (100 + i)) for i in range(400)] + [(i, "y" * 1500) for i in range(400, 450)] + [(7, "7 second text")] * 3
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(450)], "doc_id bigint, quality int, toxic int")
+    sample = compression.training_texts(documents(rows), labels)
+    for quality in (0, 1):
+        sizes = [len(t) for q, t in sample if q == quality]
+        assert 3500 < sum(sizes) <= 5000 and max(sizes) <= 900
+    assert all(q == int(t.split()[0]) % 2 and zlib.crc32(t.split()[0]) % 4 != 2 for q, t in sample)
+    assert len(sample) == len({t.split()[0] for _, t in sample})
+    assert sample == compression.training_texts(documents(rows, partitions=7), labels)
+
+
+def walked(forest, x):
+    """Probability of one row, tree by tree and node by node."""
+    margin = forest.bias
+    for root in forest.roots:
+        at = int(root)
+        while forest.left[at] != at:
+            at = int(forest.left[at] if x[forest.feature[at]] <= forest.threshold[at] else forest.right[at])
+        margin += forest.value[at]
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_verdicts_against_a_walk(spark):
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    forest = rules.train(docs, labels)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    got = queries.QUERIES["op7_quality_rules"](spark, FOLDER).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        badness = walked(forest, rules.statistics(texts[r["doc_id"]])[1])
+        assert abs(badness - r["badness"]) < 1e-9 and r["kept"] == (not r["base_failed"] and badness < rules.REJECT)
+
+
+def test_repeated_labelled_rows_teach_once(spark, documents):
+    rows = [(i, f"text {i} " * 30) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    x, y = rules.training_rows(documents(rows), labels)
+    again = rules.training_rows(documents(rows + rows[:5] * 20, partitions=5), labels)
+    assert (x == again[0]).all() and (y == again[1]).all() and len(x) == 40
