@@ -176,3 +176,11 @@ class Memo(dict):
 def by_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator needs, under fixed names; columns of other names don't get in the way."""
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def free_prefix(columns: list[str]) -> str:
+    """A run of underscores that none of the names begins with, for columns of one's own beside them."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
