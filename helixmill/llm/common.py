@@ -53,7 +53,8 @@ class Scratch:
     """Written tables that go as soon as nothing reads them any more."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.held = spark, []
+        self.spark = spark
+        self.held: list[tuple[DataFrame | None, str]] = []
 
     def write(self, df: DataFrame) -> DataFrame:
         """``df`` after a round trip through Parquet in the shared folder: short lineage, computed once."""
@@ -81,8 +82,17 @@ def written(df: DataFrame) -> DataFrame:
     return RESULTS[-1].write(df)
 
 
+def result_dir(spark: SparkSession) -> str:
+    """A new folder for files that a result reads; it goes like the tables of ``written``."""
+    path = shared_dir(spark)
+    if not RESULTS or RESULTS[-1].spark is not spark:
+        RESULTS.append(Scratch(spark))
+    RESULTS[-1].held.append((None, path))
+    return path
+
+
 def release() -> None:
-    """Deletes the tables behind all results so far, which can't be read any more, except of stopped sessions."""
+    """Deletes the tables and files behind all results so far, which can't be read any more, except of stopped sessions."""
     while RESULTS:
         scratch = RESULTS.pop()
         if scratch.spark.sparkContext._jsc is not None:

@@ -9,8 +9,10 @@ each), so records can be read in any order. Shards hold ascending ranges of doc_
 Each task writes files under names of its own and reports them; only reported files count, so a task that runs again
 or twice leaves none that are read. Files go to the shared folder through pyarrow's file systems.
 
-Defined results: a null or empty text has no ids but the end id; rows with one doc_id stay together, ordered by ids;
-an empty table gives no shards and an empty result. A damaged frame raises.
+Texts are taken whole, whatever their length. Defined results: a null or empty text has no ids but the end id; rows
+with one doc_id stay together, ordered by ids; a null doc_id comes first and is told by ``NO_ID``, so that a doc_id of
+that value raises; an empty table gives no shards and an empty result; columns of other names are ignored. A damaged
+frame raises.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import as_text, by_id, shared_dir, steps, written
+from helixmill.llm.common import as_text, by_id, result_dir, shared_dir, steps, written
 from helixmill.llm.pieces import codec
 
 #: Bytes of a generation of a worker's memo: large, as encoding is most of the work here.
@@ -107,6 +109,8 @@ def write_records(docs: DataFrame, folder: str | None = None, path: str = VOCABU
         kind = "<u2" if max(own.size - 1, end_id or 0) < 2**16 else "<u4"
         end = b"" if end_id is None else np.array([end_id], kind).tobytes()
         for batch in steps(batches):
+            if NO_ID in batch.column("doc_id").to_pylist():
+                raise ValueError(f"a doc_id of {NO_ID} can't be stored")
             ids = [np.frombuffer(own.packed(x), "<u4").astype(kind).tobytes() + end for x in as_text(batch.column("text"))]
             shard = np.array([0 if d is None else np.searchsorted(edges, d, "left") for d in batch.column("doc_id").to_pylist()], np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shard), pa.array([int(kind[2])] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "shard", "width", "ids"])
@@ -213,7 +217,7 @@ def read_shuffled(manifest: DataFrame, seed: int, partitions: int) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """Write, read back, digest: doc_id, start, n_tokens, ids_crc32."""
-    return read_records(write_records(docs)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_records(write_records(docs, result_dir(docs.sparkSession))).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def remove(spark: SparkSession, manifest: DataFrame) -> None:
