@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.bases import check_k, uniform
-from helixmill.operators.shred import code_of, shred, spread
+from helixmill.operators.shred import code_of, shred, spanning_blocks, spread
 
 
-def count_kmers(reads: DataFrame, k: int, sequence: str = "sequence") -> DataFrame:
+def kmer_counts(reads: DataFrame, k: int, sequence: str = "sequence") -> DataFrame:
     """Sparse counts over all reads: kmer_id, y. K-mers never span reads; absent ones count 0.
 
     Counted as strings with map-side combine; only distinct k-mers are turned into integers.
@@ -20,10 +20,9 @@ def count_kmers(reads: DataFrame, k: int, sequence: str = "sequence") -> DataFra
     return shred(spread(reads.select(sequence)), k, sequence).groupBy("kmer").agg(F.count("*").alias("y")).select(code_of(F.col("kmer")).alias("kmer_id"), "y")
 
 
-def spanning_reads(reads: DataFrame, file: str = "file_idx", order: str = "seq_idx", sequence: str = "sequence") -> DataFrame:
-    """The reads of each file joined in order, for counts that span reads: one row for each file."""
-    listed = reads.groupBy(file).agg(F.array_sort(F.collect_list(F.struct(order, sequence))).alias("__s"))
-    return listed.select(file, F.array_join(F.transform("__s", lambda x: x[sequence]), "").alias(sequence))
+def spanning_counts(reads: DataFrame, k: int, file: str = "file", order: str = "seq_idx", sequence: str = "sequence") -> DataFrame:
+    """Counts over the reads of each file joined in order, so that k-mers span reads: kmer_id, y."""
+    return kmer_counts(spanning_blocks(reads, k, file, order, sequence), k, sequence)
 
 
 def zero_filled(counts: DataFrame, k: int) -> DataFrame:
@@ -39,7 +38,7 @@ def total(counts: DataFrame) -> DataFrame:
 
 def density(reads: DataFrame, ks: list[int], sequence: str = "sequence") -> DataFrame:
     """For each k: nnz (distinct k-mers) and density (nnz / 4^k)."""
-    parts = [count_kmers(reads, k, sequence).agg(F.count_if(F.col("y") > 0).alias("nnz")).select(F.lit(k).alias("k"), "nnz", (F.col("nnz") / float(4**k)).alias("density")) for k in ks]
+    parts = [kmer_counts(reads, k, sequence).agg(F.count_if(F.col("y") > 0).alias("nnz")).select(F.lit(k).alias("k"), "nnz", (F.col("nnz") / float(4**k)).alias("density")) for k in ks]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.bases import valid_windows
 from helixmill.operators.order import running
-from helixmill.operators.shred import code_of, reads_of, shred, shred_positions, spread
+from helixmill.operators.shred import code_of, shred, shred_positions, spanning_blocks, spread
+from helixmill.session import written
 
 
 def keep_records(records: DataFrame, min_length: int = 0, header: str | None = "header", sequence: str = "sequence", reject: str = "PREDICTED") -> DataFrame:
@@ -32,24 +33,38 @@ def build_matrix(isoforms: DataFrame, k: int, id_col: str = "isoform_id", sequen
     return counted.select(code_of(F.col("kmer")).alias("kmer_id"), "isoform_id", "cnt", (F.col("cnt") / F.col("total")).alias("p"))
 
 
-def concatenated(records: DataFrame, file: str, order: str, min_length: int = 0, sequence: str = "sequence") -> DataFrame:
-    """One isoform for each file, its records joined in order; a file that is too short keeps an empty sequence."""
-    listed = records.groupBy(file).agg(F.array_sort(F.collect_list(F.struct(order, sequence))).alias("__s"))
-    joined = listed.select(file, F.array_join(F.transform("__s", lambda x: x[sequence]), "").alias(sequence))
-    return joined.withColumn(sequence, F.when(F.length(sequence) >= min_length, F.col(sequence)).otherwise(""))
+def file_matrix(records: DataFrame, k: int, file: str, order: str, min_length: int = 0, sequence: str = "sequence") -> DataFrame:
+    """X with an isoform for each file, its records joined in order: kmer_id, isoform_id (the file), cnt, p.
+
+    A file whose joined text is shorter than ``min_length`` has no rows; ``short_files`` names these empty columns.
+    """
+    blocks = written(spanning_blocks(records, k, file, order, sequence))
+    kept = blocks.join(short_files(records, file, min_length, sequence), file, "left_anti") if min_length else blocks
+    whole = kept.groupBy(file).agg(F.sum(valid_windows(F.col(sequence), k)).alias("total")).where("total > 0")
+    counted = shred(kept, k, sequence, (file,)).groupBy(file, "kmer").agg(F.count("*").alias("cnt")).join(whole, file)
+    return counted.select(code_of(F.col("kmer")).alias("kmer_id"), F.col(file).alias("isoform_id"), "cnt", (F.col("cnt") / F.col("total")).alias("p"))
+
+
+def short_files(records: DataFrame, file: str, min_length: int, sequence: str = "sequence") -> DataFrame:
+    """Files whose records together are shorter than ``min_length``."""
+    return records.groupBy(file).agg(F.coalesce(F.sum(F.length(sequence)), F.lit(0)).alias("__n")).where(F.col("__n") < min_length).select(file)
 
 
 def read_aware_matrix(isoforms: DataFrame, k: int, read_length: int, id_col: str = "isoform_id", sequence: str = "sequence") -> DataFrame:
-    """X weighted by how many reads of ``read_length`` cover each k-mer: kmer_id, isoform_id, weight, p."""
-    reads = reads_of(spread(isoforms.select(F.col(id_col).alias("isoform_id"), F.col(sequence).alias("sequence"))), read_length, "sequence", ("isoform_id",))
-    counted = shred(reads, k, "read", ("isoform_id",)).groupBy("isoform_id", "kmer").agg(F.count("*").alias("weight"))
-    whole = F.sum("weight").over(Window.partitionBy("isoform_id"))
-    return counted.select(code_of(F.col("kmer")).alias("kmer_id"), "isoform_id", "weight", (F.col("weight") / whole).alias("p"))
+    """X weighted by how many reads of ``read_length`` cover each k-mer: kmer_id, isoform_id, weight, p.
+
+    The reads that cover a place are counted from it and the length, without making them.
+    """
+    kept = isoforms.where(F.length(sequence) >= read_length)
+    last = F.least(F.col("position"), F.col("length") - read_length)
+    covering = last - F.greatest(F.lit(0), F.col("position") - (read_length - k)) + 1
+    return weighted_matrix(kept, k, covering, id_col, sequence)
 
 
 def weighted_matrix(isoforms: DataFrame, k: int, weight: Column, id_col: str = "isoform_id", sequence: str = "sequence") -> DataFrame:
-    """X with a weight for each occurrence, an expression of ``position``: kmer_id, isoform_id, weight, p."""
-    placed = shred_positions(spread(isoforms.select(F.col(id_col).alias("isoform_id"), F.col(sequence).alias("sequence"))), k, "sequence", ("isoform_id",))
+    """X with a weight for each occurrence, an expression of ``position`` and ``length``: kmer_id, isoform_id, weight, p."""
+    named = isoforms.select(F.col(id_col).alias("isoform_id"), F.col(sequence).alias("sequence"), F.length(sequence).alias("length"))
+    placed = shred_positions(spread(named), k, "sequence", ("isoform_id", "length"))
     summed = placed.withColumn("__w", weight).groupBy("isoform_id", "kmer_id").agg(F.sum("__w").alias("weight"))
     whole = summed.groupBy("isoform_id").agg(F.sum("weight").alias("__t"))
     return summed.join(whole, "isoform_id").select("kmer_id", "isoform_id", "weight", (F.col("weight") / F.col("__t")).alias("p"))
@@ -81,6 +96,20 @@ def row_pointers(x: DataFrame, row: str = "kmer_id") -> DataFrame:
     return running(sizes, [row], "entries", "start").select(row, "entries", F.col("start").cast("bigint").alias("start"))
 
 
+def shape_faults(x: DataFrame, y: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    """One row: rows of X and of y outside the 4^k k-mers, and isoforms of X without a length; all 0 if shapes agree."""
+    outside = F.count_if((F.col("kmer_id") < 0) | (F.col("kmer_id") >= 4**k))
+    unknown = x.select("isoform_id").distinct().join(lengths.select("isoform_id"), "isoform_id", "left_anti").agg(F.count("*").alias("isoforms_without_length"))
+    return x.agg(outside.alias("x_outside")).withColumns({"y_outside": y.agg(outside).scalar(), "isoforms_without_length": unknown.scalar()})
+
+
+def check_shapes(x: DataFrame, y: DataFrame, lengths: DataFrame, k: int) -> None:
+    """Raises if shapes don't agree."""
+    found = shape_faults(x, y, lengths, k).first().asDict()
+    if any(found.values()):
+        raise ValueError(f"matrix, counts and lengths don't agree: {found}")
+
+
 def check_lengths(x: DataFrame, lengths: DataFrame) -> None:
     """Raises if an isoform of X has no length."""
     if not x.select("isoform_id").distinct().join(lengths, "isoform_id", "left_anti").isEmpty():

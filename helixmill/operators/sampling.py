@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from helixmill.functions.bases import uniform
 from helixmill.operators.linalg import over_all, share
 from helixmill.operators.order import running
+from helixmill.session import written
 
-#: Cells that the unit interval is cut into, so that the range join is an equi-join on cells.
+#: Cells of the unit interval at least; there are about as many as categories, so that the range join is an equi-join
+#: on cells that each hold few categories.
 CELLS = 1024
 
 
@@ -22,10 +24,12 @@ def cumulative(p: DataFrame, order: str = "isoform_id", value: str = "value") ->
 
 def draw(p: DataFrame, draws: DataFrame, u: str = "u", order: str = "isoform_id") -> DataFrame:
     """Joins each draw to the category whose interval holds ``u``: a range join by cells of the unit interval."""
-    ranges = cumulative(p, order).where("high > low")
-    cells = ranges.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS).cast("bigint")))))
-    keyed = draws.withColumn("__cell", F.floor(F.col(u) * CELLS))
-    return keyed.join(cells, "__cell").where((F.col(u) >= F.col("low")) & (F.col(u) < F.col("high"))).drop("__cell")
+    ranges = written(cumulative(p, order).where("high > low"))
+    cells = max(CELLS, 1 << (ranges.count() - 1).bit_length()) if not ranges.isEmpty() else CELLS
+    first, last = F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells).cast("bigint"))
+    spread = ranges.withColumn("__cell", F.explode(F.sequence(first, last)))
+    keyed = draws.withColumn("__cell", F.floor(F.col(u) * cells))
+    return keyed.join(spread, "__cell").where((F.col(u) >= F.col("low")) & (F.col(u) < F.col("high"))).drop("__cell")
 
 
 def draws(spark, n: int, seed: int) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.bases import BASES, DIGITS, check_k, encode, is_valid
+from helixmill.operators.order import running
 
-#: Windows of a chunk. Substring walks a string from its start, so long runs are cut first.
+#: Characters of a chunk. Substring walks a string from its start, so long runs are cut first, in one pass.
 CHUNK = 128
 
 
@@ -18,8 +19,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _chunks(run: Column, k: int) -> Column:
-    last = F.floor((F.length(run) - k) / CHUNK).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda c: F.substr(run, c * CHUNK + 1, F.lit(CHUNK + k - 1)))
+    """A run in chunks that overlap by k - 1, so that each window of k lies in one."""
+    size = max(CHUNK, k)
+    blocks = F.transform(F.array(F.regexp_extract_all(run, F.lit(f"(?s).{{1,{size}}}+"), F.lit(0))), lambda cut: F.transform(cut, lambda c, i: F.concat(c, F.coalesce(F.left(F.get(cut, i + 1), F.lit(k - 1)), F.lit("")))))
+    return F.when(F.length(run) <= size, F.array(run)).otherwise(F.get(blocks, F.lit(0)))
+
+
+def _chunk_size(k: int) -> int:
+    return max(CHUNK, k)
 
 
 def _windows(chunk: Column, k: int) -> Column:
@@ -50,7 +57,7 @@ def shred_positions(df: DataFrame, k: int, sequence: str = "sequence", keep: tup
     chunks = long.select(*keep, F.posexplode(_chunks(F.col(sequence), k)).alias("__c", "__chunk")).where(F.length("__chunk") >= k)
     windows = chunks.select(*keep, "__c", F.posexplode(_windows(F.col("__chunk"), k)).alias("__i", "__kmer"))
     valid = windows.where(is_valid(F.col("__kmer"), k))
-    return valid.select(*keep, (F.col("__c") * CHUNK + F.col("__i")).cast("bigint").alias("position"), encode(F.col("__kmer")).alias("kmer_id"))
+    return valid.select(*keep, (F.col("__c") * _chunk_size(k) + F.col("__i")).cast("bigint").alias("position"), encode(F.col("__kmer")).alias("kmer_id"))
 
 
 def reads_of(df: DataFrame, length: int, sequence: str = "sequence", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -58,10 +65,32 @@ def reads_of(df: DataFrame, length: int, sequence: str = "sequence", keep: tuple
     long = df.where(F.length(sequence) >= length)
     chunks = long.select(*keep, F.posexplode(_chunks(F.col(sequence), length)).alias("__c", "__chunk")).where(F.length("__chunk") >= length)
     windows = chunks.select(*keep, "__c", F.posexplode(_windows(F.col("__chunk"), length)).alias("__i", "read"))
-    return windows.select(*keep, (F.col("__c") * CHUNK + F.col("__i")).cast("bigint").alias("position"), "read")
+    return windows.select(*keep, (F.col("__c") * _chunk_size(length) + F.col("__i")).cast("bigint").alias("position"), "read")
 
 
 def shred_pairs(df: DataFrame, k: int, first: str, second: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """K-mers of both reads of a pair, each read shredded by itself."""
     one = df.select(*keep, F.explode(F.array(first, second)).alias("sequence"))
     return shred(one, k, "sequence", keep)
+
+
+#: Characters of a block of joined records.
+BLOCK = 1 << 16
+
+
+def spanning_blocks(records: DataFrame, k: int, file: str, order: str, sequence: str = "sequence", block: int = BLOCK) -> DataFrame:
+    """The records of each file joined in order, cut into blocks that overlap by k - 1: file, sequence.
+
+    Each window of k of the joined text lies in one block, so nothing holds a whole file. ``order`` tells the records of
+    a file apart. Places are running sums of lengths; a record gives a piece to each block that it reaches into.
+    """
+    text = F.coalesce(F.col(sequence), F.lit(""))
+    placed = running(records.select(file, order, F.length(text).cast("bigint").alias("__n")), [file, order], "__n", "__at")
+    whole = records.select(file, order, text.alias("__s")).join(placed, [file, order]).where("__n > 0")
+    first, last = F.greatest(F.lit(0), F.floor((F.col("__at") - (k - 1)) / block)), F.floor((F.col("__at") + F.col("__n") - 1) / block)
+    reached = whole.withColumn("__b", F.explode(F.sequence(first, last)))
+    start, end = F.greatest(F.col("__b") * block, F.col("__at")), F.least((F.col("__b") + 1) * block + (k - 1), F.col("__at") + F.col("__n"))
+    piece = F.substr("__s", (start - F.col("__at") + 1).cast("int"), (end - start).cast("int"))
+    pieces = reached.select(file, "__b", F.struct(start.alias("at"), piece.alias("piece")).alias("__p"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("__p")), lambda p: p["piece"]), "")
+    return pieces.groupBy(file, "__b").agg(joined.alias(sequence)).select(file, sequence)

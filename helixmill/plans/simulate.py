@@ -67,6 +67,6 @@ def simulate(records: DataFrame, n: int, read_length: int, alpha: float, seed: i
     return named, truth
 
 
-def all_kmers(spark, k: int) -> DataFrame:
+def every_kmer(spark, k: int) -> DataFrame:
     """One record whose sequence holds every k-mer once: header, sequence."""
     return spark.createDataFrame([(f"all-{k}-mers", de_bruijn(k))], "header string, sequence string")

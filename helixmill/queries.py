@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from helixmill.functions.bases import decode, effective_length, encode, from_text, header_id, names_in, uniform
 from helixmill.operators import counts, lengths, linalg, matrix, metrics, prep, sampling
 from helixmill.operators.shred import code_of, shred, shred_pairs, shred_positions, spread
-from helixmill.plans.simulate import all_kmers, sampled_reads
+from helixmill.plans.simulate import every_kmer, sampled_reads
 from helixmill.session import shared_path
 from helixmill.sources import files
 from helixmill.streaming.counts import counts_available_now
@@ -43,7 +43,7 @@ def code(k: int, kmer: str = "kmer") -> str:
     return "(" + " + ".join(f"(strpos('ACGT', substr({kmer}, {i + 1}, 1)) - 1) * {4 ** (k - 1 - i)}" for i in range(k)) + ")::BIGINT"
 
 
-def kmers(name: str, k: int, source: str, keys: str = "") -> str:
+def valid_words(name: str, k: int, source: str, keys: str = "") -> str:
     """SQL of a CTE of all valid k-mers of ``source`` (with a column s): keys, i, kmer."""
     own = f"{keys}, " if keys else ""
     return f"{name} AS (SELECT {own}i, substr(s, i, {k}) AS kmer FROM (SELECT {own}s, unnest(range(1, length(s) - {k} + 2)) AS i FROM {source}) WHERE regexp_full_match(substr(s, i, {k}), '[ACGT]{{{k}}}'))"
@@ -55,12 +55,12 @@ READS = f"reads AS (SELECT {SEQ} AS s FROM conversations)"
 
 def x_cte(k: int, source: str = "seqs") -> str:
     """SQL of X over ``source``."""
-    return f"{kmers('xk', k, source, 'isoform_id')}, x AS (SELECT {code(k)} AS kmer_id, isoform_id, count(*) AS cnt, count(*) / sum(count(*)) OVER (PARTITION BY isoform_id) AS p FROM xk GROUP BY isoform_id, kmer)"
+    return f"{valid_words('xk', k, source, 'isoform_id')}, x AS (SELECT {code(k)} AS kmer_id, isoform_id, count(*) AS cnt, count(*) / sum(count(*)) OVER (PARTITION BY isoform_id) AS p FROM xk GROUP BY isoform_id, kmer)"
 
 
 def y_cte(k: int) -> str:
     """SQL of counts over conversations."""
-    return f"{kmers('yk', k, 'reads')}, y AS (SELECT {code(k)} AS kmer_id, count(*) AS y FROM yk GROUP BY kmer)"
+    return f"{valid_words('yk', k, 'reads')}, y AS (SELECT {code(k)} AS kmer_id, count(*) AS y FROM yk GROUP BY kmer)"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,34 +80,34 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def x_and_y(spark: SparkSession, sf_dir: str, k: int = 3) -> tuple[DataFrame, DataFrame]:
     """X of the documents and y of the conversations."""
-    return matrix.build_matrix(isoforms(spark, sf_dir), k), counts.count_kmers(reads(spark, sf_dir), k)
+    return matrix.build_matrix(isoforms(spark, sf_dir), k), counts.kmer_counts(reads(spark, sf_dir), k)
 
 
 # K-mers and counts.
 
 
-@query(f"WITH {DOCS}, {kmers('k', 4, 'seqs')} SELECT {code(4)} AS kmer_id, count(*) AS y FROM k GROUP BY kmer")
+@query(f"WITH {DOCS}, {valid_words('k', 4, 'seqs')} SELECT {code(4)} AS kmer_id, count(*) AS y FROM k GROUP BY kmer")
 def kmer_count_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count_kmers(isoforms(spark, sf_dir), 4)
+    return counts.kmer_counts(isoforms(spark, sf_dir), 4)
 
 
-@query(f"WITH {READS}, {kmers('k', 12, 'reads')} SELECT {code(12)} AS kmer_id, count(*) AS y FROM k GROUP BY kmer")
+@query(f"WITH {READS}, {valid_words('k', 12, 'reads')} SELECT {code(12)} AS kmer_id, count(*) AS y FROM k GROUP BY kmer")
 def kmer_count_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count_kmers(reads(spark, sf_dir), 12)
+    return counts.kmer_counts(reads(spark, sf_dir), 12)
 
 
-@query(f"WITH {READS}, {kmers('k', 5, 'reads')} SELECT DISTINCT kmer, {code(5)} AS kmer_id FROM k")
+@query(f"WITH {READS}, {valid_words('k', 5, 'reads')} SELECT DISTINCT kmer, {code(5)} AS kmer_id FROM k")
 def kmer_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = shred(spread(reads(spark, sf_dir)), 5).distinct().select(F.translate("kmer", "0123", "ACGT").alias("kmer"))
     return words.select("kmer", encode(F.col("kmer")).alias("kmer_id"))
 
 
-@query(f"WITH {READS}, {kmers('k', 5, 'reads')} SELECT DISTINCT {code(5)} AS kmer_id, kmer FROM k")
+@query(f"WITH {READS}, {valid_words('k', 5, 'reads')} SELECT DISTINCT {code(5)} AS kmer_id, kmer FROM k")
 def kmer_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count_kmers(reads(spark, sf_dir), 5).select("kmer_id", decode(F.col("kmer_id"), 5).alias("kmer"))
+    return counts.kmer_counts(reads(spark, sf_dir), 5).select("kmer_id", decode(F.col("kmer_id"), 5).alias("kmer"))
 
 
-@query(f"WITH b AS (SELECT item_id, {SEQ} AS s FROM benchmark), {kmers('k', 3, 'b', 'item_id')} SELECT item_id, i - 1 AS position, {code(3)} AS kmer_id FROM k")
+@query(f"WITH b AS (SELECT item_id, {SEQ} AS s FROM benchmark), {valid_words('k', 3, 'b', 'item_id')} SELECT item_id, i - 1 AS position, {code(3)} AS kmer_id FROM k")
 def kmer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark").select("item_id", from_text(F.coalesce("text", F.lit(""))).alias("sequence"))
     return shred_positions(items, 3, "sequence", ("item_id",))
@@ -115,7 +115,7 @@ def kmer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH p AS (SELECT conv_id, min(turn) AS a, max(turn) AS b FROM conversations GROUP BY conv_id HAVING count(*) > 1),
 ends AS (SELECT {SEQ} AS s FROM conversations c JOIN p ON c.conv_id = p.conv_id AND c.turn IN (p.a, p.b)),
-{kmers("k", 3, "ends")} SELECT {code(3)} AS kmer_id, count(*) AS y FROM k GROUP BY kmer""")
+{valid_words("k", 3, "ends")} SELECT {code(3)} AS kmer_id, count(*) AS y FROM k GROUP BY kmer""")
 def kmer_count_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = reads(spark, sf_dir)
     pairs = turns.groupBy("conv_id").agg(F.min_by("sequence", "turn").alias("first"), F.max_by("sequence", "turn").alias("second"), F.count("*").alias("n")).where("n > 1")
@@ -123,29 +123,29 @@ def kmer_count_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH j AS (SELECT conv_id, string_agg({SEQ}, '' ORDER BY turn) AS s FROM conversations GROUP BY conv_id),
-{kmers('k', 4, 'j')} SELECT {code(4)} AS kmer_id, count(*) AS y FROM k GROUP BY kmer""")
+{valid_words('k', 4, 'j')} SELECT {code(4)} AS kmer_id, count(*) AS y FROM k GROUP BY kmer""")
 def kmer_count_spanning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count_kmers(counts.spanning_reads(reads(spark, sf_dir), "conv_id", "turn"), 4)
+    return counts.spanning_counts(reads(spark, sf_dir), 4, "conv_id", "turn")
 
 
 @query(f"WITH {READS}, {y_cte(4)} SELECT r.i AS kmer_id, coalesce(y.y, 0)::BIGINT AS y FROM range(256) r(i) LEFT JOIN y ON y.kmer_id = r.i")
 def kmer_space_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.zero_filled(counts.count_kmers(reads(spark, sf_dir), 4), 4)
+    return counts.zero_filled(counts.kmer_counts(reads(spark, sf_dir), 4), 4)
 
 
 @query(f"WITH {READS}, {y_cte(4)} SELECT sum(y)::BIGINT AS n FROM y")
 def kmer_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.total(counts.count_kmers(reads(spark, sf_dir), 4))
+    return counts.total(counts.kmer_counts(reads(spark, sf_dir), 4))
 
 
-@query("WITH " + READS + ", " + ", ".join(kmers(f"k{k}", k, "reads") for k in (2, 3, 4, 5)) + " " + " UNION ALL ".join(f"SELECT {k} AS k, count(DISTINCT kmer) AS nnz, count(DISTINCT kmer) / {4**k}.0::DOUBLE AS density FROM k{k}" for k in (2, 3, 4, 5)))
+@query("WITH " + READS + ", " + ", ".join(valid_words(f"k{k}", k, "reads") for k in (2, 3, 4, 5)) + " " + " UNION ALL ".join(f"SELECT {k} AS k, count(DISTINCT kmer) AS nnz, count(DISTINCT kmer) / {4**k}.0::DOUBLE AS density FROM k{k}" for k in (2, 3, 4, 5)))
 def nnz_density_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.density(reads(spark, sf_dir), [2, 3, 4, 5])
 
 
 @query("SELECT i AS kmer_id, 1::BIGINT AS y FROM range(1024) r(i)")
 def de_bruijn_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count_kmers(all_kmers(spark, 5), 5)
+    return counts.kmer_counts(every_kmer(spark, 5), 5)
 
 
 @query(f"WITH {READS}, {y_cte(3)} SELECT kmer_id, y FROM y")
@@ -172,19 +172,19 @@ def kmer_matrix_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DOCS}, f AS (SELECT source AS isoform_id, string_agg(s, '' ORDER BY isoform_id) AS s FROM seqs GROUP BY source),
 g AS (SELECT isoform_id, CASE WHEN length(s) >= 100 THEN s ELSE '' END AS s FROM f), {x_cte(3, 'g')} SELECT kmer_id, isoform_id, cnt, p FROM x""")
 def kmer_matrix_concat_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = matrix.concatenated(isoforms(spark, sf_dir), "source", "isoform_id", 100)
-    return matrix.build_matrix(whole, 3, "source")
+    records = isoforms(spark, sf_dir).withColumnRenamed("isoform_id", "seq_idx")
+    return matrix.file_matrix(records, 3, "source", "seq_idx", 100)
 
 
 @query(f"""WITH b AS (SELECT item_id AS isoform_id, {SEQ} AS s FROM benchmark),
 r AS (SELECT isoform_id, substr(s, j, 6) AS s FROM (SELECT isoform_id, s, unnest(range(1, length(s) - 4)) AS j FROM b)),
-{kmers('k', 3, 'r', 'isoform_id')} SELECT {code(3)} AS kmer_id, isoform_id, count(*) AS weight, count(*) / sum(count(*)) OVER (PARTITION BY isoform_id) AS p FROM k GROUP BY isoform_id, kmer""")
+{valid_words('k', 3, 'r', 'isoform_id')} SELECT {code(3)} AS kmer_id, isoform_id, count(*) AS weight, count(*) / sum(count(*)) OVER (PARTITION BY isoform_id) AS p FROM k GROUP BY isoform_id, kmer""")
 def read_aware_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("isoform_id"), from_text(F.coalesce("text", F.lit(""))).alias("sequence"))
     return matrix.read_aware_matrix(items, 3, 6)
 
 
-@query(f"""WITH b AS (SELECT item_id AS isoform_id, {SEQ} AS s FROM benchmark), {kmers('k', 3, 'b', 'isoform_id')},
+@query(f"""WITH b AS (SELECT item_id AS isoform_id, {SEQ} AS s FROM benchmark), {valid_words('k', 3, 'b', 'isoform_id')},
 w AS (SELECT {code(3)} AS kmer_id, isoform_id, sum(1.0::DOUBLE / i) AS weight FROM k GROUP BY isoform_id, kmer)
 SELECT kmer_id, isoform_id, round(weight, 9) AS weight, round(weight / sum(weight) OVER (PARTITION BY isoform_id), 9) AS p FROM w""")
 def position_weighted_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,13 +200,13 @@ def row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {READS}, b AS (SELECT item_id AS isoform_id, {SEQ} AS s FROM benchmark), {x_cte(6, 'b')}, {y_cte(6)} SELECT kmer_id, y FROM y WHERE kmer_id IN (SELECT kmer_id FROM x)")
 def covered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("isoform_id"), from_text(F.coalesce("text", F.lit(""))).alias("sequence"))
-    return matrix.covered(counts.count_kmers(reads(spark, sf_dir), 6), matrix.build_matrix(items, 6))
+    return matrix.covered(counts.kmer_counts(reads(spark, sf_dir), 6), matrix.build_matrix(items, 6))
 
 
 @query(f"WITH {READS}, b AS (SELECT item_id AS isoform_id, {SEQ} AS s FROM benchmark), {x_cte(6, 'b')}, {y_cte(6)} SELECT kmer_id, y FROM y WHERE kmer_id NOT IN (SELECT kmer_id FROM x)")
 def empty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("isoform_id"), from_text(F.coalesce("text", F.lit(""))).alias("sequence"))
-    return matrix.uncovered(counts.count_kmers(reads(spark, sf_dir), 6), matrix.build_matrix(items, 6))
+    return matrix.uncovered(counts.kmer_counts(reads(spark, sf_dir), 6), matrix.build_matrix(items, 6))
 
 
 @query(f"WITH {DOCS}, {x_cte(3)} SELECT count(*) AS nnz FROM x")
@@ -249,10 +249,10 @@ def clean_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.clean(read(spark, sf_dir, "documents"), "text", "text", ", ").select("doc_id", "source")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE length(p_name) > 5 AND regexp_matches(p_type, 'ST|PR')")
+@query("SELECT p_partkey, p_name FROM part WHERE length(p_name) > 8 AND regexp_matches(replace(replace(upper(p_type), 'ST', 'NM_'), 'PR', 'XM_'), 'NM|XM')")
 def clean_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part").where(F.col("p_type").rlike("ST|PR")).withColumn("name", F.lit("NM_1"))
-    return prep.clean_strict(part, "name", "p_name", 5).select("p_partkey", "p_name")
+    part = read(spark, sf_dir, "part").withColumn("name", F.replace(F.replace(F.upper("p_type"), F.lit("ST"), F.lit("NM_")), F.lit("PR"), F.lit("XM_")))
+    return prep.clean_strict(part, "name", "p_name", 8).select("p_partkey", "p_name")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -486,7 +486,7 @@ def simulate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH d AS (SELECT {SEQ} AS s, r AS replicate, ('0x' || substr(md5('11-' || r || '-' || conv_id || '-' || turn), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM conversations, range(3) t(r)),
 times AS (SELECT replicate, s, {" + ".join(f"(u >= {limit!r}::DOUBLE)::BIGINT" for limit in counts.POISSON)} AS times FROM d), b AS (SELECT * FROM times WHERE times > 0),
-{kmers('k', 3, 'b', 'replicate, times')} SELECT replicate::INT AS replicate, {code(3)} AS kmer_id, sum(times)::BIGINT AS y FROM k GROUP BY replicate, kmer""")
+{valid_words('k', 3, 'b', 'replicate, times')} SELECT replicate::INT AS replicate, {code(3)} AS kmer_id, sum(times)::BIGINT AS y FROM k GROUP BY replicate, kmer""")
 def bootstrap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.bootstrap_counts(reads(spark, sf_dir), 3, 3, 11, ("conv_id", "turn"))
 
@@ -555,5 +555,5 @@ def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT 'doc ' || doc_id AS header, {BARE} AS sequence FROM documents WHERE {BARE} <> ''")
 def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "fastq")
-    files.write_fastq(bare(spark, sf_dir).coalesce(1), path)
+    files.write_fastq(bare(spark, sf_dir), path)
     return files.read_fastq(spark, path).select("header", "sequence")

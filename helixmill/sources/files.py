@@ -1,70 +1,68 @@
 """FASTA and FASTQ as DataFrames, and their writers.
 
 FASTA records come from Spark's text reader, one row for each record (``lineSep`` is a line end and ``>``), so large
-files are split and read in parallel. A header is the first line of a record without ``>``; sequence lines are stripped
-and joined. What stands before the first ``>`` is no record. Paths go through Spark, so any store that Spark reads will do.
+files are split and read in parallel, and no record is shuffled. A header is the first line of a record without ``>``;
+sequence lines are stripped and joined. What stands before the first ``>`` is no record. Paths go through Spark, so any
+store that Spark reads will do; FASTQ comes from the data source of ``helixmill.sources.fastq``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixmill.sources.fastq import FastqSource
+
 BLANKS = " \t\n\x0b\f\r"
+#: Files up to which their first records go to all tasks; beyond, they are joined by shuffle.
+FEW_FILES = 200_000
 
 
 def _files(paths: str | list[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def _raw_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, block (start of the split, row), value, and first: whether it is the first record of its file.
+
+    Only that one can still have its '>'. It is the least row of the split at 0, a row for each file.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(_files(paths))
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value")
+    heads = raw.where("start = 0").groupBy("file").agg(F.min("row").alias("head"))
+    heads = F.broadcast(heads) if len(raw.inputFiles()) <= FEW_FILES else heads
+    return raw.join(heads, "file", "left").select("file", F.struct("start", "row").alias("block"), "value", F.coalesce(F.col("row") == F.col("head"), F.lit(False)).alias("first"))
+
+
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, block, header, sequence. ``block`` orders the records of a file by their place in it."""
-    raw = spark.read.option("lineSep", "\n>").text(_files(paths))
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias("block"), "value")
-    # Only the first record of a file still has its '>'; without one, the text before the first record is dropped.
-    head = F.col("block.start") == 0
-    first = F.row_number().over(Window.partitionBy("file", "block.start").orderBy("block.row")) == 1
-    opened = raw.withColumn("__first", head & first)
-    text = F.when(F.col("__first") & F.col("value").startswith(">"), F.expr("substr(value, 2)")).when(~F.col("__first"), F.col("value"))
-    lines = opened.withColumn("__text", text).where(F.col("__text").isNotNull())
+    text = F.when(F.col("first") & F.col("value").startswith(">"), F.expr("substr(value, 2)")).when(~F.col("first"), F.col("value"))
+    lines = _raw_records(spark, paths).withColumn("__text", text).where(F.col("__text").isNotNull())
     end = F.instr("__text", "\n")
     header = F.rtrim(F.when(end > 0, F.expr("substr(__text, 1, instr(__text, '\n') - 1)")).otherwise(F.col("__text")), F.lit(BLANKS))
     body = F.when(end > 0, F.expr("substr(__text, instr(__text, '\n') + 1)")).otherwise("")
     # Blanks at both ends of each line go; blanks inside a line stay.
     sequence = F.regexp_replace(F.btrim(body, F.lit(BLANKS)), r"[ \t\x0b\f\r]*\n[ \t\n\x0b\f\r]*", "")
-    parsed = lines.select("file", "block", "__first", header.alias("header"), sequence.alias("sequence"))
-    return parsed.where(~(F.col("__first") & (F.col("header") == "") & (F.col("sequence") == ""))).drop("__first")
+    parsed = lines.select("file", "block", "first", header.alias("header"), sequence.alias("sequence"))
+    return parsed.where(~(F.col("first") & (F.col("header") == "") & (F.col("sequence") == ""))).drop("first")
 
 
 def read_fasta_native(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Like ``read_fasta`` but a file's first line is a header whatever it begins with, and headers keep '>'."""
-    raw = spark.read.option("lineSep", "\n>").text(_files(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value")
-    first = (F.row_number().over(Window.partitionBy("file", "start").orderBy("row")) == 1) & (F.col("start") == 0)
-    text = raw.withColumn("__t", F.when(first, F.col("value")).otherwise(F.concat(F.lit(">"), "value")))
+    text = _raw_records(spark, paths).withColumn("__t", F.when(F.col("first"), F.col("value")).otherwise(F.concat(F.lit(">"), "value")))
     end = F.instr("__t", "\n")
     header = F.when(end > 0, F.expr("substr(__t, 1, instr(__t, '\n') - 1)")).otherwise(F.col("__t"))
     body = F.when(end > 0, F.expr("substr(__t, instr(__t, '\n') + 1)")).otherwise("")
-    return text.select("file", F.struct("start", "row").alias("block"), header.alias("header"), F.regexp_replace(body, r"[ ]*\n|[ ]+$", "").alias("sequence")).where("header != ''")
+    return text.select("file", "block", header.alias("header"), F.regexp_replace(body, r"[ ]*\n|[ ]+$", "").alias("sequence")).where("header != ''")
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, seq_idx, header, sequence of FASTQ files, gzipped or not: the second of each four lines.
+    """file, seq_idx, header, sequence of FASTQ files or folders of them, gzipped or not; a partition for each file.
 
-    A gzipped file is one task, as gzip can't be split; a plain one is read whole too, since lines are counted from its
-    beginning. Raises on a file whose lines aren't a multiple of four.
+    Raises on a file whose lines aren't a multiple of four.
     """
-    parts = []
-    for path in _files(paths):
-        # One partition for each file keeps line order, so numbering within the partition is numbering within the file.
-        lines = spark.read.option("maxPartitionBytes", str(2**62)).text(path).coalesce(1)
-        parts.append(lines.select(F.lit(path).alias("file"), F.monotonically_increasing_id().alias("__n"), F.rtrim("value").alias("line")))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    every = every.withColumn("__n", F.col("__n").bitwiseAND((1 << 33) - 1))
-    groups = every.groupBy("file", F.floor(F.col("__n") / 4).alias("seq_idx")).agg(F.max(F.when(F.col("__n") % 4 == 0, F.col("line"))).alias("header"), F.max(F.when(F.col("__n") % 4 == 1, F.col("line"))).alias("sequence"), F.count("*").alias("__lines"))
-    checked = F.when(F.col("__lines") == 4, F.col("sequence")).otherwise(F.raise_error(F.concat(F.lit("incomplete FASTQ record in "), F.col("file"))))
-    return groups.select("file", "seq_idx", F.regexp_replace("header", "^@", "").alias("header"), checked.cast("string").alias("sequence"))
+    spark.dataSource.register(FastqSource)
+    return spark.read.format(FastqSource.name()).option("paths", "\n".join(_files(paths))).load()
 
 
 def read_quant(spark: SparkSession, path: str) -> DataFrame:

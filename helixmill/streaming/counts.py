@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +13,18 @@ def streaming_counts(reads: DataFrame, k: int, sequence: str = "sequence") -> Da
     return shred(reads, k, sequence).groupBy("kmer").agg(F.count("*").alias("y")).select(code_of(F.col("kmer")).alias("kmer_id"), "y")
 
 
-def counts_available_now(spark: SparkSession, reads: DataFrame, k: int, checkpoint: str, sequence: str = "sequence") -> DataFrame:
-    """Runs the stream over what is there and returns the final counts."""
-    name = f"counts_{uuid.uuid4().hex}"
-    query = streaming_counts(reads, k, sequence).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+def counts_available_now(spark: SparkSession, reads: DataFrame, k: int, folder: str, sequence: str = "sequence") -> DataFrame:
+    """Runs the stream over what is there and returns the final counts.
+
+    Each batch writes all counts as a table of its own below ``folder``, and a batch that runs again writes over its table;
+    the last one is the result. A stream without data has no counts.
+    """
+    done: list[int] = []
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/counts/{batch_id}")
+        done.append(batch_id)
+
+    query = streaming_counts(reads, k, sequence).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/counts/{max(done)}") if done else spark.createDataFrame([], "kmer_id bigint, y bigint")

@@ -112,7 +112,7 @@ def test_simulate_and_estimate(spark):
     assert reads.count() == 3000 and reads.where("length(sequence) <> 30").isEmpty()
     assert {r["isoform_id"] for r in truth.collect()} == set(range(6))
     kept = records.where("isoform_id < 6")
-    model = SimplexModel(matrix.build_matrix(kept, 8), counts.count_kmers(reads, 8), np.full(6, 91.0))
+    model = SimplexModel(matrix.build_matrix(kept, 8), counts.kmer_counts(reads, 8), np.full(6, 91.0))
     theta = solvers.fit(model, "mg", 40)
     true = [r["theta_true"] for r in truth.orderBy("isoform_id").collect()]
     assert np.abs(theta.x - true).sum() < 0.15

@@ -58,9 +58,9 @@ def test_fastq_gz(spark, tmp_path):
         f.write("@r1\nAAC\n+\nIII\n@r2\nACG\n+\nIII\n")
     got = files.read_fastq(spark, str(path))
     assert [(r["header"], r["sequence"]) for r in got.orderBy("seq_idx").collect()] == [("r1", "AAC"), ("r2", "ACG")]
-    per_read = {r["kmer_id"]: r["y"] for r in counts.count_kmers(got, 2).collect()}
+    per_read = {r["kmer_id"]: r["y"] for r in counts.kmer_counts(got, 2).collect()}
     assert per_read == {0: 1, 1: 2, 6: 1}
-    spanning = {r["kmer_id"]: r["y"] for r in counts.count_kmers(counts.spanning_reads(got, "file"), 2).collect()}
+    spanning = {r["kmer_id"]: r["y"] for r in counts.spanning_counts(got, 2).collect()}
     assert spanning == {0: 1, 1: 2, 4: 1, 6: 1}
 
 
@@ -92,3 +92,39 @@ def test_store(spark, tmp_path):
     write_csv(spark.range(2), str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["id"]
     assert "K3" in store.title(problem, ModelSettings())
+
+
+def test_fasta_is_read_in_splits_without_a_shuffle(spark, tmp_path):
+    """Records that fall across many small splits, in several files; the first lines differ."""
+    want = []
+    for f in range(3):
+        rows = [(f"f{f} record {i} >inside", "ACGT" * (1 + (i * 7 + f) % 40)) for i in range(200)]
+        lead = ("", "\n\n", "no record\n")[f]
+        put(tmp_path, f"part{f}.fsa", lead + "".join(f">{h}\n{s[:30]}\n{s[30:]}\n" for h, s in rows))
+        want += rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        df = files.read_fasta(spark, str(tmp_path / "*.fsa"))
+        assert df.rdd.getNumPartitions() > 40
+        got = df.orderBy("file", "block").collect()
+        assert [(r["header"], r["sequence"]) for r in got] == want
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "Window" not in plan and "SortMergeJoin" not in plan
+        native = [(r["header"], r["sequence"]) for r in files.read_fasta_native(spark, str(tmp_path / "part0.fsa")).orderBy("block").collect()]
+        assert native == [(">" + h, s) for h, s in want[:200]]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_fastq_folders_have_a_partition_for_each_file(spark, tmp_path):
+    for name, n in (("a.fastq", 3), ("b.fastq.gz", 5000), ("_hidden", 1)):
+        text = "".join(f"@{name} {i}\n{'ACGT' * (1 + i % 3)}\n+\nIIII\n" for i in range(n))
+        (tmp_path / name).write_bytes(gzip.compress(text.encode()) if name.endswith("gz") else text.encode())
+    df = files.read_fastq(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 2 and df.count() == 5003
+    last = df.where("file LIKE '%b.fastq.gz' AND seq_idx = 4999").first()
+    assert (last["header"], last["sequence"]) == ("b.fastq.gz 4999", "ACGT" * 2)
+    assert files.read_fastq(spark, [str(tmp_path / "a.fastq"), f"file://{tmp_path}/b.fastq.gz"]).count() == 5003
+    with pytest.raises(Exception, match="missing"):
+        files.read_fastq(spark, str(tmp_path / "missing.fastq")).count()
