@@ -1,14 +1,16 @@
 """Objectives and gradients of the mixture models, as joins and sums.
 
-Entries of X are joined with counts once, so that only observed k-mers stay, and stored in ranges of kmer_id. An
-evaluation broadcasts theta (one number for each isoform, up to ``BROADCAST``), sums by k-mer where the rows already
-are together, and shuffles once, partial sums by isoform. Counts whose k-mer no isoform has are left out, and the rest
-is renormalised; ``dropped`` tells their share.
+Entries of X are joined with counts once, so that only observed k-mers stay, and kept by kmer_id. A k-mer has one entry
+for each isoform at most, so the entries of one stay few beside a partition. An evaluation broadcasts theta (one number
+for each isoform, up to ``BROADCAST``), sums by k-mer where the rows already are together, and shuffles once, partial
+sums by isoform. Counts whose k-mer no isoform has are left out, and the rest is renormalised; ``dropped`` tells their
+share.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,12 @@ class Evaluator:
         seen = y.where("y > 0").select("kmer_id", F.col("y").cast("double").alias("y"))
         joined = x.select("kmer_id", "isoform_id", "p").join(seen, "kmer_id")
         parts = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.entries = joined.repartition(parts, "kmer_id").persist()
-        kept = self.entries.select("kmer_id", "y").distinct().agg(F.sum("y")).first()[0] or 0.0
+        placed = joined.repartition(parts, "kmer_id")
+        # One entry of each k-mer carries the k-mer's own part of the objective.
+        least = placed.groupBy("kmer_id").agg(F.min("isoform_id").alias("least"))
+        self.entries = placed.join(least, "kmer_id").select("kmer_id", "isoform_id", "p", "y", (F.col("isoform_id") == F.col("least")).alias("leads")).persist()
+        self.total = float(self.entries.agg(F.sum(F.when(F.col("leads"), F.col("y")))).first()[0] or 0.0)
         every = y.agg(F.sum("y")).first()[0] or 0
-        self.total = float(kept)
         self.dropped = 1.0 - self.total / float(every) if every else 0.0
 
     def close(self) -> None:
@@ -36,8 +40,6 @@ class Evaluator:
 
     def vector(self, values: np.ndarray) -> DataFrame:
         """A driver vector as a table: isoform_id, value."""
-        import pandas as pd
-
         table = self.spark.createDataFrame(pd.DataFrame({"isoform_id": np.arange(self.n), "value": values}), "isoform_id bigint, value double")
         return F.broadcast(table) if self.n <= BROADCAST else table
 
@@ -47,28 +49,32 @@ class Evaluator:
         sums = joined.groupBy("kmer_id").agg(F.sum(F.col("p") * F.col("value")).alias("s"))
         return self.entries.join(sums, "kmer_id")
 
+    def gathered(self, sums: DataFrame) -> np.ndarray:
+        """The column g of a table with a row for each isoform, 0 where there is none."""
+        found, out = sums.select("isoform_id", "g").toPandas(), np.zeros(self.n)
+        out[found["isoform_id"].to_numpy(np.int64)] = found["g"].to_numpy()
+        return out
+
     def likelihood(self, theta: np.ndarray) -> float:
         """Sum of y log(X theta)."""
         sums = self.entries.join(self.vector(theta), "isoform_id").groupBy("kmer_id").agg(F.first("y").alias("y"), F.sum(F.col("p") * F.col("value")).alias("s"))
         return float(sums.agg(F.sum(F.col("y") * F.log("s"))).first()[0] or 0.0)
 
     def likelihood_and_pull(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
-        """Sum of y log(X theta), and X'(y / X theta), in one job; a k-mer's part of the sum rides with one of its entries."""
-        rows = self.product(theta)
-        first = F.col("isoform_id") == F.col("least")
-        least = self.entries.groupBy("kmer_id").agg(F.min("isoform_id").alias("least"))
-        rows = rows.join(least, "kmer_id")
-        summed = rows.groupBy("isoform_id").agg(F.sum(F.col("p") * F.col("y") / F.col("s")).alias("g"), F.sum(F.when(first, F.col("y") * F.log("s"))).alias("f")).toPandas()
+        """Sum of y log(X theta), and X'(y / X theta), in one job."""
+        part = F.when(F.col("leads"), F.col("y") * F.log("s")).otherwise(0.0)
+        summed = self.product(theta).groupBy("isoform_id").agg(F.sum(F.col("p") * F.col("y") / F.col("s")).alias("g"), F.sum(part).alias("f")).toPandas()
         pull = np.zeros(self.n)
         pull[summed["isoform_id"].to_numpy(np.int64)] = summed["g"].to_numpy()
-        return float(np.nansum(summed["f"].to_numpy(float))), pull
+        return float(summed["f"].to_numpy(float).sum()), pull
+
+    def normal(self, theta: np.ndarray) -> np.ndarray:
+        """X' X theta over the observed k-mers."""
+        return self.gathered(self.product(theta).groupBy("isoform_id").agg(F.sum(F.col("p") * F.col("s")).alias("g")))
 
     def counts_pull(self) -> np.ndarray:
         """X' y."""
-        summed = self.entries.groupBy("isoform_id").agg(F.sum(F.col("p") * F.col("y")).alias("g")).toPandas()
-        out = np.zeros(self.n)
-        out[summed["isoform_id"].to_numpy(np.int64)] = summed["g"].to_numpy()
-        return out
+        return self.gathered(self.entries.groupBy("isoform_id").agg(F.sum(F.col("p") * F.col("y")).alias("g")))
 
 
 class SimplexModel:
@@ -90,6 +96,10 @@ class SimplexModel:
         scaled = theta[on] / self.lengths[on]
         return (self.beta - 1) * (np.log(scaled).sum() - np.log(scaled.sum()))
 
+    def close(self) -> None:
+        """Releases the stored entries."""
+        self.data.close()
+
     def objective(self, theta: np.ndarray) -> float:
         """Log density."""
         return self.data.likelihood(theta) / self.data.total + self._prior(theta)
@@ -133,6 +143,10 @@ class SoftmaxModel:
         """Number of isoforms."""
         return self.data.n
 
+    def close(self) -> None:
+        """Releases the stored entries."""
+        self.data.close()
+
     @staticmethod
     def softmax(alpha: np.ndarray) -> np.ndarray:
         """Shifted by the maximum."""

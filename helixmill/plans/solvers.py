@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import functions as F
+import pandas as pd
 
 Objective = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
@@ -32,25 +33,30 @@ class Result:
         self.snapshots.append(x.copy())
 
 
-def multiplicative(objective: Objective, start: np.ndarray, iterations: int = 100, tol: float = 0.0, callback: Callable | None = None) -> Result:
-    """theta <- theta * gradient. Snapshots every max(iterations // 15, 1); ``tol`` bounds the 1-norm of a step, 0 ignores it."""
-    x, out, every, norm0 = start.astype(float), Result(start), max(iterations // 15, 1), None
-    for i in range(iterations):
-        f, g = objective(x)
-        norm = float(np.linalg.norm(g))
-        norm0 = norm0 or norm or 1.0
-        if i % every == 0:
-            out.record(i, f, norm / norm0, x)
-        new = x * g
-        if np.isnan(new).any():
-            break
+def snapshot_step(iterations: int) -> int:
+    """Iterations from one snapshot to the next."""
+    return max(iterations // 15, 1)
+
+
+def multiplicative(objective: Objective, start: np.ndarray, iterations: int = 100, callback: Callable | None = None) -> Result:
+    """theta <- theta * gradient, without renormalising.
+
+    Each ``snapshot_step`` iterations, numbered from 0, the iterate after the step is recorded with its loss and the norm
+    of its gradient relative to that of the start. A NaN warns and is carried on.
+    """
+    out, every, theta = Result(start), snapshot_step(iterations), start.astype(float)
+    _, out.gradient = objective(theta)
+    first = float(np.linalg.norm(out.gradient))
+    for t in range(iterations):
+        theta = theta * out.gradient
+        loss, out.gradient = objective(theta)
         if callback:
-            callback(new)
-        done = tol > 0 and np.abs(new - x).sum() <= tol
-        x, out.gradient = new, g
-        if done:
-            break
-    out.x = x
+            callback(theta)
+        if np.isnan(theta).any():
+            warnings.warn(f"the iterate of iteration {t} has a NaN", stacklevel=2)
+        if (t + 1) % every == 0:
+            out.record(t, loss, float(np.linalg.norm(out.gradient)) / first, theta)
+    out.x = theta
     return out
 
 
@@ -60,24 +66,26 @@ def _raised(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _divergence(p: np.ndarray, q: np.ndarray) -> float:
-    on = p > 0
+    on = (q > 0) & (p > 0)
     return float((p[on] * np.log(p[on] / q[on])).sum())
 
 
 def line_search(x: np.ndarray, f: float, g: np.ndarray, value: Callable[[np.ndarray], float], step: float, armijo: bool, shrink: float = 0.9, tries: int = 20) -> tuple[np.ndarray, float]:
-    """A step that improves the objective enough, and its size. The first try is 1.2 times the last step."""
-    step *= 1.2
-    new = _raised(x, step * g)
+    """The first iterate whose objective exceeds its bound, and its step; the last one tried if none does.
+
+    Every try shrinks the step first, once more (squared) after an objective that is NaN, which counts as ``f``.
+    """
+    new = x
     for _ in range(tries):
+        step *= shrink
         new = _raised(x, step * g)
-        found = value(new) if not np.isnan(new).any() else math.nan
+        ascent = float(g @ (new - x))
+        bound = f + shrink * ascent if armijo else f + ascent - _divergence(new, x) / step
+        found = value(new)
         if math.isnan(found):
-            step *= shrink**2
-            continue
-        bound = f + 0.9 * float(g @ (new - x)) if armijo else f + float(g @ (new - x)) - _divergence(new, x) / step
+            found, step = f, step * shrink**2
         if found > bound:
             break
-        step *= shrink
     return new, step
 
 
@@ -85,46 +93,52 @@ def exponentiated(objective: Objective, start: np.ndarray, iterations: int = 100
     """Exponentiated gradient ascent on the simplex.
 
     ``lrs``: a number, one for each iteration, None for 2^-1/2 / (max|g| sqrt(t + 1)), or a line search: "armijo", or any
-    other text for the one with divergence. Stops before it takes a step whose 1-norm is within ``tol``, or after which
-    the gradient moves by ``gtol`` or less.
+    other text for the one with divergence. A search begins at 1.2 times the last step, at first that of None. Stops
+    before it takes a step whose 1-norm is within ``tol``, or after which the gradient moves by ``gtol`` or less, and
+    before an iterate with a NaN. Records as ``multiplicative`` does, and once more at the end, with the last loss that
+    was computed. ``average`` is 0.9 of itself and 0.1 of each iterate that was tried.
     """
-    x, every = start.astype(float), max(iterations // 15, 1)
-    f, g = objective(x)
-    norm0 = float(np.linalg.norm(g)) or 1.0
-    out, average, step = Result(x), x.copy(), 1.0
-    out.record(0, f, 1.0, x)
-    value = value or (lambda v: objective(v)[0])
-    last = 0
+    x, every, value = start.astype(float), snapshot_step(iterations), value or (lambda v: objective(v)[0])
+    loss, g = objective(x)
+    first, average, out, t = float(np.linalg.norm(g)), x.copy(), Result(x), -1
+    step = 2**-0.5 / np.abs(g).max()
+
+    def record() -> None:
+        out.record(t, loss, float(np.linalg.norm(g)) / first, x)
+
     for t in range(iterations):
         if isinstance(lrs, str):
-            new, step = line_search(x, f, g, value, step, lrs == "armijo")
+            new, step = line_search(x, loss, g, value, 1.2 * step, lrs == "armijo")
         else:
             if lrs is None:
                 step = 2**-0.5 / (np.abs(g).max() * math.sqrt(t + 1))
             else:
-                step = float(lrs) if np.ndim(lrs) == 0 else float(np.asarray(lrs)[min(t, len(lrs) - 1)])
+                rates = np.atleast_1d(lrs)
+                step = float(rates[0] if len(rates) == 1 else rates[t])
             new = _raised(x, step * g)
         if np.isnan(new).any():
             break
-        new_f, new_g = objective(new)
-        if math.isnan(new_f) or np.isnan(new_g).any():
-            break
+        average = 0.9 * average + 0.1 * new
+        loss, new_g = objective(new)
         if np.abs(new - x).sum() <= tol or np.abs(new_g - g).sum() <= gtol:
             break
-        x, f, g, last = new, new_f, new_g, t + 1
-        average = 0.9 * average + 0.1 * x
+        x, g = new, new_g
         if callback:
             callback(x)
-        if last % every == 0:
-            out.record(last, f, float(np.linalg.norm(g)) / norm0, x)
-    if out.iterations[-1] != last:
-        out.record(last, f, float(np.linalg.norm(g)) / norm0, x)
+        if (t + 1) % every == 0:
+            record()
+    if t >= 0:
+        record()
     out.x, out.average, out.gradient = x, average, g
     return out
 
 
-def lbfgs(objective: Objective, start: np.ndarray, iterations: int = 200, memory: int = 10, tol: float = 1e-8) -> Result:
-    """Limited-memory quasi-Newton ascent with a backtracking search that keeps curvature positive."""
+def lbfgs(objective: Objective, start: np.ndarray, iterations: int = 50_000, memory: int = 10, tol: float = 1e-12, factr: float = 1.0) -> Result:
+    """Limited-memory quasi-Newton ascent with a backtracking search that keeps curvature positive.
+
+    Stops when no component of the gradient exceeds ``tol``, or a step gains less than ``factr`` times the resolution of
+    the objective.
+    """
     x = start.astype(float)
     f, g = objective(x)
     out, pairs = Result(x), []
@@ -163,7 +177,7 @@ def lbfgs(objective: Objective, start: np.ndarray, iterations: int = 200, memory
         gained = new_f - f
         x, f, g = new, new_f, new_g
         out.record(i + 1, f, float(np.linalg.norm(g)), x)
-        if gained <= 1e-15 * max(abs(f), 1.0):
+        if gained <= factr * np.finfo(float).eps * max(abs(f), 1.0):
             break
     out.x, out.gradient = x, g
     return out
@@ -178,10 +192,7 @@ def lsqr(data, iterations: int = 200, tol: float = 1e-10) -> np.ndarray:
     for _ in range(min(iterations, 4 * data.n)):
         if norm <= tol**2 * first or norm == 0:
             break
-        image = data.product(direction)
-        pulled = image.groupBy("isoform_id").agg(F.sum(F.col("p") * F.col("s")).alias("g")).toPandas()
-        normal = np.zeros(data.n)
-        normal[pulled["isoform_id"].to_numpy(np.int64)] = pulled["g"].to_numpy()
+        normal = data.normal(direction)
         curvature = float(direction @ normal)
         if curvature <= 0:
             break
@@ -193,19 +204,20 @@ def lsqr(data, iterations: int = 200, tol: float = 1e-10) -> np.ndarray:
     return theta
 
 
-def fit(model, solver_name: str = "mg", iterations: int = 100, start: str | np.ndarray = "uniform", lrs=None, seed: int = 0, tol: float = 1e-20, gtol: float = 1e-20, callback: Callable | None = None) -> Result:
-    """Fits a model: "mg" or "exp_grad" for the simplex model, quasi-Newton for the softmax model (x is then on the simplex)."""
+def fit(model, solver_name: str = "mg", iterations: int | None = None, start: str | np.ndarray = "uniform", lrs=None, seed: int = 0, tol: float = 1e-20, gtol: float = 1e-20, callback: Callable | None = None) -> Result:
+    """Fits a model: "mg" or "exp_grad" for the simplex model (100 iterations), quasi-Newton for the softmax model (50,000 at most; x is then on the simplex)."""
     from helixmill.plans.model import SoftmaxModel
 
     if isinstance(model, SoftmaxModel):
         first = start if isinstance(start, np.ndarray) else np.random.default_rng(seed).normal(size=model.size)
-        out = lbfgs(model.objective_and_gradient, first, iterations)
+        out = lbfgs(model.objective_and_gradient, first, 50_000 if iterations is None else iterations)
         out.x = model.softmax(out.x)
         return out
     first = start if isinstance(start, np.ndarray) else model.start(start)
+    iterations = 100 if iterations is None else iterations
     if solver_name == "exp_grad":
         return exponentiated(model.objective_and_gradient, first, iterations, lrs, model.objective, tol, gtol, callback)
-    return multiplicative(model.objective_and_gradient, first, iterations, callback=callback)
+    return multiplicative(model.objective_and_gradient, first, iterations, callback)
 
 
 def history(spark, result: Result):
@@ -215,7 +227,5 @@ def history(spark, result: Result):
 
 def snapshots(spark, result: Result):
     """Table of a result's snapshots: iteration, isoform_id, value."""
-    import pandas as pd
-
     parts = [pd.DataFrame({"iteration": i, "isoform_id": np.arange(len(x)), "value": x}) for i, x in zip(result.iterations, result.snapshots, strict=True)]
     return spark.createDataFrame(pd.concat(parts), "iteration bigint, isoform_id bigint, value double")

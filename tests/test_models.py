@@ -55,11 +55,118 @@ def test_softmax(xy):
     assert np.abs(fitted.gradient).max() < 1e-3 and fitted.x.sum() == pytest.approx(1)
 
 
-@pytest.mark.parametrize("lrs", [None, 0.5, [0.3] * 12, "armijo", "divergence"])
-def test_exponentiated_climbs(xy, lrs):
+@pytest.fixture(scope="module")
+def dense(xy):
+    x, y = np.zeros((16, 3)), np.arange(1, 17) / 136
+    for r in xy[0].collect():
+        x[r["kmer_id"], r["isoform_id"]] = r["p"]
+
+    def objective(theta):
+        s = x @ theta
+        return float(y @ np.log(s)), x.T @ (y / s)
+
+    return objective
+
+
+def plain_multiplicative(objective, theta, n):
+    """Every iterate with what belongs to it, then those that are recorded."""
+    norm = [np.sqrt(np.sum(objective(theta)[1] ** 2))]
+    rows = []
+    for _ in range(n):
+        theta = theta * objective(theta)[1]
+        f, g = objective(theta)
+        rows.append((f, np.sqrt(np.sum(g**2)) / norm[0], theta))
+    every = max(int(n / 15), 1)
+    return theta, [(t, *rows[t]) for t in range(n) if (t + 1) % every == 0]
+
+
+def plain_exponentiated(objective, theta, n, rule, tol, gtol):
+    """The same for exponentiated gradients; ``rule`` is None, a list of rates, "armijo" or "divergence"."""
+    state = [(theta, *objective(theta))]
+    rate = 1 / (np.sqrt(2) * np.max(np.abs(state[0][2])))
+    average, last_loss, stopped = theta, state[0][1], n - 1
+    move = lambda x, g, a: (lambda e: e / np.sum(e))(x * np.exp(a * (g - np.max(g))))
+    for t in range(n):
+        x, f, g = state[-1]
+        if rule in ("armijo", "divergence"):
+            rate *= 1.2
+            for _ in range(20):
+                rate *= 0.9
+                new = move(x, g, rate)
+                slope = np.dot(g, new - x)
+                limit = f + 0.9 * slope if rule == "armijo" else f + slope - np.sum(new * np.log(new / x)) / rate
+                if objective(new)[0] > limit:
+                    break
+        else:
+            rate = 1 / (np.sqrt(2 * (t + 1)) * np.max(np.abs(g))) if rule is None else rule[t]
+            new = move(x, g, rate)
+        average = 0.9 * average + 0.1 * new
+        last_loss, pulled = objective(new)
+        if np.sum(np.abs(new - x)) <= tol or np.sum(np.abs(pulled - g)) <= gtol:
+            stopped = t
+            break
+        state.append((new, last_loss, pulled))
+    norm = lambda g: np.linalg.norm(g) / np.linalg.norm(state[0][2])
+    every = max(int(n / 15), 1)
+    rows = [(t, state[t + 1][1], norm(state[t + 1][2]), state[t + 1][0]) for t in range(len(state) - 1) if (t + 1) % every == 0]
+    return state[-1][0], [*rows, (stopped, last_loss, norm(state[-1][2]), state[-1][0])], average
+
+
+def same_records(out, rows):
+    assert out.iterations == [r[0] for r in rows]
+    assert out.losses == pytest.approx([r[1] for r in rows], abs=1e-9) and out.norms == pytest.approx([r[2] for r in rows], abs=1e-9)
+    assert np.array(out.snapshots) == pytest.approx(np.array([r[3] for r in rows]), abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 7, 40])
+def test_multiplicative_against_plain(dense, n):
+    x, rows = plain_multiplicative(dense, np.full(3, 1 / 3), n)
+    out = solvers.multiplicative(dense, np.full(3, 1 / 3), n)
+    assert out.x == pytest.approx(x, abs=1e-9)
+    same_records(out, rows)
+
+
+@pytest.mark.parametrize("rule", [None, [0.5], "rates", "armijo", "divergence"])
+@pytest.mark.parametrize("n,tol,gtol", [(1, 0, 0), (12, 0, 0), (31, 0, 0), (40, 0.02, 0), (40, 0, 0.02)])
+def test_exponentiated_against_plain(dense, rule, n, tol, gtol):
+    rates = list(np.linspace(1.0, 0.2, n)) if rule == "rates" else rule
+    x, rows, average = plain_exponentiated(dense, np.full(3, 1 / 3), n, rates * n if rule == [0.5] else rates, tol, gtol)
+    for lrs in ([0.5, np.array([0.5])] if rule == [0.5] else [rates]):
+        out = solvers.exponentiated(dense, np.full(3, 1 / 3), n, lrs, tol=tol, gtol=gtol)
+        assert out.x == pytest.approx(x, abs=1e-9) and out.average == pytest.approx(average, abs=1e-9)
+        same_records(out, rows)
+
+
+@pytest.mark.parametrize("lrs", [None, "armijo", "divergence"])
+def test_fits_by_joins_equal_dense_ones(xy, dense, lrs):
     model = make_model(*xy, np.ones(3))
-    out = solvers.fit(model, "exp_grad", 12, lrs=lrs)
-    assert out.x.sum() == pytest.approx(1) and out.losses[-1] > out.losses[0] and out.average is not None
+    out, plain = (solvers.exponentiated(f, np.full(3, 1 / 3), 4, lrs, value) for f, value in ((model.objective_and_gradient, model.objective), (dense, None)))
+    assert out.x == pytest.approx(plain.x, abs=1e-9) and out.average == pytest.approx(plain.average, abs=1e-9) and out.losses == pytest.approx(plain.losses, abs=1e-9)
+    model.close()
+
+
+def test_nan_warns_or_stops():
+    broken = lambda x: (0.0, np.array([np.nan, 1.0, 1.0]))
+    with pytest.warns(UserWarning):
+        assert np.isnan(solvers.multiplicative(broken, np.ones(3) / 3, 2).x[0])
+    out = solvers.exponentiated(broken, np.ones(3) / 3, 5)
+    assert (out.x == 1 / 3).all() and out.iterations == [0]
+
+
+def test_callbacks_see_each_iterate(dense):
+    seen = []
+    solvers.multiplicative(dense, np.full(3, 1 / 3), 3, seen.append)
+    solvers.exponentiated(dense, np.full(3, 1 / 3), 3, callback=seen.append)
+    assert len(seen) == 6 and all(abs(x.sum() - 1) < 1e-9 for x in seen)
+
+
+def test_softmax_reaches_its_optimum(xy):
+    model = SoftmaxModel(*xy, 3)
+    out = solvers.fit(model, seed=4)
+    assert np.abs(out.gradient).max() < 1e-3
+    again = solvers.fit(model, start=np.array([2.0, -1.0, 0.5]))
+    assert again.x == pytest.approx(out.x, abs=1e-5)
+    model.close()
 
 
 def test_starts(xy):
