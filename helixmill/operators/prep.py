@@ -24,9 +24,14 @@ def without(records: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return records.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def unknown(quant: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """Rows of the quantification whose transcript isn't there."""
+    return quant.join(records.select(key).distinct(), key, "left_anti")
+
+
 def check_known(quant: DataFrame, records: DataFrame, key: str) -> None:
     """Raises if the quantification names a transcript that isn't there."""
-    if not quant.join(records.select(key).distinct(), key, "left_anti").isEmpty():
+    if not unknown(quant, records, key).isEmpty():
         raise ValueError("the quantification names unknown transcripts")
 
 
@@ -45,3 +50,9 @@ def name_shares(headers: DataFrame, header: str = "header") -> DataFrame:
     """Transcript names found in headers: name, n, theta (share of all)."""
     counted = headers.select(F.explode(names_in(F.col(header))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
     return counted.withColumn("theta", share(counted, F.col("n")))
+
+
+def beside(counted: DataFrame, truth: DataFrame, key: str) -> DataFrame:
+    """Counts (key, n) beside true abundances (key, truth): key, n, theta (share of all counts), truth; 0 where either lacks a name."""
+    both = counted.join(truth, key, "full").select(key, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("truth", F.lit(0.0)).alias("truth"))
+    return both.select(key, "n", (F.col("n") / counted.agg(F.sum("n")).scalar()).alias("theta"), "truth")

@@ -9,6 +9,8 @@ share.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,12 +60,14 @@ class Evaluator:
     def likelihood(self, theta: np.ndarray) -> float:
         """Sum of y log(X theta)."""
         sums = self.entries.join(self.vector(theta), "isoform_id").groupBy("kmer_id").agg(F.first("y").alias("y"), F.sum(F.col("p") * F.col("value")).alias("s"))
-        return float(sums.agg(F.sum(F.col("y") * F.log("s"))).first()[0] or 0.0)
+        return float(sums.agg(F.sum(F.when(F.col("s") > 0, F.col("y") * F.log("s")).otherwise(F.lit(-math.inf)))).first()[0] or 0.0)
 
     def likelihood_and_pull(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
-        """Sum of y log(X theta), and X'(y / X theta), in one job."""
-        part = F.when(F.col("leads"), F.col("y") * F.log("s")).otherwise(0.0)
-        summed = self.product(theta).groupBy("isoform_id").agg(F.sum(F.col("p") * F.col("y") / F.col("s")).alias("g"), F.sum(part).alias("f")).toPandas()
+        """Sum of y log(X theta), and X'(y / X theta), in one job; infinite where X theta is 0 at a k-mer that was seen."""
+        some = F.col("s") > 0
+        part = F.when(F.col("leads"), F.when(some, F.col("y") * F.log("s")).otherwise(F.lit(-math.inf))).otherwise(0.0)
+        pull = F.when(some, F.col("p") * F.col("y") / F.col("s")).otherwise(F.lit(math.inf))
+        summed = self.product(theta).groupBy("isoform_id").agg(F.sum(pull).alias("g"), F.sum(part).alias("f")).toPandas()
         pull = np.zeros(self.n)
         pull[summed["isoform_id"].to_numpy(np.int64)] = summed["g"].to_numpy()
         return float(summed["f"].to_numpy(float).sum()), pull
@@ -114,6 +118,13 @@ class SimplexModel:
             g[on] += (self.beta - 1) / theta[on] - (self.beta - 1) / (self.lengths[on] * whole)
         return f / self.data.total + self._prior(theta), g
 
+    @staticmethod
+    def positive(v: np.ndarray) -> np.ndarray:
+        """A vector on the simplex: what isn't positive becomes a tenth of the least positive value."""
+        least = v[v > 0].min() if (v > 0).any() else 1.0
+        v = np.where(v > 0, v, least / 10)
+        return v / v.sum()
+
     def start(self, kind: str = "uniform") -> np.ndarray:
         """First iterate: uniform, Xy (X'y normalised) or lsq (least squares of X theta = y, made positive)."""
         if kind == "uniform":
@@ -124,10 +135,7 @@ class SimplexModel:
         if kind == "lsq":
             from helixmill.plans.solvers import lsqr
 
-            v = lsqr(self.data, iterations=200)
-            positive = v[v > 0]
-            v = np.where(v > 0, v, (positive.min() if len(positive) else 1.0) / 10)
-            return v / v.sum()
+            return self.positive(lsqr(self.data, iterations=200))
         raise ValueError(f"no such start: {kind}")
 
 

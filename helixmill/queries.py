@@ -1,87 +1,20 @@
-"""Queries over the tables of a data folder, and the SQL that says the same.
-
-The tables hold no DNA, so texts stand in: letters go to bases in turn and all else stays invalid. Documents are
-isoforms, their sources are files, and turns of conversations are reads.
-"""
+"""Queries over the tables of a data folder, and the SQL that says the same. Those of models and files are in modules of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixmill import file_queries, model_queries
 from helixmill.functions.bases import decode, effective_length, encode, from_text, header_id, names_in, uniform
 from helixmill.operators import counts, lengths, linalg, matrix, metrics, prep, sampling
 from helixmill.operators.shred import code_of, shred, shred_pairs, shred_positions, spread
 from helixmill.plans.simulate import every_kmer, sampled_reads
-from helixmill.session import shared_path
-from helixmill.sources import files
+from helixmill.registry import DOCS, ORACLE_SQL, QUERIES, READS, SEQ, XY, code, isoforms, query, read, reads, valid_words, x_and_y, x_cte, y_cte
+from helixmill.session import result_path
 from helixmill.streaming.counts import counts_available_now
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-SEQ = "translate(lower(coalesce(text, '')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its SQL."""
-
-    def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return register
-
-
-def code(k: int, kmer: str = "kmer") -> str:
-    """SQL for the code of a k-mer."""
-    return "(" + " + ".join(f"(strpos('ACGT', substr({kmer}, {i + 1}, 1)) - 1) * {4 ** (k - 1 - i)}" for i in range(k)) + ")::BIGINT"
-
-
-def valid_words(name: str, k: int, source: str, keys: str = "") -> str:
-    """SQL of a CTE of all valid k-mers of ``source`` (with a column s): keys, i, kmer."""
-    own = f"{keys}, " if keys else ""
-    return f"{name} AS (SELECT {own}i, substr(s, i, {k}) AS kmer FROM (SELECT {own}s, unnest(range(1, length(s) - {k} + 2)) AS i FROM {source}) WHERE regexp_full_match(substr(s, i, {k}), '[ACGT]{{{k}}}'))"
-
-
-DOCS = f"seqs AS (SELECT doc_id AS isoform_id, source, {SEQ} AS s FROM documents)"
-READS = f"reads AS (SELECT {SEQ} AS s FROM conversations)"
-
-
-def x_cte(k: int, source: str = "seqs") -> str:
-    """SQL of X over ``source``."""
-    return f"{valid_words('xk', k, source, 'isoform_id')}, x AS (SELECT {code(k)} AS kmer_id, isoform_id, count(*) AS cnt, count(*) / sum(count(*)) OVER (PARTITION BY isoform_id) AS p FROM xk GROUP BY isoform_id, kmer)"
-
-
-def y_cte(k: int) -> str:
-    """SQL of counts over conversations."""
-    return f"{valid_words('yk', k, 'reads')}, y AS (SELECT {code(k)} AS kmer_id, count(*) AS y FROM yk GROUP BY kmer)"
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def isoforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as isoforms."""
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("isoform_id"), "source", from_text(F.coalesce("text", F.lit(""))).alias("sequence"))
-
-
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations as reads."""
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", from_text(F.coalesce("text", F.lit(""))).alias("sequence"))
-
-
-def x_and_y(spark: SparkSession, sf_dir: str, k: int = 3) -> tuple[DataFrame, DataFrame]:
-    """X of the documents and y of the conversations."""
-    return matrix.build_matrix(isoforms(spark, sf_dir), k), counts.kmer_counts(reads(spark, sf_dir), k)
-
+__all__ = ["ORACLE_SQL", "QUERIES", "file_queries", "model_queries"]
 
 # K-mers and counts.
 
@@ -153,7 +86,7 @@ def kmer_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read(spark, sf_dir, "conversations")
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/conversations.parque*")
     turns = stream.select(from_text(F.coalesce("text", F.lit(""))).alias("sequence"))
-    return counts_available_now(spark, turns, 3, shared_path(spark, "stream"))
+    return counts_available_now(spark, turns, 3, result_path(spark, "stream"))
 
 
 # The matrix.
@@ -339,9 +272,6 @@ def spmv_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.spmv_t(line_matrix(spark, sf_dir), r).select("isoform_id", F.round("value", 6).alias("value"))
 
 
-XY = f"{DOCS}, {READS}, {x_cte(3)}, {y_cte(3)}, t AS (SELECT count(*) AS n FROM documents), o AS (SELECT x.*, y.y FROM x JOIN y USING (kmer_id)), w AS (SELECT sum(y) AS total FROM (SELECT DISTINCT kmer_id, y FROM o))"
-
-
 @query(f"WITH {XY} SELECT isoform_id, round(sum(p * y), 6) AS value FROM o GROUP BY isoform_id")
 def xy_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = x_and_y(spark, sf_dir)
@@ -353,73 +283,6 @@ def observed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.observed(*x_and_y(spark, sf_dir))
 
 
-# One evaluation of the models, all in joins; theta is uniform over all documents.
-
-UNIFORM = f"{XY}, s AS (SELECT kmer_id, any_value(y) AS y, sum(p) / (SELECT n FROM t) AS s FROM o GROUP BY kmer_id), g AS (SELECT isoform_id, sum(o.p * o.y / s.s) / (SELECT total FROM w) AS g FROM o JOIN s USING (kmer_id) GROUP BY isoform_id)"
-
-
-def uniform_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Observed entries, X theta with counts (kmer_id, y, s, total) and the gradient (isoform_id, g) at uniform theta."""
-    x, y = x_and_y(spark, sf_dir)
-    entries = linalg.observed(x, y)
-    docs = read(spark, sf_dir, "documents")
-    theta = docs.select(F.col("doc_id").alias("isoform_id"), (1.0 / linalg.over_all(docs, F.count("*"))).alias("value"))
-    return entries, *step_parts(entries, theta)
-
-
-def step_parts(entries: DataFrame, theta: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """X theta with counts, and the gradient, at ``theta``."""
-    product = linalg.spmv(entries, theta).withColumnRenamed("value", "s")
-    seen = entries.select("kmer_id", "y").distinct()
-    rows = seen.join(product, "kmer_id").withColumn("total", linalg.over_all(seen, F.sum("y")))
-    gradient = linalg.spmv_t(entries, rows.select("kmer_id", (F.col("y") / F.col("total") / F.col("s")).alias("value"))).withColumnRenamed("value", "g")
-    return rows, gradient
-
-
-@query(f"WITH {UNIFORM} SELECT round(sum(y * ln(s)) / (SELECT total FROM w), 6) AS loglik FROM s")
-def loglik_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows, _ = uniform_parts(spark, sf_dir)
-    return rows.agg(F.round(F.sum(F.col("y") / F.col("total") * F.log("s")), 6).alias("loglik"))
-
-
-@query(f"WITH {UNIFORM} SELECT isoform_id, round(g, 6) AS g FROM g")
-def grad_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return uniform_parts(spark, sf_dir)[2].select("isoform_id", F.round("g", 6).alias("g"))
-
-
-@query(f"WITH {UNIFORM} SELECT isoform_id, round(g / (SELECT n FROM t), 9) AS theta FROM g")
-def mg_step_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = linalg.over_all(read(spark, sf_dir, "documents"), F.count("*"))
-    return uniform_parts(spark, sf_dir)[2].select("isoform_id", F.round(F.col("g") / n, 9).alias("theta"))
-
-
-@query(f"""WITH {UNIFORM}, t1 AS (SELECT isoform_id, g / (SELECT n FROM t) AS theta FROM g),
-s2 AS (SELECT kmer_id, sum(p * theta) AS s FROM o JOIN t1 USING (isoform_id) GROUP BY kmer_id),
-g2 AS (SELECT isoform_id, sum(o.p * o.y / s2.s) / (SELECT total FROM w) AS g FROM o JOIN s2 USING (kmer_id) GROUP BY isoform_id)
-SELECT isoform_id, round(theta * g, 9) AS theta FROM t1 JOIN g2 USING (isoform_id)""")
-def mg_step_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, _, gradient = uniform_parts(spark, sf_dir)
-    n = linalg.over_all(read(spark, sf_dir, "documents"), F.count("*"))
-    theta = gradient.select("isoform_id", (F.col("g") / n).alias("value"))
-    _, second = step_parts(entries, theta)
-    return theta.join(second, "isoform_id").select("isoform_id", F.round(F.col("value") * F.col("g"), 9).alias("theta"))
-
-
-@query(f"""WITH {UNIFORM}, e AS (SELECT isoform_id, g, exp(0.5::DOUBLE ** 0.5 / max(abs(g)) OVER () * g) AS e FROM g)
-SELECT isoform_id, round(e / sum(e) OVER (), 9) AS theta FROM e""")
-def eg_step_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gradient = uniform_parts(spark, sf_dir)[2]
-    scaled = gradient.withColumn("step", F.lit(2**-0.5) / linalg.over_all(gradient, F.max(F.abs("g"))) * F.col("g")).withColumn("one", F.lit(1.0))
-    return linalg.exp_normalised(scaled, "one", "step", "theta").select("isoform_id", F.round("theta", 9).alias("theta"))
-
-
-@query(f"WITH {UNIFORM} SELECT isoform_id, round((g - 1) * (SELECT total FROM w) / (SELECT n FROM t), 6) AS g FROM g")
-def softmax_grad_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows, gradient = uniform_parts(spark, sf_dir)
-    total, n = linalg.over_all(rows, F.max("total")), linalg.over_all(read(spark, sf_dir, "documents"), F.count("*"))
-    return gradient.select("isoform_id", F.round((F.col("g") - 1) * total / n, 6).alias("g"))
-
-
 @query("SELECT c_custkey, round(exp(c_acctbal / 1000 - max(c_acctbal / 1000) OVER ()) / sum(exp(c_acctbal / 1000 - (SELECT max(c_acctbal / 1000) FROM customer))) OVER (), 12) AS value FROM customer")
 def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("value"))
@@ -533,27 +396,3 @@ def curve_min_mean_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = read(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("run"), F.col("l_linenumber").alias("iteration")).agg(F.sum("l_extendedprice").alias("value"))
     limit = metrics.curves(runs).where("iteration = 4").first()["mean"]
     return metrics.curves(runs, 1.000001 * limit).select("iteration", F.round("mean", 0).alias("mean"), *(F.round(c, 2).alias(c) for c in ("least", "most")))
-
-
-# Files: written to the shared folder and read back.
-
-BARE = f"regexp_replace({SEQ}, '[^ACGT]', '', 'g')"
-
-
-def bare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records of valid bases."""
-    return isoforms(spark, sf_dir).select(F.concat(F.lit("doc "), "isoform_id").alias("header"), F.regexp_replace("sequence", "[^ACGT]", "").alias("sequence")).where("sequence != ''")
-
-
-@query(f"SELECT 'doc ' || doc_id AS header, {BARE} AS sequence FROM documents WHERE {BARE} <> ''")
-def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "fasta")
-    files.write_fasta(bare(spark, sf_dir), path, width=50)
-    return files.read_fasta(spark, path).select("header", "sequence")
-
-
-@query(f"SELECT 'doc ' || doc_id AS header, {BARE} AS sequence FROM documents WHERE {BARE} <> ''")
-def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "fastq")
-    files.write_fastq(bare(spark, sf_dir), path)
-    return files.read_fastq(spark, path).select("header", "sequence")
