@@ -9,11 +9,14 @@ import xxhash
 
 from helixmill.llm.common import Memo, mix64
 
+#: Bytes of a generation of the memo of words: small, as a hash is quickly made again.
+MEMO = 16 << 20
+
 
 @functools.cache
 def word_memo() -> Memo:
     """Word (bytes) to the 8 bytes of its hash, for this Python worker."""
-    return Memo(lambda word: xxhash.xxh64_digest(word), longest=48)
+    return Memo(lambda word: xxhash.xxh64_digest(word), MEMO, 48)
 
 
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
