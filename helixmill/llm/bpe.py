@@ -26,7 +26,9 @@ from helixmill.llm.common import as_text, by_id, steps
 from helixmill.llm.pieces import codec
 
 #: Bytes of a generation of a worker's memo: small, since the pipeline's last stage runs in executors that earlier ones have filled.
-MEMO = 32 << 20
+MEMO = 16 << 20
+#: Bytes of text of a step: every token takes three numbers before it leaves.
+STEP = 500_000
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -37,7 +39,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 def encoded_steps(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     """Batches of doc_id and text to batches of doc_id, ids, and the code points where each id starts and ends."""
     own = codec(path, pattern, MEMO, True)
-    for batch in steps(batches):
+    for batch in steps(batches, size=STEP):
         rows, counts = own.placed(as_text(batch.column("text")))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(_lists(rows[:, i], counts) for i in range(3))], ["doc_id", "ids", "starts", "ends"])
 

@@ -46,7 +46,7 @@ HOT = 64
 #: Rounds of hubs of shared shingles; each costs a test for each member that shares a crowded one.
 HUB_ROUNDS = 6
 #: Tokens that a task holds when it counts them.
-TOKENS = 2_000_000
+TOKENS = 500_000
 #: Leading bits of a size that tell its class.
 CLASS_BITS = 5
 #: A side of ids is broadcast up to so many rows (8 bytes each), beyond it is joined by shuffle.
