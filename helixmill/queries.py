@@ -388,6 +388,25 @@ def residual_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.residuals(lines, truth_of(spark, sf_dir)).select("isoform_id", "estimate", F.round("residual", 6).alias("residual"))
 
 
+ESTIMATE = "estimate AS (SELECT l_orderkey AS isoform_id, max(l_quantity) AS e FROM lineitem GROUP BY 1)"
+
+
+def estimate_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest quantity of each order, as one estimate for each from all its lines."""
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("isoform_id")).agg(F.max("l_quantity").alias("value"))
+
+
+@query(f"WITH {TRUTH}, {ESTIMATE}, d AS (SELECT e - t AS d FROM estimate JOIN truth USING (isoform_id)) SELECT round(sum(abs(d)), 4) AS l1, round(sqrt(sum(d * d) / count(*)), 6) AS rmse, round(sqrt(sqrt(sum(d * d)) / count(*)), 6) AS root_norm_by_size FROM d")
+def order_estimate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.errors(estimate_of(spark, sf_dir), truth_of(spark, sf_dir))
+    return found.select(F.round("l1", 4).alias("l1"), F.round("rmse", 6).alias("rmse"), F.round("root_norm_by_size", 6).alias("root_norm_by_size"))
+
+
+@query(f"WITH {TRUTH}, {ESTIMATE} SELECT isoform_id, e AS estimate, round(e - t, 6) AS residual FROM estimate JOIN truth USING (isoform_id)")
+def order_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.residuals(estimate_of(spark, sf_dir), truth_of(spark, sf_dir)).select("isoform_id", "estimate", F.round("residual", 6).alias("residual"))
+
+
 @query("""WITH r AS (SELECT l_returnflag || l_linestatus AS run, l_linenumber AS iteration, sum(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
 e AS (SELECT min(e) AS e FROM (SELECT max(iteration) AS e FROM r GROUP BY run)),
 m AS (SELECT iteration, avg(v) AS mean, min(v) AS least, max(v) AS most FROM r WHERE iteration <= (SELECT e FROM e) GROUP BY iteration)
