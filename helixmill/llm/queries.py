@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import bpe, compression, minhash, mixing, pii, recompression, records, rules, simhash, token_counts
+from helixmill.llm import bpe, compression, merkle, minhash, mixing, pii, recompression, records, rules, simhash, structure_sql, token_counts, turns
 from helixmill.llm.common import table
 
 
@@ -37,6 +37,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_passages": _over_documents(lambda docs: recompression.remove_repeats(docs, texts=False)),
     "op9_fingerprints": _over_documents(simhash.compare_edited),
     "op10_token_counts": _over_documents(token_counts.count_tokens),
+    "op11_conversation_repair": lambda spark, sf_dir: turns.damage_report(table(spark, sf_dir, "conversations")),
+    "op12_dataset_manifest": _over_documents(merkle.report),
 }
 
 WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
@@ -95,4 +97,6 @@ SELECT d.doc_id, d.size, b.source_size, b.target,
        d.size * (b.whole + (b.upto <= b.budget OR (b.before <= b.budget AND b.upto - b.budget < b.budget - b.before))::BIGINT) AS taken
 FROM sized d JOIN below b ON d.source IS NOT DISTINCT FROM b.source AND d.h = b.h
 """,
+    "op11_conversation_repair": structure_sql.CONVERSATIONS,
+    "op12_dataset_manifest": structure_sql.manifest(),
 }
