@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import bpe, compression, merkle, minhash, mixing, pii, recompression, records, rules, simhash, structure_sql, token_counts, turns
+from helixmill.llm import bpe, compression, merkle, minhash, mixing, pii, recompression, records, rules, simhash, structure_sql, suffixes, token_counts, turns
 from helixmill.llm.common import table
 
 
@@ -39,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": _over_documents(token_counts.count_tokens),
     "op11_conversation_repair": lambda spark, sf_dir: turns.damage_report(table(spark, sf_dir, "conversations")),
     "op12_dataset_manifest": _over_documents(merkle.report),
+    "op13_repeated_bytes": _over_documents(lambda docs: suffixes.remove_repeats(docs, texts=False)),
 }
 
 WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
@@ -71,6 +72,20 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM repeats),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT l.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM listed l LEFT JOIN kept k USING (doc_id)
+""",
+    # Texts as hexadecimal digits, in overlapping blocks of 512 bytes, so that a window is cut out of a short string.
+    "op13_repeated_bytes": """
+WITH hexed AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, b, substr(h, b * 1024 + 1, 1222) AS h FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 + 511) // 512)) AS b FROM hexed)),
+windows AS (SELECT doc_id, b * 512 + j AS i, md5(substr(h, 2 * j + 1, 200)) AS k FROM (SELECT doc_id, b, h, unnest(range(0, least(512, len(h) // 2 - 99))) AS j FROM blocks WHERE len(h) >= 200)),
+repeats AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+runs AS (SELECT doc_id, i, sum((i > before + 100)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM repeats)),
+spans AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM runs GROUP BY doc_id, run),
+edges AS (SELECT doc_id, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS z FROM spans UNION ALL SELECT doc_id, max(z), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, coalesce(2 * (z - a), len(h))), '' ORDER BY a) AS h FROM edges JOIN hexed USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(z - a)::BIGINT AS n, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM hexed d LEFT JOIN kept k USING (doc_id) LEFT JOIN gone g USING (doc_id)
 """,
     "op3_source_mixing": """
 WITH sized AS (
