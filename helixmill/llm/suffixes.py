@@ -13,7 +13,8 @@ theirs alone drop out; what is left at the threshold starts equal strings of ``S
 * What is left, one of each different stretch, is cut out of its text. Pairs of the rank with that at offset 32, and with
   that at offset -32, give 64 bytes; each window holds one of the two. Spark sorts the pairs; halves alone drop out.
 * Windows of halves that are left are ranked by all their bytes, past which nothing is compared. All but the first of
-  equal ones are repeated.
+  equal ones are repeated. Spark sorts the cuts by rank, and a task ranks the windows of one rank together; where over
+  ``CROWD`` different stretches have one rank, their windows are rows that Spark sorts itself.
 
 Ranks are hashes of 64 bits; windows are told apart by 96 and their anchor's rank. Each phase is a table in the shared
 folder. Joins by rank are of plain shuffles, which Spark splits where very many places share a rank.
@@ -48,6 +49,11 @@ LEFT = 2 * DEPTH + GAP - SIZE
 CHUNK, PLACE_BITS = 1 << 18, 20
 ODD = tuple(int(x) | 1 for x in mix64(np.arange(8, dtype=np.uint64), 300))
 ROWS = "doc bigint, part bigint, start int, n int, ahead int"
+PLACE = ("doc", "part", "start")
+#: Different stretches of one rank that a task compares by itself.
+CROWD = 4096
+#: Bytes of cuts that a task takes at once, beside those of one rank.
+CUT_BYTES = 4 << 20
 
 
 def paired(left: np.ndarray, right: np.ndarray, level: int) -> np.ndarray:
@@ -198,7 +204,7 @@ def few_ranges(listed: DataFrame, column: str, width: int) -> bool:
 
 
 def cuts(rows: DataFrame, owners: DataFrame, scratch: Scratch) -> DataFrame:
-    """The bytes of chosen stretches: name, doc, part, start, n, ahead, cut."""
+    """The bytes of chosen stretches: name, crowded, doc, part, start, n, ahead, cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -208,12 +214,14 @@ def cuts(rows: DataFrame, owners: DataFrame, scratch: Scratch) -> DataFrame:
             start, n = (flat.field(c).to_numpy() for c in ("start", "n"))
             cut = [texts[o][s : s + k + SIZE - 1] for o, s, k in zip(owner.tolist(), start.tolist(), n.tolist(), strict=True)]
             at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([flat.field("name"), batch.column("doc").take(at), batch.column("part").take(at), *(flat.field(c) for c in ("start", "n", "ahead")), pa.array(cut, pa.binary())], ["name", "doc", "part", "start", "n", "ahead", "cut"])
+            yield pa.RecordBatch.from_arrays([flat.field("name"), flat.field("crowded"), batch.column("doc").take(at), batch.column("part").take(at), *(flat.field(c) for c in ("start", "n", "ahead")), pa.array(cut, pa.binary())], ["name", "crowded", "doc", "part", "start", "n", "ahead", "cut"])
 
-    listed = scratch.write(owners.groupBy("doc", "part").agg(F.collect_list(F.struct("name", "start", "n", "ahead")).alias("owned")))
+    listed = scratch.write(owners.groupBy("doc", "part").agg(F.collect_list(F.struct("name", "crowded", "start", "n", "ahead")).alias("owned")))
     few = few_ranges(listed, "owned", 5)
-    joined = rows.select("doc", "part", "text").dropDuplicates(["doc", "part"]) if not few else rows.select("doc", "part", "text")
-    return scratch.write(joined.join(F.broadcast(listed) if few else listed, ["doc", "part"]).mapInArrow(run, f"name bigint, {ROWS}, cut binary"))
+    joined = rows.select("doc", "part", "text").join(F.broadcast(listed) if few else listed, ["doc", "part"])
+    found = joined.mapInArrow(run, f"name bigint, crowded boolean, {ROWS}, cut binary")
+    repeated = not rows.groupBy("doc", "part").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()  # one document in several rows
+    return scratch.write(found.dropDuplicates(list(PLACE)) if repeated else found)
 
 
 def halves(cut: DataFrame) -> DataFrame:
@@ -239,31 +247,71 @@ def halves(cut: DataFrame) -> DataFrame:
     return cut.select("name", "doc", "part", "start", "n", "ahead", "cut").mapInArrow(run, "name bigint, before boolean, pair bigint, doc bigint, part bigint, start int")
 
 
+def open_windows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows in the halves of cuts that are left: row of the cut, start in its text, two hashes of the bytes."""
+    n, ahead, start = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "ahead", "start"))
+    after, before = (np.array(batch.column(c).to_pylist(), bool) for c in ("after", "before"))
+    held = batch.column("cut").to_pylist()
+    begin = np.cumsum([0, *map(len, held[:-1])])
+    owner = np.repeat(np.arange(len(n)), n)
+    own = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    keep = np.flatnonzero(np.where(ahead[owner] - own >= LEFT, before[owner], after[owner]))
+    owner, own = owner[keep], own[keep]
+    data, place = np.frombuffer(b"".join(held), np.uint8), begin[owner] + own
+    high, low = (Bytes(data, seed).hashes(place, place + SIZE) for seed in (41, 42))
+    return owner, start[owner] + own, high, low >> np.uint64(32)
+
+
+WINDOW = "doc bigint, part bigint, start int"
+
+
 def windows(cut: DataFrame) -> DataFrame:
     """name, high, low (hash of the bytes), doc, part, start of the windows in the halves that are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "cut"):
-            n, ahead, start = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "ahead", "start"))
-            after, before = (batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("after", "before"))
-            held = as_bytes(batch.column("cut"))
-            begin = np.cumsum([0, *map(len, held[:-1])])
-            owner = np.repeat(np.arange(len(n)), n)
-            own = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            left = ahead[owner] - own >= LEFT
-            keep = np.flatnonzero(np.where(left, before[owner], after[owner]))
-            owner, own = owner[keep], own[keep]
-            data, place, at = np.frombuffer(b"".join(held), np.uint8), begin[owner] + own, pa.array(owner)
-            high, low = (Bytes(data, seed).hashes(place, place + SIZE) for seed in (41, 42))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("name").take(at), signed(high), pa.array((low >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column("doc").take(at), batch.column("part").take(at), pa.array((start[owner] + own).astype(np.int32))],
-                ["name", "high", "low", "doc", "part", "start"],
-            )
-
-    return cut.mapInArrow(run, "name bigint, high bigint, low int, doc bigint, part bigint, start int")
-
+            owner, start, high, low = open_windows(batch)
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column("name").take(at), signed(high), pa.array(low.astype(np.uint32).view(np.int32)), batch.column("doc").take(at), batch.column("part").take(at), pa.array(start.astype(np.int32))], ["name", "high", "low", "doc", "part", "start"])
+
+    return cut.mapInArrow(run, f"name bigint, high bigint, low int, {WINDOW}")
+
+
+def compared(cut: DataFrame) -> DataFrame:
+    """doc, part, start and n of the runs of repeated windows of cuts, a rank's cuts in one task."""
+
+    def settled(table: pa.Table) -> pa.RecordBatch:
+        owner, start, high, low = open_windows(table)
+        name, doc, part = (table.column(c).to_numpy()[owner] for c in ("name", "doc", "part"))
+        order = np.lexsort((start, part, doc, low, high, name))
+        same = np.ones(len(order), bool)
+        for key in (name, high, low):
+            same[1:] &= key[order[1:]] == key[order[:-1]]
+        again = np.sort(order[same & (np.arange(len(order)) > 0)])
+        owner, start = owner[again], start[again]
+        opens = np.ones(len(again), bool)
+        opens[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
+        first = np.flatnonzero(opens)
+        n = np.diff(np.append(first, len(again)))
+        at = owner[first]
+        return pa.RecordBatch.from_arrays([*(pa.array(table.column(c).to_numpy()[at]) for c in ("doc", "part")), pa.array(start[first].astype(np.int32)), pa.array(n.astype(np.int32))], ["doc", "part", "start", "n"])
 
-PLACE = ("doc", "part", "start")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in steps(batches, "cut", CUT_BYTES):
+            held.append(batch)
+            if sum(b.nbytes for b in held) < CUT_BYTES:
+                continue
+            table = pa.Table.from_batches(held)
+            names = table.column("name").to_numpy()
+            whole = int(np.searchsorted(names, names[-1]))  # cuts are in order of their rank; the last one may go on
+            if whole:
+                yield settled(table.slice(0, whole).combine_chunks())
+                held = table.slice(whole).to_batches()
+        if held:
+            yield settled(pa.Table.from_batches(held).combine_chunks())
+
+    return cut.repartition("name").sortWithinPartitions("name").mapInArrow(run, f"{WINDOW}, n int")
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,14 +335,18 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     groups = scratch.write(found.groupBy("name", "span").agg(F.min(place).alias("least"), F.min(F.struct(*PLACE, "n", "ahead")).alias("own"), F.count("*").alias("places")))
     later = found.join(groups.where("places > 1").select("name", "span", "least"), ["name", "span"]).where(place > F.col("least"))
     whole = scratch.write(later.select(*PLACE, "n"))
-    several = groups.groupBy("name").agg(F.count("*").alias("spans")).where("spans > 1").select("name")
-    cut = cuts(rows, groups.join(several, "name").select("name", "own.*"), scratch)
+    scratch.drop(found)
+    several = groups.groupBy("name").agg(F.count("*").alias("spans")).where("spans > 1").select("name", (F.col("spans") > CROWD).alias("crowded"))
+    cut = cuts(rows, groups.join(several, "name").select("name", "crowded", "own.*"), scratch)
     sides = scratch.write(halves(cut))
     shared = sides.groupBy("name", "before", "pair").agg(F.count("*").alias("places")).where("places > 1").select("name", "before", "pair")
     left = sides.join(shared, ["name", "before", "pair"]).groupBy(*PLACE).agg(F.bool_or("before").alias("before"), F.bool_or(~F.col("before")).alias("after"))
-    open_windows = scratch.write(windows(cut.join(left, list(PLACE)).select("name", *PLACE, "n", "ahead", "cut", "after", "before")))
-    firsts = scratch.write(open_windows.groupBy("name", "high", "low").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("name", "high", "low", "least"))
-    single = open_windows.join(firsts, ["name", "high", "low"]).where(place > F.col("least")).select(*PLACE, F.lit(1).alias("n"))
+    left = scratch.write(cut.join(left, list(PLACE)).select("name", "crowded", *PLACE, "n", "ahead", "cut", "after", "before"))
+    scratch.drop(cut)
+    settled = scratch.write(compared(left.where("NOT crowded")))
+    rest = scratch.write(windows(left.where("crowded")))
+    firsts = scratch.write(rest.groupBy("name", "high", "low").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("name", "high", "low", "least"))
+    single = rest.join(firsts, ["name", "high", "low"]).where(place > F.col("least")).select(*PLACE, F.lit(1).alias("n")).unionByName(settled)
     listed = whole.unionByName(single).groupBy("doc", "part").agg(F.collect_set(F.struct("start", "n")).alias("found"))
     out = written(listed.mapInArrow(merged, "doc bigint, part bigint, ranges array<int>"))
     scratch.drop()

@@ -57,6 +57,8 @@ def test_against_brute_force(spark, documents, seed):
 def test_shuffled_joins_and_cut_texts(spark, documents, monkeypatch):
     monkeypatch.setattr(suffixes, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(suffixes, "CHUNK", 300)
+    monkeypatch.setattr(suffixes, "CROWD", 3)
+    monkeypatch.setattr(suffixes, "CUT_BYTES", 500)
     suffixes.tables.cache_clear()
     check(documents, passages(4))
     suffixes.tables.cache_clear()
@@ -70,6 +72,15 @@ def test_edges(spark, documents, edges):
     assert sorted(((r["doc_id"], r["n_removed"]) for r in got), key=str) == sorted([(1, 0), (1, 0), (2, 150), (None, 150)], key=str)
 
 
+@pytest.mark.parametrize("crowd", [1, 4096])
+def test_repeated_rows_are_one_document(spark, documents, monkeypatch, crowd):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    a, b, c = ("".join(random.Random(i).choices("abcdef", k=90)) for i in range(3))
+    rows = [(1, a + b + c), (2, a + b + "." + c), (3, "." + a + b), (4, b + c)]
+    got = suffixes.remove_repeats(documents(rows + rows[:3])).collect()
+    assert sorted({tuple(r[:5]) + (bytes(r[5]),) for r in got}, key=str) == brute(rows) and len(got) == 7
+
+
 def test_long_text_is_taken_whole(spark, documents):
     rng = random.Random(9)
     long = "".join(rng.choices("abcdefghij ", k=700_000))
