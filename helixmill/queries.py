@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixmill import file_queries, model_queries
+from helixmill import file_queries, model_queries, table_queries
 from helixmill.functions.bases import decode, effective_length, encode, from_text, header_id, names_in, uniform
 from helixmill.operators import counts, lengths, linalg, matrix, metrics, prep, sampling
 from helixmill.operators.shred import code_of, shred, shred_pairs, shred_positions, spread
@@ -14,7 +14,7 @@ from helixmill.registry import DOCS, ORACLE_SQL, QUERIES, READS, SEQ, XY, code,
 from helixmill.session import result_path
 from helixmill.streaming.counts import counts_available_now
 
-__all__ = ["ORACLE_SQL", "QUERIES", "file_queries", "model_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "file_queries", "model_queries", "table_queries"]
 
 # K-mers and counts.
 
