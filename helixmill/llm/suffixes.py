@@ -52,6 +52,8 @@ ROWS = "doc bigint, part bigint, start int, n int, ahead int"
 PLACE = ("doc", "part", "start")
 #: Different stretches of one rank that a task compares by itself.
 CROWD = 4096
+#: Numbers that tell of cuts are broadcast up to so many; they are rows of structs there.
+CUT_NUMBERS = 250_000
 #: Bytes of cuts that a task takes at once, beside those of one rank.
 CUT_BYTES = 4 << 20
 
@@ -197,10 +199,10 @@ def stretches(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "part", "text").mapInArrow(run, f"name bigint, span bigint, {ROWS}")
 
 
-def few_ranges(listed: DataFrame, column: str, width: int) -> bool:
+def few_ranges(listed: DataFrame, column: str, width: int, most: int = BROADCAST_INTS) -> bool:
     """Whether lists of ``width`` numbers an entry are small enough to broadcast."""
     size = listed.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("entries")).first()
-    return size["rows"] <= BROADCAST_ROWS and size["entries"] * width <= BROADCAST_INTS
+    return size["rows"] <= BROADCAST_ROWS and size["entries"] * width <= most
 
 
 def cuts(rows: DataFrame, owners: DataFrame, scratch: Scratch) -> DataFrame:
@@ -217,7 +219,7 @@ def cuts(rows: DataFrame, owners: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([flat.field("name"), flat.field("crowded"), batch.column("doc").take(at), batch.column("part").take(at), *(flat.field(c) for c in ("start", "n", "ahead")), pa.array(cut, pa.binary())], ["name", "crowded", "doc", "part", "start", "n", "ahead", "cut"])
 
     listed = scratch.write(owners.groupBy("doc", "part").agg(F.collect_list(F.struct("name", "crowded", "start", "n", "ahead")).alias("owned")))
-    few = few_ranges(listed, "owned", 5)
+    few = few_ranges(listed, "owned", 5, CUT_NUMBERS)
     joined = rows.select("doc", "part", "text").join(F.broadcast(listed) if few else listed, ["doc", "part"])
     found = joined.mapInArrow(run, f"name bigint, crowded boolean, {ROWS}, cut binary")
     repeated = not rows.groupBy("doc", "part").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()  # one document in several rows
