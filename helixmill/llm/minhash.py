@@ -14,14 +14,16 @@ Work stays in proportion where groups are large:
   are ordered by how many members have them, rarest first. Two sets that link share one of their first shingles, and the
   more alike their sizes, the fewer first ones that are; so sizes go by classes. Members of one template, which share
   its shingles and not their rare ones, meet nowhere. Where more than ``HOT`` members of several stars share a first
-  shingle, each is confirmed against a hub of that shingle before, for at most ``HUB_ROUNDS`` rounds, and stars that
+  shingle, each is confirmed against hubs of such shingles before, for at most ``HUB_ROUNDS`` rounds, and stars that
   link become one. Members of one star aren't paired, by triangle inequality of Jaccard distance neither are those of
   a star and one with similarity below 0.5 to its hub.
 
 Links go through connected components. Defined results: a document without words, or with a null text, has an empty
-set and is linked with nothing; one with fewer than five words has its whole sequence as one shingle; rows that share a
-doc_id are one node; a row without doc_id is linked with nothing, has a null component and is kept; an empty table
-gives an empty result; columns of other names are ignored. Texts are taken whole.
+set and is linked with nothing; one with fewer than five words has its whole sequence as one shingle; a row without doc_id
+is linked with nothing, has a null component and is kept; an empty table gives an empty result; columns of other names
+are ignored. Texts are taken whole. Rows that share a doc_id are one document to ``near_duplicates``: each of their texts
+with words is a node, and these nodes belong together. ``deduplicated`` drops rows, not documents: a row stays if its set is its
+group's first (by doc_id) and its doc_id the least that has this set, so each text that goes has a like one that stays.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import Scratch, as_bytes, by_id, mix64, steps, written
+from helixmill.llm.common import Scratch, as_bytes, by_id, free_prefix, mix64, steps, written
 from helixmill.llm.components import connected_components
+from helixmill.llm.mixing import summed_before
 from helixmill.llm.shingles import band_keys, shingle_sets, similarity_sketch
 
 SHINGLE = 5
@@ -43,8 +46,8 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 HOT = 64
-#: Rounds of hubs of shared shingles; each costs a test for each member that shares a crowded one.
-HUB_ROUNDS = 6
+#: Rounds of hubs of shared shingles, and tests of a member in each; rounds end when one leaves more than 1 - 1 / SLOW of the stars.
+HUB_ROUNDS, ASKS, SLOW = 6, 4, 25
 #: Tokens that a task holds when it counts them.
 TOKENS = 500_000
 #: Leading bits of a size that tell its class.
@@ -60,11 +63,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int
             hashes, counts = shingle_sets(as_bytes(batch.column("text")), size)
             ends = np.concatenate([[0], np.cumsum(counts)])
             keys = band_keys(similarity_sketch(hashes, counts, bands * rows), rows)
-            sums = []
-            with np.errstate(over="ignore"):
-                for seed in (11, 12):
-                    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes, seed), dtype=np.uint64)])
-                    sums.append((running[ends[1:]] - running[ends[:-1]]).view(np.int64))
+            sums = signatures(hashes, ends)
             offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, bands, 0))]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[counts > 0].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(sums[0]), pa.array(sums[1]), listed], ["doc_id", "n_shingles", "sig_a", "sig_b", "bands"])
@@ -72,23 +71,38 @@ def sketches(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int
     return by_id(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, sig_a bigint, sig_b bigint, bands array<bigint>")
 
 
-def only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of ``rows`` with ``ids`` (doc_id, distinct); broadcasts ids only when they are few."""
+def only(rows: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """Join of ``rows`` with ``ids`` (distinct by ``key``); broadcasts ids only when they are few."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return rows.join(F.broadcast(ids) if few else ids, key, how)
 
 
-def shingle_table(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """id, n, set (ascending uint64 hashes as binary) of the documents in ``ids``."""
+def signatures(hashes: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """128 bits of each set, as two bigints; ``ends``: 0 and the ends of the sets."""
+    sums = []
+    with np.errstate(over="ignore"):
+        for seed in (11, 12):
+            running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes, seed), dtype=np.uint64)])
+            sums.append((running[ends[1:]] - running[ends[:-1]]).view(np.int64))
+    return sums
+
+
+def shingle_table(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """id and set (ascending uint64 hashes as binary) of ``nodes`` (doc_id, sig_a, sig_b, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             hashes, counts = shingle_sets(as_bytes(batch.column("text")), size)
             ends = np.concatenate([[0], np.cumsum(counts)])
-            sets = [hashes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "set"])
+            ids, sets = [], []
+            for i, (own, a, b) in enumerate(zip(batch.column("own").to_pylist(), *signatures(hashes, ends), strict=True)):
+                found = [x["id"] for x in own if x["sig_a"] == a and x["sig_b"] == b]
+                ids += found
+                sets += [hashes[ends[i] : ends[i + 1]].tobytes()] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
-    return only(by_id(docs, "doc_id", "text"), ids, "left_semi").mapInArrow(run, "id bigint, set binary")
+    listed = nodes.groupBy("doc_id").agg(F.collect_list(F.struct("sig_a", "sig_b", "id")).alias("own"))
+    return only(by_id(docs, "doc_id", "text"), listed, "inner").select("text", "own").mapInArrow(run, "id bigint, set binary")
 
 
 def pair_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -213,23 +227,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def hub_rounds(first: DataFrame, stars: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    """Stars (id, star) after tests against hubs of crowded tokens, and the links found."""
-    listed, links = first.where("NOT probes").select("token", "id"), []
-    for _ in range(HUB_ROUNDS):
+    """Stars (id, star) after tests against hubs of crowded tokens, and the links found.
+
+    Each round draws another hub for each token, and a member asks the hubs of up to ``ASKS`` of its tokens. Stars that
+    link become one: pairs inside a star tell nothing new and aren't tested any more.
+    """
+    listed, links = scratch.write(first.where("NOT probes").select("token", "id")), []
+    for turn in range(HUB_ROUNDS):
         held = listed.join(stars, "id")
-        crowded = held.groupBy("token").agg(F.count("*").alias("owners"), F.min(F.struct("id", "star")).alias("hub"), F.min("star").alias("least"), F.max("star").alias("most"))
+        drawn = F.min_by(F.struct("id", "star"), F.struct(F.xxhash64("id", "token", F.lit(turn)), "id"))
+        crowded = held.groupBy("token").agg(F.count("*").alias("owners"), drawn.alias("hub"), F.min("star").alias("least"), F.max("star").alias("most"))
         crowded = scratch.write(crowded.where(f"owners > {HOT} AND least < most").select("token", "owners", F.col("hub.id").alias("hub"), F.col("hub.star").alias("hub_star")))
         if crowded.isEmpty():
             break
-        asks = held.join(crowded, "token").where("star <> hub_star").groupBy("id", "star").agg(F.min(F.struct("owners", "hub", "hub_star")).alias("to"))
-        asks = scratch.write(asks.select(F.col("id").alias("a"), F.col("to.hub").alias("b"), "star", F.col("to.hub_star").alias("hub_star")))
+        # The hub of a member's least crowded token, of each share of the tokens.
+        share = F.pmod(F.xxhash64("token", F.lit(turn)), F.lit(ASKS))
+        asks = held.join(crowded, "token").where("star <> hub_star").groupBy("id", "star", share.alias("share")).agg(F.min(F.struct("owners", "hub", "hub_star")).alias("to"))
+        asks = scratch.write(asks.select(F.col("id").alias("a"), F.col("to.hub").alias("b"), "star", F.col("to.hub_star").alias("hub_star")).dropDuplicates(["a", "b"]))
         found = scratch.write(confirmed(asks.select("a", "b"), sets))
         links.append(found)
-        # A star takes the name of one that it links with: members of one name are always linked, if not the reverse.
-        moved = asks.join(found, ["a", "b"]).groupBy("star").agg(F.min("hub_star").alias("to"))
-        moved = scratch.write(moved)
-        stars = scratch.write(stars.join(moved, "star", "left").select("id", F.coalesce("to", "star").alias("star")))
-        if 10 * found.count() < asks.count():
+        met = asks.join(found, ["a", "b"])
+        # Of the stars that link, each takes the least name; chains of links close in the rounds to come.
+        both = met.select("star", F.col("hub_star").alias("to")).unionByName(met.select(F.col("hub_star").alias("star"), F.col("star").alias("to")))
+        moved = both.groupBy("star").agg(F.min("to").alias("to"))
+        named = stars.join(moved, "star", "left").select("id", F.least("star", F.coalesce("to", "star")).alias("star"), "star")
+        named = scratch.write(named.toDF("id", "star", "was"))
+        count = named.agg(F.count_distinct("star").alias("after"), F.count_distinct("was").alias("before")).first()
+        stars = named.drop("was")
+        if SLOW * (count["before"] - count["after"]) < count["before"]:
             break
     return stars, links
 
@@ -277,16 +302,19 @@ def hot_links(hot: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFr
     return reduce(DataFrame.unionByName, links), groups
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
-    scratch = Scratch(docs.sparkSession)
+def classed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of all rows, the classes of equal sets (sig_a, sig_b, doc_id, id), and the links (u, v) between their ids.
+
+    doc_id is a class's least one; ids are numbers in its order, since a doc_id may be the least one of several classes.
+    """
     sketched = written(sketches(docs))
     full = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.write(full.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("doc_id")))
-    firsts = full.join(classes, ["doc_id", "sig_a", "sig_b"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    least = full.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("doc_id"), F.lit(1).cast("bigint").alias("one"))
+    classes = written(summed_before(least, ["doc_id", "sig_a", "sig_b"], {"id": "one"}, scratch).drop("one"))
+    firsts = full.join(classes, ["doc_id", "sig_a", "sig_b"]).select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = scratch.write(firsts.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1"))
     members = scratch.write(firsts.join(buckets, "key"))
-    sets = scratch.write(shingle_table(docs, members.select(F.col("id").alias("doc_id")).distinct()))
+    sets = scratch.write(shingle_table(docs, classes.join(members.select("id").distinct(), "id")))
     hot, groups = hot_links(members.where(F.col("m") > HOT).select("key", "hub", "id", "n"), sets, scratch)
     small = members.where(F.col("m") <= HOT).select("key", "id", "n").join(groups, "id", "left")
     left, right = (small.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "label"))) for x in "ab")
@@ -294,9 +322,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alike = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     met = left.join(right, (left.key == right.key) & (F.col("id_a") < F.col("id_b")) & apart & alike)
     pairs = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    links = confirmed(pairs, sets).unionByName(hot).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    linked = connected_components(links, scratch)
-    named = written(classes.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig_a", "sig_b", F.coalesce("component", "doc_id").alias("component")))
+    return sketched, classes, confirmed(pairs, sets).unionByName(hot).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
+    scratch = Scratch(docs.sparkSession)
+    sketched, classes, links = classed(docs, scratch)
+    # The texts of one document belong together; few doc_ids have several.
+    one, other = (pick(F.struct("sig_a", "sig_b")) for pick in (F.min, F.max))
+    several = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(one.alias("one"), other.alias("other")).where("one <> other").select("doc_id")
+    own = sketched.join(several, "doc_id").where("n_shingles > 0").select(F.col("doc_id").alias("shared"), "sig_a", "sig_b").join(classes, ["sig_a", "sig_b"]).select("shared", "id").distinct()
+    ties = own.join(own.groupBy("shared").agg(F.min("id").alias("v")), "shared").select(F.col("id").alias("u"), "v")
+    linked = connected_components(links.unionByName(ties), scratch).select(F.col("node").alias("id"), "component")
+    heads = classes.select(F.col("id").alias("component"), F.col("doc_id").alias("head"))
+    named = written(classes.join(linked.join(heads, "component"), "id", "left").select("sig_a", "sig_b", F.coalesce("head", "doc_id").alias("component")))
     scratch.drop()
     joined = sketched.join(named, ["sig_a", "sig_b"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
@@ -304,8 +344,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stays: one document of each group, all columns as they are."""
-    gone = written(near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
-    if dict(docs.dtypes)["doc_id"] != "bigint":
-        gone = gone.select(F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
-    return only(docs, gone, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that stay: one set of each group, of its least document, all columns as they are."""
+    scratch = Scratch(docs.sparkSession)
+    sketched, classes, links = classed(docs, scratch)
+    linked = connected_components(links, scratch).where("node <> component").select(F.col("node").alias("id"), F.lit(True).alias("later"))
+    ranked = classes.join(linked, "id", "left").select("sig_a", "sig_b", F.col("doc_id").alias("least"), F.coalesce("later", F.lit(False)).alias("later"))
+    rows = sketched.where("doc_id IS NOT NULL").select("doc_id", "sig_a", "sig_b").join(ranked, ["sig_a", "sig_b"], "left")
+    # By document: the sets whose rows go, and whether it has no others; rows without words have a signature too, and stay.
+    gone = rows.groupBy("doc_id").agg(F.collect_set(F.when(F.col("later") | (F.col("doc_id") > F.col("least")), F.struct("sig_a", "sig_b"))).alias("sets"), F.count_distinct("sig_a", "sig_b").alias("n"))
+    gone = written(gone.where(F.size("sets") > 0).select("doc_id", "sets", (F.size("sets") == F.col("n")).alias("whole")))
+    scratch.drop()
+    own = free_prefix(docs.columns)
+    partly = gone.where("NOT whole")
+    left = only(docs.withColumn(f"{own}id", F.col("doc_id").cast("bigint")), gone.select(F.col("doc_id").alias(f"{own}id")), "left_anti", f"{own}id")
+    if partly.isEmpty():
+        return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+    some = only(docs.withColumn(f"{own}id", F.col("doc_id").cast("bigint")), partly.select(F.col("doc_id").alias(f"{own}id"), F.col("sets").alias(f"{own}sets")), "inner", f"{own}id")
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(staying(some, own).select(*(F.col(f"`{c}`") for c in docs.columns)))
+
+
+def staying(some: DataFrame, own: str) -> DataFrame:
+    """Rows whose set isn't among ``sets``; rows without words stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            hashes, counts = shingle_sets(as_bytes(batch.column("text").cast(pa.string())), SHINGLE)
+            found = signatures(hashes, np.concatenate([[0], np.cumsum(counts)]))
+            lists = batch.column(f"{own}sets").to_pylist()
+            stays = [n == 0 or all((x["sig_a"], x["sig_b"]) != (a, b) for x in held) for n, a, b, held in zip(counts, *found, lists, strict=True)]
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return some.mapInArrow(run, some.schema)

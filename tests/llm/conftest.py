@@ -33,6 +33,11 @@ EDGES = [
     (7, "Ünïcode — “quotes” 日本語 🎉 naïve space line", "c"),
     (8, LONG, "d"),
     (9, LONG, "d"),
+    (11, "one text of a document that has two of them"),
+    (12, "one text of a document that has two of them"),
+    (12, "other words make up the second text of number twelve"),
+    (12, ""),
+    (13, "other words make up the second text of number twelve"),
     (10, "<|endoftext|> mail me at a.b@c.de or +49 (30) 1234-5678, card 4111 1111 1111 1111, ip 10.0.0.1.", "d"),
 ]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixmill.llm import minhash, shingles
 from helixmill.llm.common import Scratch
 from helixmill.llm.components import connected_components
+from tests.llm.conftest import EDGES
 
 
 def shingle_set(text):
@@ -34,7 +35,7 @@ def brute(rows):
                 root[max(a, b)] = min(a, b)
         for x in s:
             at[x].append(i)
-    return sorted(((r[0], len(s), None if r[0] is None else find(r[0])) for r, s in zip(rows, sets)), key=str)
+    return sorted(((r[0], len(s), None if r[0] is None else find(r[0]) if s else r[0]) for r, s in zip(rows, sets)), key=str)
 
 
 def near_copies(n, seed, words=120):
@@ -75,7 +76,33 @@ def test_stage_keeps_one_of_each_group(spark, documents, edges):
     docs = documents(edges)
     got = minhash.deduplicated(docs)
     assert got.columns == docs.columns
-    assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([1, 2, 3, 4, 5, 5, None, 7, 8, 10], key=str)
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([1, 2, 3, 4, 5, 5, None, 7, 8, 10, 11, 12, 12], key=str)
+    assert sorted(r["text"] for r in got.where("doc_id = 12").collect()) == ["", EDGES[-4][1]]
+
+
+def loses_no_text(rows, kept):
+    """Each text has an equal or linked one among those that stay."""
+    sets = [shingle_set(t) for _, t in kept]
+    for _, text in rows:
+        s = shingle_set(text)
+        assert any(100 * len(s & t) >= 75 * len(s | t) for t in sets) or not s, text
+
+
+def test_documents_of_several_texts(spark, documents):
+    """Rows that share a doc_id and have different texts, chained through others: components by brute force, no text lost."""
+    a, b, c, d = ("text number %s of four that have not one run of five words in common" % i for i in ("one and a", "two by b", "three c c", "iv"))
+    a, b, c, d = (" ".join(w + str(i) for w in t.split()) for i, t in enumerate((a, b, c, d)))
+    for rows in (
+        [(3, a), (5, a), (5, b), (7, b)],
+        [(5, a), (5, b), (7, a), (4, d), (9, b), (4, b + " more"), (9, c)],
+        [(1, a), (1, b), (1, a), (2, b), (2, a), (3, "")],
+        [(i % 7, t) for i, t in enumerate(near_copies(40, 8) + near_copies(20, 9))],
+    ):
+        check(spark, documents, rows)
+        kept = [(r["doc_id"], r["text"]) for r in minhash.deduplicated(documents(rows)).collect()]
+        if len(rows) < 10:
+            loses_no_text(rows, kept)
+        assert len(kept) <= len(rows) and {i for i, _ in kept} <= {i for i, _ in rows}
 
 
 @pytest.mark.parametrize("n", [1, 5, 40, 3000])
@@ -171,3 +198,24 @@ def test_work_grows_with_a_template(spark, documents, monkeypatch):
         assert tuple(rows) == (n // 2, n)
         total.append(sum(formed))
     assert total[1] <= 5 * total[0] and total[2] <= 15 * total[0], total
+
+
+def modular(n, seed=3, modules=40, share=0.8):
+    """Pages put together from shared modules, so that no shingle is rare."""
+    rng = random.Random(seed)
+    parts = [" ".join(f"m{i}x{j}" for j in range(40)) for i in range(modules)]
+    return [" ".join(p for p in parts if rng.random() < share) for _ in range(n)]
+
+
+def test_modular_pages(spark, documents, monkeypatch):
+    """Nearly all pages share all first shingles; stars that have merged are not paired inside, so few of all pairs are tested."""
+    tested, plain = [], minhash.pair_counts
+
+    def counted(pairs, sets):
+        tested.append(pairs.count())
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(minhash, "pair_counts", counted)
+    rows = list(enumerate(modular(400)))
+    check(spark, documents, rows)
+    assert sum(tested) < 0.6 * 400 * 399 / 2, tested
