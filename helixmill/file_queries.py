@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixmill.functions.bases import effective_length
 from helixmill.operators import counts, matrix, prep
 from helixmill.plans.simulate import every_kmer, sampled_reads
-from helixmill.registry import DOCS, READS, SEQ, isoforms, query, read, reads, x_cte, y_cte
+from helixmill.registry import DOCS, READS, SEQ, XY, isoforms, query, read, reads, x_and_y, x_cte, y_cte
 from helixmill.session import result_path
 from helixmill.sources import files
 from helixmill.sources.store import ModelSettings, Problem, Store, config_hash, merged, write_csv
@@ -62,14 +62,14 @@ def fasta_file_for_each_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_fasta(spark, f"{path}/*").groupBy(part).agg(F.count("*").alias("records"), F.sum(F.length("sequence")).alias("bases"))
 
 
-@query("SELECT 'all-4-mers' AS header, 259::BIGINT AS bases, 256::BIGINT AS distinct_kmers")
+@query("SELECT 'all-4-mers' AS header, 259::BIGINT AS bases, 256::BIGINT AS distinct_words")
 def every_kmer_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = result_path(spark, "all")
     files.write_fasta(every_kmer(spark, 4), path, width=50)
     back = files.read_fasta(spark, path)
     lines = spark.read.text(path).where(~F.col("value").startswith(">") & (F.length("value") > 50))
     found = counts.kmer_counts(back, 4).where("y = 1").agg(F.count("*").alias("n"))
-    return back.select("header", F.length("sequence").cast("bigint").alias("bases")).withColumn("distinct_kmers", found.scalar()).where(F.lit(lines.isEmpty()))
+    return back.select("header", F.length("sequence").cast("bigint").alias("bases")).withColumn("distinct_words", found.scalar()).where(F.lit(lines.isEmpty()))
 
 
 SIMULATED = "WITH r AS (SELECT range AS draw FROM range(2000)) SELECT 'sim-' || draw || '/' AS start, true AS inside FROM r"
@@ -123,6 +123,16 @@ def stored_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.load("x", PROBLEM).select("kmer_id", "isoform_id", "p")
 
 
+@query(f"WITH {XY} SELECT kmer_id, isoform_id, p, y FROM o")
+def stored_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X and y stored in buckets join as they lie, without an exchange."""
+    store = Store(spark, result_path(spark, "store"))
+    x, y = x_and_y(spark, sf_dir)
+    for kind, table in (("x", x), ("y", y)):
+        store.save_bucketed(table, kind, PROBLEM, by="kmer_id", buckets=8)
+    return store.load("x", PROBLEM).join(store.load("y", PROBLEM), "kmer_id").select("kmer_id", "isoform_id", "p", "y")
+
+
 @query(f"WITH {READS}, {y_cte(3)} SELECT kmer_id, y FROM y")
 def stored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts are built once, and taken from the store the second time."""

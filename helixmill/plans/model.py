@@ -21,17 +21,20 @@ BROADCAST = 1_000_000
 
 
 class Evaluator:
-    """X and counts in a form for many evaluations. Isoform ids must be 0 .. n_isoforms - 1."""
+    """X and counts in a form for many evaluations. Isoform ids must be 0 .. n_isoforms - 1.
 
-    def __init__(self, x: DataFrame, y: DataFrame, n_isoforms: int, partitions: int | None = None) -> None:
+    ``placed``: X and y are stored in buckets by kmer_id (``Store.save_bucketed``) and stay where they are.
+    """
+
+    def __init__(self, x: DataFrame, y: DataFrame, n_isoforms: int, partitions: int | None = None, placed: bool = False) -> None:
         self.spark, self.n = x.sparkSession, n_isoforms
         seen = y.where("y > 0").select("kmer_id", F.col("y").cast("double").alias("y"))
         joined = x.select("kmer_id", "isoform_id", "p").join(seen, "kmer_id")
         parts = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        placed = joined.repartition(parts, "kmer_id")
+        entries = joined if placed else joined.repartition(parts, "kmer_id")
         # One entry of each k-mer carries the k-mer's own part of the objective.
-        least = placed.groupBy("kmer_id").agg(F.min("isoform_id").alias("least"))
-        self.entries = placed.join(least, "kmer_id").select("kmer_id", "isoform_id", "p", "y", (F.col("isoform_id") == F.col("least")).alias("leads")).persist()
+        least = entries.groupBy("kmer_id").agg(F.min("isoform_id").alias("least"))
+        self.entries = entries.join(least, "kmer_id").select("kmer_id", "isoform_id", "p", "y", (F.col("isoform_id") == F.col("least")).alias("leads")).persist()
         self.total = float(self.entries.agg(F.sum(F.when(F.col("leads"), F.col("y")))).first()[0] or 0.0)
         every = y.agg(F.sum("y")).first()[0] or 0
         self.dropped = 1.0 - self.total / float(every) if every else 0.0

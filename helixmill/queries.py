@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixmill import file_queries, model_queries, table_queries
 from helixmill.functions.bases import decode, effective_length, encode, from_text, header_id, names_in, uniform
-from helixmill.operators import counts, lengths, linalg, matrix, metrics, prep, sampling
+from helixmill.operators import counts, lengths, linalg, matrix, metrics, minimisers, prep, sampling
 from helixmill.operators.shred import code_of, shred, shred_pairs, shred_positions, spread
 from helixmill.plans.simulate import every_kmer, sampled_reads
 from helixmill.registry import DOCS, ORACLE_SQL, QUERIES, READS, SEQ, XY, code, isoforms, query, read, reads, valid_words, x_and_y, x_cte, y_cte
@@ -29,6 +29,25 @@ def kmer_count_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.kmer_counts(reads(spark, sf_dir), 12)
 
 
+#: Turns with all but their letters left out, so that long k-mers are found.
+LETTERS = SEQ.replace("coalesce(text, '')", "regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')")
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of turns as reads."""
+    return read(spark, sf_dir, "conversations").select(from_text(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("sequence"))
+
+
+@query(f"WITH l AS (SELECT {LETTERS} AS s FROM conversations), {valid_words('k', 15, 'l')} SELECT {code(15)} AS kmer_id, count(*) AS y FROM k GROUP BY kmer")
+def kmer_count_minimisers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minimisers.counts_by_minimiser(letters(spark, sf_dir), 15)
+
+
+@query(f"WITH l AS (SELECT {LETTERS} AS s FROM conversations), {valid_words('k', 31, 'l')} SELECT {code(31)} AS kmer_id, count(*) AS y FROM k GROUP BY kmer")
+def kmer_count_minimisers_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minimisers.counts_by_minimiser(letters(spark, sf_dir), 31)
+
+
 @query(f"WITH {READS}, {valid_words('k', 5, 'reads')} SELECT DISTINCT kmer, {code(5)} AS kmer_id FROM k")
 def kmer_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = shred(spread(reads(spark, sf_dir)), 5).distinct().select(F.translate("kmer", "0123", "ACGT").alias("kmer"))
@@ -83,10 +102,11 @@ def de_bruijn_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {READS}, {y_cte(3)} SELECT kmer_id, y FROM y")
 def kmer_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = read(spark, sf_dir, "conversations")
-    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/conversations.parque*")
-    turns = stream.select(from_text(F.coalesce("text", F.lit(""))).alias("sequence"))
-    return counts_available_now(spark, turns, 3, result_path(spark, "stream"))
+    """The turns arrive in four files, each a batch of its own."""
+    arrived = result_path(spark, "arrived")
+    reads(spark, sf_dir).select("sequence").repartition(4).write.parquet(arrived)
+    stream = spark.readStream.schema("sequence string").option("maxFilesPerTrigger", 1).parquet(arrived)
+    return counts_available_now(spark, stream, 3, result_path(spark, "stream"))
 
 
 # The matrix.

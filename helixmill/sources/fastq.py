@@ -1,4 +1,9 @@
-"""FASTQ as a Spark data source: one partition for each file, read as a stream, four lines a record."""
+"""FASTQ as a Spark data source, four lines a record, read as a stream.
+
+Plain files are cut into ranges of ``SPLIT`` bytes, a partition each; a record belongs to the range that its first byte lies
+in. A range finds its first record by the shape of the lines: quality lines may begin with ``@`` too, but no sequence, which
+then stands two lines below, begins with ``+``. Compressed files stay whole.
+"""
 
 from __future__ import annotations
 
@@ -13,12 +18,19 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 BATCH = 4096
 
 
-class FastqFile(InputPartition):
-    """A file, by its URI or absolute path."""
+#: Bytes of a range.
+SPLIT = 64 << 20
+#: Names of files that are compressed as a whole.
+WHOLE = (".gz", ".bz2", ".zst", ".lz4", ".br")
+SCHEMA = ["file", "range", "seq_idx", "header", "sequence"]
+
+
+class FastqRange(InputPartition):
+    """Bytes of a file, by its URI or absolute path; without an end, all of it."""
 
-    def __init__(self, uri: str) -> None:
+    def __init__(self, uri: str, start: int = 0, end: int | None = None) -> None:
         super().__init__(uri)
-        self.uri = uri
+        self.uri, self.start, self.end = uri, start, end
 
 
 def files_of(path: str) -> list[str]:
@@ -32,52 +44,84 @@ def files_of(path: str) -> list[str]:
     return sorted(f"{path.rstrip('/')}/{x.base_name}" for x in store.get_file_info(fs.FileSelector(at)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")))
 
 
-def records(lines: Iterator[bytes], uri: str) -> Iterator[tuple[str, str]]:
-    """(header, sequence) of lines; an empty line at the end is none."""
+def ranges_of(paths: list[str], split: int = SPLIT) -> list[FastqRange]:
+    """The ranges of all files of paths."""
+    out = []
+    for uri in (uri for path in paths for uri in files_of(path)):
+        store, at = fs.FileSystem.from_uri(uri)
+        size = 0 if uri.endswith(WHOLE) else store.get_file_info(at).size or 0
+        out += [FastqRange(uri)] if size <= split else [FastqRange(uri, a, min(a + split, size)) for a in range(0, size, split)]
+    return out
+
+
+def lines_of(stream: pa.NativeFile, at: int = 0, size: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """The lines of a stream without their ends, each with its place; ``at``: that of the first."""
+    rest = b""
+    while data := stream.read(size):
+        *whole, rest = (rest + data).split(b"\n")
+        for line in whole:
+            yield at, line
+            at += len(line) + 1
+    if rest:
+        yield at, rest
+
+
+def begins_record(lot: list[tuple[int, bytes]], i: int) -> bool:
+    """Whether a record begins at line ``i`` of some lines."""
+    text = [x.rstrip() for _, x in lot[i : i + 4]]
+    return len(text) == 4 and text[0].startswith(b"@") and text[2].startswith(b"+") and len(text[1]) == len(text[3])
+
+
+def records(lines: Iterator[tuple[int, bytes]], of: FastqRange) -> Iterator[tuple[str, str]]:
+    """(header, sequence) of the records that begin in a range; an empty line at the end is none."""
+    if of.start:
+        ahead = list(itertools.islice(lines, 8))  # the rest of a line, then lines of two records at most
+        first = next((i for i in range(1, min(len(ahead), 5)) if begins_record(ahead, i)), None)
+        if first is None:
+            if len(ahead) == 8:
+                raise ValueError(f"no FASTQ record after byte {of.start} of {of.uri}")
+            return
+        lines = itertools.chain(ahead[first:], lines)
     while lot := list(itertools.islice(lines, 4)):
-        if len(lot) < 4:
-            if b"".join(lot).strip():
-                raise ValueError(f"incomplete FASTQ record in {uri}")
+        if of.end is not None and lot[0][0] >= of.end:
             return
-        yield lot[0].rstrip().decode("utf-8", "replace").removeprefix("@"), lot[1].rstrip().decode("utf-8", "replace")
+        text = [x.rstrip() for _, x in lot]
+        if len(lot) < 4 or (of.end is not None and not text[0].startswith(b"@")):
+            if b"".join(text):
+                raise ValueError(f"incomplete FASTQ record in {of.uri}")
+            return
+        yield text[0].decode("utf-8", "replace").removeprefix("@"), text[1].decode("utf-8", "replace")
 
 
 class FastqReader(DataSourceReader):
-    """Reads files of the option ``paths`` (one a line), gzipped ones by their name."""
+    """Reads files of the option ``paths`` (one a line), compressed ones by their name."""
 
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+    def __init__(self, paths: list[str], split: int) -> None:
+        self.paths, self.split = paths, split
 
     def partitions(self) -> list[InputPartition]:
-        """One for each file."""
-        return [FastqFile(uri) for path in self.paths for uri in files_of(path)] or [FastqFile("")]
+        """One for each range."""
+        return ranges_of(self.paths, self.split) or [FastqRange("")]
 
-    def read(self, partition: FastqFile) -> Iterator[pa.RecordBatch]:
-        """Batches of a file's records, numbered from 0."""
+    def read(self, partition: FastqRange) -> Iterator[pa.RecordBatch]:
+        """Batches of a range's records, numbered from 0 in it."""
         if not partition.uri:
             return
         store, at = fs.FileSystem.from_uri(partition.uri)
         number = 0
-        with store.open_input_stream(at, compression="detect") as stream:
-            found = records(lines_of(stream), partition.uri)
+        with store.open_input_stream(at, compression="detect") if partition.end is None else store.open_input_file(at) as stream:
+            begin = max(partition.start - 1, 0)  # with the byte before, so that a line that begins at the start is whole
+            if begin:
+                stream.seek(begin)
+            found = records(lines_of(stream, begin), partition)
             while lot := list(itertools.islice(found, BATCH)):
                 headers, sequences = zip(*lot, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([partition.uri] * len(lot)), pa.array(range(number, number + len(lot)), pa.int64()), pa.array(headers), pa.array(sequences)], ["file", "seq_idx", "header", "sequence"])
+                yield pa.RecordBatch.from_arrays([pa.array([partition.uri] * len(lot)), pa.array([partition.start] * len(lot), pa.int64()), pa.array(range(number, number + len(lot)), pa.int64()), pa.array(headers), pa.array(sequences)], SCHEMA)
                 number += len(lot)
 
 
-def lines_of(stream: pa.NativeFile, size: int = 1 << 20) -> Iterator[bytes]:
-    """The lines of a stream, without their ends."""
-    rest = b""
-    while data := stream.read(size):
-        *whole, rest = (rest + data).split(b"\n")
-        yield from whole
-    if rest:
-        yield rest
-
-
 class FastqSource(DataSource):
-    """``spark.read.format("fastq").option("paths", ...)``: file, seq_idx, header, sequence."""
+    """``spark.read.format("fastq").option("paths", ...)``: file, range (its first byte), seq_idx (in the range), header, sequence."""
 
     @classmethod
     def name(cls) -> str:
@@ -86,8 +130,8 @@ class FastqSource(DataSource):
 
     def schema(self) -> str:
         """Columns of a record."""
-        return "file string, seq_idx bigint, header string, sequence string"
+        return "file string, range bigint, seq_idx bigint, header string, sequence string"
 
     def reader(self, schema) -> DataSourceReader:
         """The reader of the paths."""
-        return FastqReader([p for p in self.options["paths"].split("\n") if p])
+        return FastqReader([p for p in self.options["paths"].split("\n") if p], int(self.options.get("splitBytes", SPLIT)))

@@ -8,10 +8,10 @@ store that Spark reads will do; FASTQ comes from the data source of ``helixmill.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixmill.sources.fastq import FastqSource
+from helixmill.sources.fastq import SPLIT, FastqSource, ranges_of
 
 BLANKS = " \t\n\x0b\f\r"
 #: Files up to which their first records go to all tasks; beyond, they are joined by shuffle.
@@ -56,13 +56,22 @@ def read_fasta_native(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return text.select("file", "block", header.alias("header"), F.regexp_replace(body, r"[ ]*\n|[ ]+$", "").alias("sequence")).where("header != ''")
 
 
-def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, seq_idx, header, sequence of FASTQ files or folders of them, gzipped or not; a partition for each file.
+def read_fastq(spark: SparkSession, paths: str | list[str], split: int = SPLIT) -> DataFrame:
+    """file, seq_idx, header, sequence of FASTQ files or folders of them, gzipped or not.
 
-    Raises on a file whose lines aren't a multiple of four.
+    Plain files over ``split`` bytes are read in ranges of that size. Records of a range are numbered in it; a count of each
+    range, a row each, moves them to their place in the file. Raises on a file whose lines aren't a multiple of four.
     """
     spark.dataSource.register(FastqSource)
-    return spark.read.format(FastqSource.name()).option("paths", "\n".join(_files(paths))).load()
+    found = spark.read.format(FastqSource.name()).option("paths", "\n".join(_files(paths))).option("splitBytes", str(split)).load()
+    ranges = ranges_of(_files(paths), split)
+    if all(r.start == 0 for r in ranges):
+        return found.drop("range")
+    before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.groupBy("file", "range").agg(F.count("*").alias("__n"))
+    moved = sizes.select("file", "range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__at"))
+    moved = F.broadcast(moved) if len(ranges) <= FEW_FILES else moved
+    return found.join(moved, ["file", "range"]).select("file", (F.col("seq_idx") + F.col("__at")).alias("seq_idx"), "header", "sequence")
 
 
 def read_quant(spark: SparkSession, path: str) -> DataFrame:

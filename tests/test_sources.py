@@ -128,3 +128,23 @@ def test_fastq_folders_have_a_partition_for_each_file(spark, tmp_path):
     assert files.read_fastq(spark, [str(tmp_path / "a.fastq"), f"file://{tmp_path}/b.fastq.gz"]).count() == 5003
     with pytest.raises(Exception, match="missing"):
         files.read_fastq(spark, str(tmp_path / "missing.fastq")).count()
+
+
+@pytest.mark.parametrize("split", [1, 7, 50, 333])
+def test_fastq_in_ranges(spark, tmp_path, split):
+    """Quality lines that look like headers, CRLF, and ranges down to a byte: the rows and numbers of the file as a whole."""
+    rows = [(f"r{i} @x", "ACGTN"[: i % 6] * (i % 4), "@+I@"[i % 4] * len("ACGTN"[: i % 6] * (i % 4))) for i in (range(5, 6) if split == 1 else range(60))]
+    text = "".join(f"@{h}\n{s}\n+{h if i % 3 else ''}\n{q}\n" for i, (h, s, q) in enumerate(rows))
+    for name, body in (("a.fastq", text), ("b.fastq", text.replace("\n", "\r\n").removesuffix("\r\n"))):
+        path = put(tmp_path, name, "") and tmp_path / name
+        path.write_bytes(body.encode())
+        got = [tuple(r) for r in files.read_fastq(spark, str(path), split).select("seq_idx", "header", "sequence").orderBy("seq_idx").collect()]
+        assert got == [(i, h, s) for i, (h, s, _) in enumerate(rows)]
+        assert got == [tuple(r) for r in files.read_fastq(spark, str(path)).select("seq_idx", "header", "sequence").orderBy("seq_idx").collect()]
+
+
+def test_fastq_range_of_a_broken_file(spark, tmp_path):
+    path = put(tmp_path, "broken.fastq", "@a\nACGT\n+\nIIII\n@b\nAC\n")
+    for split in (5, 1000):
+        with pytest.raises(Exception, match="incomplete"):
+            files.read_fastq(spark, path, split).count()
