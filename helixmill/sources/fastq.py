@@ -72,17 +72,32 @@ def begins_record(lot: list[tuple[int, bytes]], i: int) -> bool:
     return len(text) == 4 and text[0].startswith(b"@") and text[2].startswith(b"+") and len(text[1]) == len(text[3])
 
 
-def records(lines: Iterator[tuple[int, bytes]], of: FastqRange) -> Iterator[tuple[str, str]]:
-    """(header, sequence) of the records that begin in a range; an empty line at the end is none."""
-    if of.start:
+def lines_from_record(stream: pa.NativeFile, start: int, uri: str) -> Iterator[tuple[int, bytes]]:
+    """Lines from the beginning of a record on, the first one at ``start`` or behind it if that can be told there.
+
+    Near the end of a file the lines left may be too few to tell; then from a record further ahead.
+    """
+    back = 1  # with the byte before, so that a line that begins at the start is whole
+    while True:
+        at = max(start - back, 0)
+        stream.seek(at)
+        lines = lines_of(stream, at)
+        if not at:
+            return lines
         ahead = list(itertools.islice(lines, 8))  # the rest of a line, then lines of two records at most
         first = next((i for i in range(1, min(len(ahead), 5)) if begins_record(ahead, i)), None)
-        if first is None:
-            if len(ahead) == 8:
-                raise ValueError(f"no FASTQ record after byte {of.start} of {of.uri}")
-            return
-        lines = itertools.chain(ahead[first:], lines)
+        if first is not None:
+            return itertools.chain(ahead[first:], lines)
+        if len(ahead) == 8:
+            raise ValueError(f"incomplete FASTQ record after byte {at} of {uri}")
+        back = max(4096, 16 * back)
+
+
+def records(lines: Iterator[tuple[int, bytes]], of: FastqRange) -> Iterator[tuple[str, str]]:
+    """(header, sequence) of the records that begin in a range; an empty line at the end is none."""
     while lot := list(itertools.islice(lines, 4)):
+        if lot[0][0] < of.start:
+            continue
         if of.end is not None and lot[0][0] >= of.end:
             return
         text = [x.rstrip() for _, x in lot]
@@ -110,10 +125,8 @@ class FastqReader(DataSourceReader):
         store, at = fs.FileSystem.from_uri(partition.uri)
         number = 0
         with store.open_input_stream(at, compression="detect") if partition.end is None else store.open_input_file(at) as stream:
-            begin = max(partition.start - 1, 0)  # with the byte before, so that a line that begins at the start is whole
-            if begin:
-                stream.seek(begin)
-            found = records(lines_of(stream, begin), partition)
+            lines = lines_from_record(stream, partition.start, partition.uri) if partition.start else lines_of(stream)
+            found = records(lines, partition)
             while lot := list(itertools.islice(found, BATCH)):
                 headers, sequences = zip(*lot, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([partition.uri] * len(lot)), pa.array([partition.start] * len(lot), pa.int64()), pa.array(range(number, number + len(lot)), pa.int64()), pa.array(headers), pa.array(sequences)], SCHEMA)
