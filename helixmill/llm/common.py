@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run without ASCII white space; ``bytes.split()`` cuts at exactly these bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Ranges of a table's order at most: their cuts come from one sketch and go to all tasks.
+MOST_RANGES = 16_384
 #: Code points that one step of a Python worker takes at once; a longer text makes a step of its own.
 STEP_CHARS = 2_000_000
 
@@ -188,6 +190,15 @@ def by_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def quantiles(df: DataFrame, column: str, ranges: int) -> list[int]:
+    """Upper ends of all but the last of about equal ranges of a long column, ``MOST_RANGES`` at most; nulls aside."""
+    ranges = min(ranges, MOST_RANGES)
+    if ranges < 2:
+        return []
+    found = df.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first()["q"]
+    return sorted(set(found or []))
+
+
 def free_prefix(columns: list[str]) -> str:
     """A run of underscores that none of the names begins with, for columns of one's own beside them."""
     prefix = "_"

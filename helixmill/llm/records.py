@@ -3,16 +3,16 @@
 A shard file is a sequence of frames: length (uint64), its masked checksum (uint32), payload, the payload's masked
 checksum (uint32), all little-endian. The checksum is CRC-32, masked by a rotation and a constant so that files of
 checksums don't check themselves. A payload is doc_id (int64), number of ids (uint32), bytes of an id (uint8: 2 if
-the vocabulary fits, else 4) and the ids. The index beside a shard has doc_id, frame offset and number of ids (int64
-each), so records can be read in any order. Shards hold ascending ranges of doc_id, nulls first, in ascending order.
+the vocabulary fits, else 4; its highest bit tells that doc_id is null) and the ids. The index beside a shard has doc_id,
+frame offset and number of ids (int64 each; an offset with its bits flipped tells that doc_id is null), so records can be
+read in any order. Shards hold ascending ranges of doc_id, nulls first, in ascending order.
 
 Each task writes files under names of its own and reports them; only reported files count, so a task that runs again
 or twice leaves none that are read. Files go to the shared folder through pyarrow's file systems.
 
 Texts are taken whole, whatever their length. Defined results: a null or empty text has no ids but the end id; rows
-with one doc_id stay together, ordered by ids; a null doc_id comes first and is told by ``NO_ID``, so that a doc_id of
-that value raises; an empty table gives no shards and an empty result; columns of other names are ignored. A damaged
-frame raises.
+with one doc_id stay together, ordered by ids; a null doc_id comes first, before the least number; an empty table gives
+no shards and an empty result; columns of other names are ignored. A damaged frame raises.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import as_text, by_id, result_dir, shared_dir, steps, written
+from helixmill.llm.common import as_text, by_id, quantiles, result_dir, shared_dir, steps, written
 from helixmill.llm.pieces import codec
 
 #: Bytes of a generation of a worker's memo: large, as encoding is most of the work here.
@@ -38,8 +38,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 HEAD, TAIL, RECORD, ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qIB"), struct.Struct("<qqq")
 #: Fixed value of the mask.
 MASK_DELTA = 0xA282EAD8
-#: Stands for a null doc_id inside files.
-NO_ID = -(2**63)
+#: Bit of a payload's width by which a null doc_id is told.
+NULL = 0x80
 MANIFEST = "shard int, path string, index_path string, n_docs bigint, n_tokens bigint"
 
 
@@ -69,18 +69,18 @@ def frames(stream) -> Iterator[bytes]:
 
 def payload_of(doc_id: int | None, width: int, ids: bytes) -> bytes:
     """The payload of a document whose ids are already bytes of ``width`` each."""
-    return RECORD.pack(NO_ID if doc_id is None else doc_id, len(ids) // width, width) + ids
+    return RECORD.pack(doc_id or 0, len(ids) // width, width | NULL if doc_id is None else width) + ids
 
 
 def entry_of(doc_id: int | None, offset: int, n: int) -> bytes:
     """An entry of the index."""
-    return ENTRY.pack(NO_ID if doc_id is None else doc_id, offset, n)
+    return ENTRY.pack(doc_id or 0, ~offset if doc_id is None else offset, n)
 
 
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     """doc_id and ids (uint32) of a payload."""
     doc_id, n, width = RECORD.unpack_from(payload)
-    return None if doc_id == NO_ID else doc_id, np.frombuffer(payload, f"<u{width}", n, RECORD.size).astype("<u4")
+    return None if width & NULL else doc_id, np.frombuffer(payload, f"<u{width & ~NULL}", n, RECORD.size).astype("<u4")
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -90,11 +90,7 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
 
 def shard_bounds(docs: DataFrame, shards: int, id_col: str = "doc_id") -> list[int]:
     """Upper ends of all shards but the last: approximate quantiles of the ids, from that column alone."""
-    if shards < 2:
-        return []
-    at = [i / shards for i in range(1, shards)]
-    found = docs.agg(F.percentile_approx(F.col(id_col).cast("bigint"), at, 20 * shards).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    return quantiles(docs.select(F.col(id_col).cast("bigint").alias("doc_id")), "doc_id", shards)
 
 
 def write_records(docs: DataFrame, folder: str | None = None, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, end_id: int | None = 0, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,8 +105,6 @@ def write_records(docs: DataFrame, folder: str | None = None, path: str = VOCABU
         kind = "<u2" if max(own.size - 1, end_id or 0) < 2**16 else "<u4"
         end = b"" if end_id is None else np.array([end_id], kind).tobytes()
         for batch in steps(batches):
-            if NO_ID in batch.column("doc_id").to_pylist():
-                raise ValueError(f"a doc_id of {NO_ID} can't be stored")
             ids = [np.frombuffer(own.packed(x), "<u4").astype(kind).tobytes() + end for x in as_text(batch.column("text"))]
             shard = np.array([0 if d is None else np.searchsorted(edges, d, "left") for d in batch.column("doc_id").to_pylist()], np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shard), pa.array([int(kind[2])] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "shard", "width", "ids"])
@@ -185,8 +179,9 @@ def read_index(manifest: DataFrame) -> DataFrame:
                 store, at = open_fs(index)
                 with store.open_input_stream(at) as stream:
                     entries = np.frombuffer(stream.read(), "<i8").reshape(-1, 3)
-                ids = pa.array([None if x == NO_ID else int(x) for x in entries[:, 0]], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(entries), pa.string()), ids, pa.array(entries[:, 1]), pa.array(entries[:, 2])], ["path", "doc_id", "offset", "n_tokens"])
+                ids, null = entries[:, 0], entries[:, 1] < 0
+                offsets = np.where(null, ~entries[:, 1], entries[:, 1])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(entries), pa.string()), pa.array(ids, mask=null), pa.array(offsets), pa.array(entries[:, 2])], ["path", "doc_id", "offset", "n_tokens"])
 
     return manifest.select("path", "index_path").mapInArrow(read, "path string, doc_id bigint, offset bigint, n_tokens bigint")
 

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -73,6 +74,45 @@ def test_near_finds_all_within_the_radius(spark):
     assert got == want
 
 
+def test_next_of_the_least_number_and_null(spark, documents):
+    rows = [(-(2**63), "the least number"), (None, "no number at all"), (4, "four"), (-(2**63), "least again")]
+    for partitions in (1, 3):
+        got = {(r["doc_id"], r["n_chars"]): r["edited_sha256"] for r in simhash.compare_edited(documents(rows, partitions=partitions)).collect()}
+        line = ["four", "the least number", "least again", "no number at all"]
+        want = {len(a): hashlib.sha256((a[: len(a) - len(a) // 3] + b[: len(a) // 3]).encode()).hexdigest() for a, b in zip(line, line[1:] + line[:1])}
+        assert {n: h for (_, n), h in got.items()} == want
+
+
+def in_few_buckets(n, seed, free):
+    """Fingerprints that differ in some of the lowest ``free`` bits alone."""
+    rng = random.Random(seed)
+    found = set()
+    while len(found) < n:
+        found.add(0x9E3779B97F4A7C15 >> 1 ^ sum(1 << i for i in rng.sample(range(free), rng.randrange(free))))
+    return sorted(found)
+
+
+def test_crowded_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", 16)
+    for radius, blocks in ((3, 6), (2, 4)):
+        some = in_few_buckets(700, 3, 34)
+        rows = spark.createDataFrame([(x,) for x in some], "fingerprint bigint")
+        queries = rows.where("fingerprint % 3 = 0").unionByName(spark.createDataFrame([(some[0] ^ 1 << 60,), (None,)], "fingerprint bigint"))
+        taken = simhash.near(rows, queries, radius, blocks).collect()
+        got = {(r["query"], r["fingerprint"], r["distance"]) for r in taken}
+        asked = {x for x in some if x % 3 == 0} | {some[0] ^ 1 << 60}
+        assert len(got) == len(taken) and got == {(a, b, d) for a in asked for b in some if (d := (a ^ b).bit_count()) <= radius}
+
+
+def test_crowded_buckets_do_not_pair_all(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", 64)
+    some = in_few_buckets(4000, 4, 34)
+    rows = spark.createDataFrame([(x,) for x in some], "fingerprint bigint")
+    # What one level of tables would pair: measured, 5,046,878 against 1,507,062.
+    one_level = sum(c * c for mask in simhash.Level(64, 3, 6).masks for c in Counter(x & mask for x in some).values())
+    assert 3 * simhash.candidates(rows, rows).count() < one_level
+
+
 def test_near_query_searches_the_whole_table(spark):
     folder = "/root/testdata/sf0.001"
     prints = {r["doc_id"]: int(r["h"], 16) for r in simhash.fingerprints(table(spark, folder, "documents")).select("doc_id", simhash.in_hex(F.col("fingerprint")).alias("h")).collect()}

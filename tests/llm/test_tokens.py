@@ -87,7 +87,8 @@ def test_counts(spark, documents, edges):
 
 
 def test_record_files(spark, documents, edges):
-    rows = sorted([*edges, *((100 + i, t) for i, t in enumerate(ODD))], key=lambda r: (r[0] is not None, r[0] or 0))
+    least = (-(2**63), "the least number of all")
+    rows = sorted([*edges, least, *((100 + i, t) for i, t in enumerate(ODD))], key=lambda r: (r[0] is not None, r[0] or 0))
     manifest = records.write_records(documents(rows), shards=4)
     got = records.read_records(manifest).collect()
     start, want = 0, []
@@ -99,7 +100,8 @@ def test_record_files(spark, documents, edges):
     shuffled = records.read_shuffled(manifest, 7, 3).collect()
     assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in shuffled) == sorted((str(w[0]), w[3]) for w in want)
     assert [r["doc_id"] for r in shuffled] != [w[0] for w in want]
-    assert records.read_index(manifest).count() == len(rows)
+    index = records.read_index(manifest).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in index) == sorted((str(w[0]), w[2]) for w in want) and min(r["offset"] for r in index) == 0
     digest = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in records.digests(documents(rows)).collect()}
     assert digest == {(w[0], w[1]): zlib.crc32(w[3]) for w in want}
     records.remove(spark, manifest)
