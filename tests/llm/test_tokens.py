@@ -88,12 +88,14 @@ def test_counts(spark, documents, edges):
 
 def test_record_files(spark, documents, edges):
     least = (-(2**63), "the least number of all")
-    rows = sorted([*edges, least, *((100 + i, t) for i, t in enumerate(ODD))], key=lambda r: (r[0] is not None, r[0] or 0))
+    rows = [*edges, least, *((100 + i, t) for i, t in enumerate(ODD))]
+    encoded = {r[1]: [*LIBRARY.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in rows}
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, np.array(encoded[r[1]], "<u2").tobytes()))
     manifest = records.write_records(documents(rows), shards=4)
     got = records.read_records(manifest).collect()
     start, want = 0, []
     for doc_id, text, *_ in rows:
-        own = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 0]
+        own = encoded[text]
         want.append((doc_id, start, len(own), np.array(own, "<u4").tobytes()))
         start += len(own)
     assert sorted([(r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in got], key=lambda r: r[1]) == want
