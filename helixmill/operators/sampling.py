@@ -23,9 +23,13 @@ def cumulative(p: DataFrame, order: str = "isoform_id", value: str = "value") ->
 
 
 def draw(p: DataFrame, draws: DataFrame, u: str = "u", order: str = "isoform_id") -> DataFrame:
-    """Joins each draw to the category whose interval holds ``u``: a range join by cells of the unit interval."""
-    ranges = written(cumulative(p, order).where("high > low"))
-    cells = max(CELLS, 1 << (ranges.count() - 1).bit_length()) if not ranges.isEmpty() else CELLS
+    """Joins each draw to the category whose interval holds ``u``: a range join by cells of the unit interval.
+
+    ``p`` is written first, as its ranges, their sums and its last category are read from it.
+    """
+    p = written(p)
+    cells = max(CELLS, 1 << p.count().bit_length())
+    ranges = cumulative(p, order).where("high > low")
     first, last = F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells).cast("bigint"))
     spread = ranges.withColumn("__cell", F.explode(F.sequence(first, last)))
     keyed = draws.withColumn("__cell", F.floor(F.col(u) * cells))

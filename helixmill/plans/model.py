@@ -13,9 +13,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.session import Scratch
+
 #: Isoforms up to which theta is broadcast (16 MB); beyond, it is joined by shuffle.
 BROADCAST = 1_000_000
 
@@ -28,20 +30,24 @@ class Evaluator:
 
     def __init__(self, x: DataFrame, y: DataFrame, n_isoforms: int, partitions: int | None = None, placed: bool = False) -> None:
         self.spark, self.n = x.sparkSession, n_isoforms
+        self.scratch = Scratch(self.spark)
+        if not placed:
+            y = self.scratch.write(y.select("kmer_id", "y"))  # read twice: by the join and for the sum of all counts
         seen = y.where("y > 0").select("kmer_id", F.col("y").cast("double").alias("y"))
         joined = x.select("kmer_id", "isoform_id", "p").join(seen, "kmer_id")
         parts = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         entries = joined if placed else joined.repartition(parts, "kmer_id")
         # One entry of each k-mer carries the k-mer's own part of the objective.
-        least = entries.groupBy("kmer_id").agg(F.min("isoform_id").alias("least"))
-        self.entries = entries.join(least, "kmer_id").select("kmer_id", "isoform_id", "p", "y", (F.col("isoform_id") == F.col("least")).alias("leads")).persist()
+        leads = F.col("isoform_id") == F.min("isoform_id").over(Window.partitionBy("kmer_id"))
+        self.entries = entries.select("kmer_id", "isoform_id", "p", "y", leads.alias("leads")).persist()
         self.total = float(self.entries.agg(F.sum(F.when(F.col("leads"), F.col("y")))).first()[0] or 0.0)
         every = y.agg(F.sum("y")).first()[0] or 0
         self.dropped = 1.0 - self.total / float(every) if every else 0.0
 
     def close(self) -> None:
-        """Releases the stored entries."""
+        """Releases the stored entries and counts."""
         self.entries.unpersist()
+        self.scratch.drop()
 
     def vector(self, values: np.ndarray) -> DataFrame:
         """A driver vector as a table: isoform_id, value."""
