@@ -5,7 +5,9 @@ super-k-mer) of k + n - 1 bases, which is shuffled once, under its minimiser, in
 k-mer meet under its minimiser, so windows are cut out and counted where the runs lie, without another shuffle.
 
 A few minimisers, such as those of low-complexity runs, may hold a large share of all windows. Those with more than their
-part of a shuffle partition are counted beside the others as plain k-mers, summed in each task before they are shuffled.
+part of a shuffle partition are counted beside the others as plain k-mers, summed in each batch before they are shuffled.
+
+Partitions are as many as the windows need, so that the table of counts that a task holds doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ WINDOWS = 128
 STEP = 1 << 20
 #: A minimiser with fewer windows than this is never counted apart.
 LEAST_HOT = 100_000
+#: Windows that a task counts, on average.
+TASK = 1 << 20
 CODES = np.full(256, 4, np.uint8)
 CODES[np.frombuffer(BASES.encode(), np.uint8)] = np.arange(4)
 DIGIT = np.full(5, ord("."), np.uint8)
@@ -107,22 +111,43 @@ def cut_windows(runs: DataFrame, k: int) -> DataFrame:
     return runs.select("minimiser", F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - (k - 1)), lambda i: F.substr("run", i, F.lit(k)))).alias("kmer"))
 
 
-def hot_minimisers(runs: DataFrame) -> list[int]:
-    """Those with more windows than a shuffle partition has on average, so fewer than partitions."""
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def hot_minimisers(runs: DataFrame, parts: int | None = None) -> dict[int, int]:
+    """Those with more windows than a partition has on average, so fewer than partitions, and their windows."""
+    parts = parts or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sums = runs.groupBy("minimiser").agg(F.sum("windows").alias("windows"))
     total = runs.agg(F.sum("windows")).first()[0] or 0
-    return [r["minimiser"] for r in sums.where(F.col("windows") > max(LEAST_HOT, total // parts)).select("minimiser").collect()]
+    return {r["minimiser"]: r["windows"] for r in sums.where(F.col("windows") > max(LEAST_HOT, total // parts)).collect()}
+
+
+def window_sums(runs: DataFrame, k: int) -> DataFrame:
+    """kmer_id and y of runs, summed in each Arrow batch alone, so that a k-mer may have many rows."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digits = np.frombuffer("\n".join(batch.column(0).to_pylist()).encode(), np.uint8).astype(np.int64) - ord("0")
+            windows = max(len(digits) - k + 1, 0)
+            code = np.zeros(windows, np.int64)
+            for i in range(k):
+                code = (code << 2) | (digits[i : i + windows] & 3)
+            ends = np.concatenate([[0], np.cumsum(digits < 0)])
+            found, y = np.unique(code[ends[k:] == ends[:-k]] if windows else code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(y.astype(np.int64))], ["kmer_id", "y"])
+
+    return runs.select("run").mapInArrow(summed, "kmer_id bigint, y bigint")
 
 
 def counts_by_minimiser(reads: DataFrame, k: int, m: int | None = None, sequence: str = "sequence") -> DataFrame:
     """kmer_id and y of all reads, like ``kmer_counts``; for long k a fraction of its shuffle."""
     runs = written(minimiser_runs(reads, k, m, sequence))
-    hot = hot_minimisers(runs)
-    apart = F.col("minimiser").isin(hot) if hot else F.lit(False)
-    # Grouping by (minimiser, kmer) is served by the partitioning on minimiser.
-    placed = cut_windows(runs.where(~apart).select("minimiser", "run").repartition("minimiser"), k)
-    found = placed.groupBy("minimiser", "kmer").agg(F.count("*").alias("y")).select("kmer", "y")
+    session = runs.sparkSession
+    needed = -(-(runs.agg(F.sum("windows")).first()[0] or 0) // TASK)
+    hot = hot_minimisers(runs, max(needed, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    apart = F.col("minimiser").isin(list(hot)) if hot else F.lit(False)
+    # Grouping by (minimiser, kmer) is served by the partitioning on minimiser. The number is given, since adaptive
+    # execution would join partitions by their bytes, and runs of few bytes have many windows.
+    placed = cut_windows(runs.where(~apart).select("minimiser", "run").repartition(max(needed, session.sparkContext.defaultParallelism), "minimiser"), k)
+    found = placed.groupBy("minimiser", "kmer").agg(F.count("*").alias("y")).select(code_of(F.col("kmer")).alias("kmer_id"), "y")
     if hot:
-        found = found.unionByName(cut_windows(runs.where(apart), k).groupBy("kmer").agg(F.count("*").alias("y")))
-    return found.select(code_of(F.col("kmer")).alias("kmer_id"), "y")
+        parts = max(-(-sum(hot.values()) // TASK), session.sparkContext.defaultParallelism)
+        found = found.unionByName(window_sums(runs.where(apart), k).repartition(parts, "kmer_id").groupBy("kmer_id").agg(F.sum("y").alias("y")))
+    return found

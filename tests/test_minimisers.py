@@ -6,6 +6,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from helixmill.operators import counts, minimisers
 
@@ -51,6 +52,20 @@ def test_hot_minimisers_and_cut_reads(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
+@pytest.mark.parametrize("least", [20, 10**6])
+def test_partitions_grow_with_windows(spark, monkeypatch, least):
+    """Partitions are as many as windows need, whatever the session's number, with and without crowded minimisers."""
+    monkeypatch.setattr(minimisers, "LEAST_HOT", least)
+    monkeypatch.setattr(minimisers, "TASK", 200)
+    reads = sample(4) * 2
+    table = spark.createDataFrame([(r,) for r in reads], "sequence string")
+    want = brute(reads, 15)
+    found = minimisers.counts_by_minimiser(table, 15)
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert found.rdd.getNumPartitions() >= sum(want.values()) // 200 and max(sizes) < len(want) / 4
+    assert {r["kmer_id"]: r["y"] for r in found.collect()} == want and found.count() == len(want)
+
+
 def test_empty(spark):
     assert minimisers.counts_by_minimiser(spark.createDataFrame([], "sequence string"), 15).count() == 0
 
