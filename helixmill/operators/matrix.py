@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.bases import valid_windows
 from helixmill.operators.order import running
-from helixmill.operators.shred import code_of, shred, shred_positions, spanning_blocks, spread
+from helixmill.operators.shred import code_of, row_counts, shred, shred_positions, spanning_blocks, spread
 from helixmill.session import written
 
+#: Partitions of X for each partition of the sequences.
+PARTS = 4
+
 
 def keep_records(records: DataFrame, min_length: int = 0, header: str | None = "header", sequence: str = "sequence", reject: str = "PREDICTED") -> DataFrame:
     """Drops records whose header contains ``reject`` and those shorter than ``min_length``."""
@@ -25,12 +28,15 @@ def dense_ids(records: DataFrame, *order: str, name: str = "isoform_id") -> Data
 def build_matrix(isoforms: DataFrame, k: int, id_col: str = "isoform_id", sequence: str = "sequence") -> DataFrame:
     """Counts of each isoform's k-mers and their share among its valid ones; columns of X sum to 1.
 
-    An isoform's number of valid k-mers is known from its own row, so the shares need no second shuffle. An isoform
-    without valid k-mers has no rows.
+    K-mers are counted row by row, and only an isoform's counts are shuffled, once, to where its sum is known too. Rows
+    that share an id are one isoform. An isoform without valid k-mers has no rows.
     """
-    one = spread(isoforms.select(F.col(id_col).alias("isoform_id"), F.col(sequence).alias("sequence"), valid_windows(F.col(sequence), k).alias("total")))
-    counted = shred(one, k, "sequence", ("isoform_id", "total")).groupBy("isoform_id", "total", "kmer").agg(F.count("*").alias("cnt"))
-    return counted.select(code_of(F.col("kmer")).alias("kmer_id"), "isoform_id", "cnt", (F.col("cnt") / F.col("total")).alias("p"))
+    one = spread(isoforms.select(F.col(id_col).alias("isoform_id"), F.col(sequence).alias("sequence")))
+    # As many partitions as the input asks for, whatever the session's number, so that none grows with it.
+    parts = PARTS * one.rdd.getNumPartitions()
+    counted = row_counts(one, k, "sequence", "isoform_id").repartition(parts, "isoform_id").groupBy("isoform_id", "kmer_id").agg(F.sum("cnt").alias("cnt"))
+    whole = F.sum("cnt").over(Window.partitionBy("isoform_id"))
+    return counted.select("kmer_id", "isoform_id", "cnt", (F.col("cnt") / whole).alias("p"))
 
 
 def file_matrix(records: DataFrame, k: int, file: str, order: str, min_length: int = 0, sequence: str = "sequence") -> DataFrame:

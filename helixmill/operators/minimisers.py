@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.bases import BASES, DIGITS, check_k
-from helixmill.operators.shred import code_of, spread
+from helixmill.functions.bases import DIGITS, check_k
+from helixmill.operators.shred import CODES, code_of, spread
 from helixmill.session import written
 
 #: Length of a minimiser at most, else half of k: long enough that few k-mers share one, short enough that runs are long.
@@ -33,8 +33,6 @@ STEP = 1 << 20
 LEAST_HOT = 100_000
 #: Windows that a task counts, on average.
 TASK = 1 << 20
-CODES = np.full(256, 4, np.uint8)
-CODES[np.frombuffer(BASES.encode(), np.uint8)] = np.arange(4)
 DIGIT = np.full(5, ord("."), np.uint8)
 DIGIT[:4] = np.frombuffer(DIGITS.encode(), np.uint8)
 #: An odd number, a fixed value, that spreads codes over 64 bits.

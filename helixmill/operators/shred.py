@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from helixmill.functions.bases import BASES, DIGITS, check_k, encode, is_valid
 from helixmill.operators.order import running
 
+#: Bases by byte, 4 for all else.
+CODES = np.full(256, 4, np.uint8)
+CODES[np.frombuffer(BASES.encode(), np.uint8)] = np.arange(4)
+#: Bytes of sequences that ``row_counts`` takes at once.
+STEP = 1 << 20
 #: Characters of a chunk. Substring walks a string from its start, so long runs are cut first, in one pass.
 CHUNK = 128
 
@@ -45,6 +55,59 @@ def shred(df: DataFrame, k: int, sequence: str = "sequence", keep: tuple[str, ..
     return chunks.select(*keep, F.explode(_windows(F.col("__chunk"), k)).alias("kmer"))
 
 
+def tallied(data: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and number of each valid k-mer of rows of so many bytes, which lie in ``data`` one after the other."""
+    codes, row = CODES[data], np.repeat(np.arange(len(sizes)), sizes)
+    windows = max(len(codes) - k + 1, 0)
+    code = np.zeros(windows, np.int64)
+    for i in range(k):
+        code = (code << 2) | (codes[i : i + windows] & 3)
+    bad = np.append(0, np.cumsum(codes == 4, dtype=np.int32))
+    valid = (bad[k:] == bad[:windows]) & (row[k - 1 :] == row[:windows]) if windows else np.zeros(0, bool)
+    code, row = code[valid], row[:windows][valid]
+    if len(sizes) * 4**k <= max(len(data), 1 << 16):
+        n = np.bincount(row * 4**k + code, minlength=1)
+        found = np.flatnonzero(n)
+        return found >> 2 * k, found & (4**k - 1), n[found]
+    own, place = np.unique(code, return_inverse=True)
+    found, n = np.unique(row * len(own) + place, return_counts=True)
+    return found // max(len(own), 1), own[found % max(len(own), 1)], n
+
+
+def cut_rows(sizes: np.ndarray, k: int, step: int) -> Iterator[tuple[int, int, int, int]]:
+    """Steps over rows of so many bytes: the rows' range, and the bytes' range in a row that is longer than a step."""
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + step, "right")))
+        for cut in range(0, max(int(sizes[at]) - k + 1, 1), step) if end == at + 1 else (0,):
+            yield at, end, cut, cut + step + k - 1
+        at = end
+
+
+def row_counts(df: DataFrame, k: int, sequence: str, key: str) -> DataFrame:
+    """``key``, kmer_id and cnt of the valid k-mers of each row; a row longer than a step may have a k-mer several times.
+
+    Counted in numpy from the bytes of an Arrow column; all bytes of a character outside ACGT are invalid.
+    """
+    check_k(k)
+    step = STEP
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            for first, last, start, end in cut_rows(np.diff(offsets), k, step):
+                a, b = (offsets[first], offsets[last]) if last > first + 1 else (offsets[first] + start, min(offsets[first] + end, offsets[last]))
+                sizes = np.diff(offsets[first : last + 1]) if last > first + 1 else np.array([b - a])
+                row, code, n = tallied(data[a:b], sizes, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + first)), pa.array(code), pa.array(n.astype(np.int64))], [key, "kmer_id", "cnt"])
+
+    out = StructType([df.select(key).schema[0]]).add("kmer_id", LongType()).add("cnt", LongType())
+    return df.select(key, sequence).mapInArrow(run, out)
+
+
 def code_of(digits: Column) -> Column:
     """Integer of a digit string from ``shred``."""
     return F.conv(digits, 4, 10).cast("bigint")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.bases import decode, encode
 from helixmill.operators import counts, matrix
+from helixmill.operators import shred as shred_module
 from helixmill.operators.shred import CHUNK, shred, shred_pairs, shred_positions, spanning_blocks
 from helixmill.plans.simulate import de_bruijn
 
@@ -90,6 +91,20 @@ def test_matrix_k2(spark):
     assert x == {(0, 0): third, (1, 0): third, (5, 0): third, (5, 1): third, (6, 1): third, (10, 1): third, (15, 2): 1.0}
 
 
+@pytest.mark.parametrize("k,step", [(1, 7), (3, 50), (3, 1 << 20), (8, 64), (31, 90)])
+def test_matrix_against_brute_force(spark, monkeypatch, k, step):
+    """Rows longer than a step, rows that share an id, characters of several bytes, empty and null rows."""
+    monkeypatch.setattr(shred_module, "STEP", step)
+    rng = random.Random(k)
+    rows = [(i % 20, "".join(rng.choice("ACGTNé\U0001f600\n") if rng.random() < 0.05 else rng.choice("ACGT") for _ in range(rng.choice([0, 1, k, 60, 300])))) for i in range(30)] + [(50, None), (51, "NN"), (None, "ACGT" * 20)]
+    x = matrix.build_matrix(spark.createDataFrame(rows, "isoform_id bigint, sequence string"), k)
+    assert x.rdd.getNumPartitions() >= matrix.PARTS
+    got = {(r["isoform_id"], r["kmer_id"]): (r["cnt"], r["p"]) for r in x.collect()}
+    assert x.count() == len(got)
+    want = {i: brute([s or "" for j, s in rows if j == i], k) for i in {i for i, _ in rows}}
+    assert got == {(i, m): (n, n / sum(own.values())) for i, own in want.items() for m, n in own.items()}
+
+
 def test_matrix_columns_sum_to_one_and_spmv(spark):
     from helixmill.operators import linalg
 
