@@ -16,35 +16,37 @@ from helixmill.functions.bases import from_text
 from helixmill.operators import counts, matrix
 from helixmill.operators.matrix import dense_ids
 from helixmill.plans import solvers
-from helixmill.plans.model import SimplexModel, SoftmaxModel, make_model
+from helixmill.plans.model import SimplexModel, SoftmaxModel, make_model, numbers
 from helixmill.plans.simulate import dirichlet, simulate
 from helixmill.registry import READS, SEQ, XY, isoforms, query, read, reads, x_and_y, x_cte, y_cte
+from helixmill.session import written
 from helixmill.sources.store import ModelSettings
 
 K = 4
 
 
-def vector(spark: SparkSession, ids: list[int], values: np.ndarray, name: str, digits: int) -> DataFrame:
+def vector(spark: SparkSession, ids: list[int] | np.ndarray, values: np.ndarray, name: str, digits: int) -> DataFrame:
     """A driver vector as a table: isoform_id and its values, rounded."""
-    rows = [(int(i), float(v)) for i, v in zip(ids, values, strict=True)]
-    return spark.createDataFrame(rows, f"isoform_id bigint, {name} double").select("isoform_id", F.round(name, digits).alias(name))
+    table = numbers(spark, isoform_id=np.asarray(ids, np.int64), value=np.asarray(values, float))
+    return table.select("isoform_id", F.round("value", digits).alias(name))
 
 
 # Evaluations over all documents. Their ids are dense from 0 here; the model's own order is by doc_id.
 
 
-def documents_model(spark: SparkSession, sf_dir: str, make: Callable) -> tuple[list[int], SimplexModel | SoftmaxModel]:
+def documents_model(spark: SparkSession, sf_dir: str, make: Callable) -> tuple[np.ndarray, SimplexModel | SoftmaxModel]:
     """The doc_ids in the order of the model's vectors, and the model."""
     x, y = x_and_y(spark, sf_dir)
     numbered = dense_ids(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("isoform_id")), "isoform_id", name="__n")
-    ids = [r[0] for r in numbered.orderBy("__n").select("isoform_id").collect()]  # a number for each isoform, like every vector
-    return ids, make(x.join(numbered, "isoform_id").select("kmer_id", F.col("__n").alias("isoform_id"), "p"), y, len(ids))
+    numbered = written(numbered)  # read twice
+    ids = numbered.orderBy("__n").select("isoform_id").toArrow()["isoform_id"].to_numpy()  # a number for each isoform, like every vector
+    return ids, make(x.join(numbered.hint("shuffle_hash"), "isoform_id").select("kmer_id", F.col("__n").alias("isoform_id"), "p"), y, len(ids))
 
 
 UNIFORM = f"{XY}, s AS (SELECT kmer_id, any_value(y) AS y, sum(p) / (SELECT n FROM t) AS s FROM o GROUP BY kmer_id), d AS (SELECT doc_id AS isoform_id FROM documents), pulled AS (SELECT isoform_id, sum(o.p * o.y / s.s) / (SELECT total FROM w) AS g FROM o JOIN s USING (kmer_id) GROUP BY isoform_id), g AS (SELECT isoform_id, coalesce(g, 0) AS g FROM d LEFT JOIN pulled USING (isoform_id))"
 
 
-def simplex_at_uniform(spark: SparkSession, sf_dir: str) -> tuple[list[int], float, np.ndarray]:
+def simplex_at_uniform(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, float, np.ndarray]:
     """doc_ids, log density and gradient of the simplex model at uniform theta."""
     ids, model = documents_model(spark, sf_dir, lambda x, y, n: make_model(x, y, np.ones(n)))
     f, g = model.objective_and_gradient(model.start("uniform"))

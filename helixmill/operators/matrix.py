@@ -31,10 +31,10 @@ def build_matrix(isoforms: DataFrame, k: int, id_col: str = "isoform_id", sequen
     K-mers are counted row by row, and only an isoform's counts are shuffled, once, to where its sum is known too. Rows
     that share an id are one isoform. An isoform without valid k-mers has no rows.
     """
-    one = spread(isoforms.select(F.col(id_col).alias("isoform_id"), F.col(sequence).alias("sequence")))
+    one = isoforms.select(F.col(id_col).alias("isoform_id"), F.col(sequence).alias("sequence"))
     # As many partitions as the input asks for, whatever the session's number, so that none grows with it.
-    parts = PARTS * one.rdd.getNumPartitions()
-    counted = row_counts(one, k, "sequence", "isoform_id").repartition(parts, "isoform_id").groupBy("isoform_id", "kmer_id").agg(F.sum("cnt").alias("cnt"))
+    parts = PARTS * max(one.rdd.getNumPartitions(), one.sparkSession.sparkContext.defaultParallelism)
+    counted = row_counts(spread(one), k, "sequence", "isoform_id").repartition(parts, "isoform_id").groupBy("isoform_id", "kmer_id").agg(F.sum("cnt").alias("cnt"))
     whole = F.sum("cnt").over(Window.partitionBy("isoform_id"))
     return counted.select("kmer_id", "isoform_id", "cnt", (F.col("cnt") / whole).alias("p"))
 

@@ -1,10 +1,11 @@
 """Objectives and gradients of the mixture models, as joins and sums.
 
-Entries of X are joined with counts once, so that only observed k-mers stay, and kept by kmer_id. A k-mer has one entry
-for each isoform at most, so the entries of one stay few beside a partition. An evaluation broadcasts theta (one number
-for each isoform, up to ``BROADCAST``), sums by k-mer where the rows already are together, and shuffles once, partial
-sums by isoform. Counts whose k-mer no isoform has are left out, and the rest is renormalised; ``dropped`` tells their
-share.
+Entries of X are joined with counts once, so that only observed k-mers stay, and kept by what there is more of. By
+kmer_id, an evaluation broadcasts theta (one number for each isoform, up to ``BROADCAST``), sums by k-mer where the rows
+already are together, and shuffles once, partial sums by isoform. By isoform_id (isoforms outnumber k-mers, as for short
+k, where one k-mer has an entry for nearly every isoform), it joins theta where the rows are, shuffles partial sums by
+k-mer alone, and broadcasts these. Counts whose k-mer no isoform has are left out, and the rest is renormalised;
+``dropped`` tells their share.
 """
 
 from __future__ import annotations
@@ -12,14 +13,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixmill.session import Scratch
 
 #: Isoforms up to which theta is broadcast (16 MB); beyond, it is joined by shuffle.
 BROADCAST = 1_000_000
+#: Entries of a partition, at least.
+ENTRIES = 500_000
+
+
+def numbers(spark: SparkSession, **columns: np.ndarray) -> DataFrame:
+    """Driver vectors as the columns of a table."""
+    return spark.createDataFrame(pa.table(columns))
 
 
 class Evaluator:
@@ -32,15 +40,24 @@ class Evaluator:
         self.spark, self.n = x.sparkSession, n_isoforms
         self.scratch = Scratch(self.spark)
         if not placed:
-            y = self.scratch.write(y.select("kmer_id", "y"))  # read twice: by the join and for the sum of all counts
+            y = self.scratch.write(y.select("kmer_id", "y"))  # read again: for the sum of all counts
         seen = y.where("y > 0").select("kmer_id", F.col("y").cast("double").alias("y"))
-        joined = x.select("kmer_id", "isoform_id", "p").join(seen, "kmer_id")
-        parts = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        entries = joined if placed else joined.repartition(parts, "kmer_id")
-        # One entry of each k-mer carries the k-mer's own part of the objective.
-        leads = F.col("isoform_id") == F.min("isoform_id").over(Window.partitionBy("kmer_id"))
-        self.entries = entries.select("kmer_id", "isoform_id", "p", "y", leads.alias("leads")).persist()
-        self.total = float(self.entries.agg(F.sum(F.when(F.col("leads"), F.col("y")))).first()[0] or 0.0)
+        kmers = seen.count()
+        self.by_isoform = not placed and kmers < min(self.n, BROADCAST)
+        joined = x.select("kmer_id", "isoform_id", "p").join(F.broadcast(seen) if self.by_isoform else seen, "kmer_id")
+        # By the entries that there can be: each of many evaluations has a task for each partition.
+        needed = max(1, kmers * self.n // ENTRIES)
+        if self.by_isoform:
+            parts = partitions or max(1, min(needed, self.n // 1000))
+            self.entries = joined.repartition(parts, "isoform_id").persist()
+            self.total = float(self.entries.groupBy("kmer_id").agg(F.first("y").alias("y")).agg(F.sum("y")).first()[0] or 0.0)
+        else:
+            parts = partitions or min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), needed)
+            entries = joined if placed else joined.repartition(parts, "kmer_id")
+            # One entry of each k-mer carries the k-mer's own part of the objective.
+            leads = F.col("isoform_id") == F.min("isoform_id").over(Window.partitionBy("kmer_id"))
+            self.entries = entries.select("kmer_id", "isoform_id", "p", "y", leads.alias("leads")).persist()
+            self.total = float(self.entries.agg(F.sum(F.when(F.col("leads"), F.col("y")))).first()[0] or 0.0)
         every = y.agg(F.sum("y")).first()[0] or 0
         self.dropped = 1.0 - self.total / float(every) if every else 0.0
 
@@ -51,28 +68,39 @@ class Evaluator:
 
     def vector(self, values: np.ndarray) -> DataFrame:
         """A driver vector as a table: isoform_id, value."""
-        table = self.spark.createDataFrame(pd.DataFrame({"isoform_id": np.arange(self.n), "value": values}), "isoform_id bigint, value double")
-        return F.broadcast(table) if self.n <= BROADCAST else table
+        table = numbers(self.spark, isoform_id=np.arange(self.n), value=np.asarray(values, float))
+        return F.broadcast(table) if self.n <= BROADCAST else table.hint("shuffle_hash")
+
+    def sums(self, theta: np.ndarray) -> DataFrame:
+        """kmer_id, y and s = (X theta)."""
+        return self.entries.join(self.vector(theta), "isoform_id").groupBy("kmer_id").agg(F.first("y").alias("y"), F.sum(F.col("p") * F.col("value")).alias("s"))
 
     def product(self, theta: np.ndarray) -> DataFrame:
         """Entries with s = (X theta) at their k-mer."""
-        joined = self.entries.join(self.vector(theta), "isoform_id")
-        sums = joined.groupBy("kmer_id").agg(F.sum(F.col("p") * F.col("value")).alias("s"))
-        return self.entries.join(sums, "kmer_id")
+        sums = self.sums(theta).select("kmer_id", "s")
+        return self.entries.join(F.broadcast(sums) if self.by_isoform else sums, "kmer_id")
 
     def gathered(self, sums: DataFrame) -> np.ndarray:
         """The column g of a table with a row for each isoform, 0 where there is none."""
-        found, out = sums.select("isoform_id", "g").toPandas(), np.zeros(self.n)
-        out[found["isoform_id"].to_numpy(np.int64)] = found["g"].to_numpy()
+        found, out = sums.select("isoform_id", "g").toArrow(), np.zeros(self.n)
+        out[found["isoform_id"].to_numpy().astype(np.int64)] = found["g"].to_numpy()
         return out
 
     def likelihood(self, theta: np.ndarray) -> float:
         """Sum of y log(X theta)."""
-        sums = self.entries.join(self.vector(theta), "isoform_id").groupBy("kmer_id").agg(F.first("y").alias("y"), F.sum(F.col("p") * F.col("value")).alias("s"))
-        return float(sums.agg(F.sum(F.when(F.col("s") > 0, F.col("y") * F.log("s")).otherwise(F.lit(-math.inf)))).first()[0] or 0.0)
+        return float(self.sums(theta).agg(F.sum(F.when(F.col("s") > 0, F.col("y") * F.log("s")).otherwise(F.lit(-math.inf)))).first()[0] or 0.0)
 
     def likelihood_and_pull(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
-        """Sum of y log(X theta), and X'(y / X theta), in one job; infinite where X theta is 0 at a k-mer that was seen."""
+        """Sum of y log(X theta), and X'(y / X theta); infinite where X theta is 0 at a k-mer that was seen."""
+        if self.by_isoform:
+            found = self.sums(theta).toArrow()  # fewer than isoforms
+            kmer, y, s = (found[c].to_numpy() for c in ("kmer_id", "y", "s"))
+            some = s > 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                part, ratio = np.where(some, y * np.log(s), -math.inf), np.where(some, y / s, math.inf)
+            ratios = F.broadcast(numbers(self.spark, kmer_id=kmer.astype(np.int64), ratio=ratio))
+            pulled = self.entries.join(ratios, "kmer_id").groupBy("isoform_id").agg(F.sum(F.col("p") * F.col("ratio")).alias("g"))
+            return float(part.sum()), self.gathered(pulled)
         some = F.col("s") > 0
         part = F.when(F.col("leads"), F.when(some, F.col("y") * F.log("s")).otherwise(F.lit(-math.inf))).otherwise(0.0)
         pull = F.when(some, F.col("p") * F.col("y") / F.col("s")).otherwise(F.lit(math.inf))

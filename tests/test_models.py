@@ -246,3 +246,42 @@ def test_prep(spark):
     runs = spark.createDataFrame([("r", i, 10.0 - i) for i in range(6)] + [("s", i, 8.0 - i) for i in range(4)], "run string, iteration int, value double")
     got = metrics.curves(runs, 7.0).orderBy("iteration").collect()
     assert [(r["iteration"], r["mean"]) for r in got] == [(0, 9.0), (1, 8.0), (2, 7.0)]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 100])
+def test_entries_by_isoform(spark, monkeypatch, limit):
+    """More isoforms than k-mers: kept by isoform, no k-mer's entries in one task, theta broadcast or not; the same values."""
+    from helixmill.plans import model as module
+
+    rng = np.random.default_rng(2)
+    dense = np.where(rng.random((16, 300)) < 0.6, rng.random((16, 300)), 0)
+    dense[:, 7] = 0
+    x = spark.createDataFrame([(int(k), int(i), float(dense[k, i])) for k, i in zip(*np.nonzero(dense))], "kmer_id bigint, isoform_id bigint, p double")
+    y = spark.createDataFrame([(k, 3 * k) for k in range(20)], "kmer_id bigint, y bigint")
+    seen, theta = np.arange(1, 16) * 3.0, rng.random(300) + 0.1
+    monkeypatch.setattr(module, "BROADCAST", limit)
+    data = module.Evaluator(x, y, 300, 4)
+    assert data.by_isoform and data.total == seen.sum() and data.dropped == pytest.approx(1 - seen.sum() / sum(3 * k for k in range(20)))
+    sizes = data.entries.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 2 * np.count_nonzero(dense[1:]) / 4
+    s = dense[1:] @ theta
+    f, pull = data.likelihood_and_pull(theta)
+    assert f == pytest.approx(seen @ np.log(s)) == pytest.approx(data.likelihood(theta))
+    np.testing.assert_allclose(pull, dense[1:].T @ (seen / s), rtol=1e-9)
+    np.testing.assert_allclose(data.normal(theta), dense[1:].T @ s, rtol=1e-9)
+    np.testing.assert_allclose(data.counts_pull(), dense[1:].T @ seen, rtol=1e-9)
+    none = data.likelihood_and_pull(np.where(np.arange(300) == 7, 1.0, 0.0))
+    assert none[0] == -np.inf and np.isinf(none[1][np.flatnonzero(dense[1:].any(0))]).all() and none[1][7] == 0
+    data.close()
+
+
+def test_few_entries_have_few_partitions(spark, xy):
+    """Many evaluations of a small problem don't start a task for each of the session's partitions."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        model = SimplexModel(*xy, np.ones(3))
+        assert model.data.entries.rdd.getNumPartitions() == 1
+        model.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
