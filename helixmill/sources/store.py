@@ -76,7 +76,7 @@ class Store:
         return path
 
     def save_bucketed(self, table: DataFrame, kind: str, *settings: Any, by: str, buckets: int) -> str:
-        """Writes over what is there, rows with one value of ``by`` in one bucket and in order.
+        """Writes over what is there, rows with one value of ``by`` in one bucket and in order inside each of its files.
 
         Tables with as many buckets by a column join and aggregate on it without an exchange. The layout lies beside the
         files, so that ``load`` knows it in any session.
@@ -84,8 +84,9 @@ class Store:
         path = self.path(kind, *settings)
         name = self._table(path)
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        # One task for each bucket, so that a bucket is one file and its order holds.
-        table.repartition(buckets, by).write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+        # Few buckets, or few values, would make few tasks that sort all rows: adaptive execution joins and cuts tasks by
+        # their bytes instead, so that a large bucket is several files.
+        table.hint("rebalance", by).write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
         layout = json.dumps({"schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema), "by": by, "buckets": buckets})
         at, store = self._at(f"{path}/{LAYOUT}")
         out = store.create(at, True)

@@ -57,6 +57,22 @@ def test_buckets_join_and_aggregate_without_an_exchange(shuffled_joins, tmp_path
     assert store.load("y", ModelSettings()).count() == len(Y)
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """All rows of one value, and still no task that sorts them all."""
+    kept = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        store, problem = Store(spark, f"file://{tmp_path}/store"), Problem("b.fa", K=3)
+        x = spark.range(0, 200_000, 1, 8).select(F.lit(5).cast("bigint").alias("kmer_id"), F.col("id").alias("isoform_id"), F.rand(1).alias("p"))
+        store.save_bucketed(x, "x", problem, by="kmer_id", buckets=2)
+        back = store.load("x", problem)
+        sizes = [r["n"] for r in back.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 200_000 and max(sizes) < 100_000
+        assert back.agg(F.countDistinct("isoform_id")).first()[0] == 200_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", kept)
+
+
 def total(log):
     return {r["kmer_id"]: r["y"] for r in log.counts().collect()}
 
