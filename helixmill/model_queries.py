@@ -284,7 +284,7 @@ def least_squares_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = small_model(spark, sf_dir)
     solved = solvers.lsqr(model.data)
     start, pull = model.positive(solved), model.data.counts_pull()
-    residual = np.abs(np.round((pull - model.data.normal(solved)) / np.abs(pull).max(), 6))
+    residual = np.abs(np.round((pull - model.data.normal(solved)) / (np.abs(pull).max(initial=0) or 1.0), 6))
     model.close()
     return vector(spark, list(range(model.size)), residual, "residual", 6).withColumn("positive", F.lit(bool((start > 0).all() and abs(start.sum() - 1) < 1e-9)))
 

@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixmill.operators.linalg import triangle
 from helixmill.session import Scratch
 
 #: Isoforms up to which theta is broadcast (16 MB); beyond, it is joined by shuffle.
 BROADCAST = 1_000_000
 #: Entries of a partition, at least.
 ENTRIES = 500_000
+#: Isoforms or observed k-mers, whichever are fewer, up to which least squares are solved at once, and the multiplications this may take.
+COLUMNS, WORK = 1000, 1e11
 
 
 def numbers(spark: SparkSession, **columns: np.ndarray) -> DataFrame:
@@ -44,6 +47,8 @@ class Evaluator:
         seen = y.where("y > 0").select("kmer_id", F.col("y").cast("double").alias("y"))
         kmers = seen.count()
         self.by_isoform = not placed and kmers < min(self.n, BROADCAST)
+        rows, columns = (self.n, kmers) if self.by_isoform else (kmers, self.n)
+        self.narrow = columns <= COLUMNS and rows * columns**2 <= WORK
         joined = x.select("kmer_id", "isoform_id", "p").join(F.broadcast(seen) if self.by_isoform else seen, "kmer_id")
         # By the entries that there can be: each of many evaluations has a task for each partition.
         needed = max(1, kmers * self.n // ENTRIES)
@@ -117,6 +122,36 @@ class Evaluator:
         """X' y."""
         return self.gathered(self.entries.groupBy("isoform_id").agg(F.sum(F.col("p") * F.col("y")).alias("g")))
 
+    def least_squares(self, rounds: int = 3) -> np.ndarray:
+        """The shortest theta with the least sum of (X theta - y)^2, by the R of X, or of X' where entries are by isoform; for ``narrow`` data.
+
+        By k-mer, y is one more column, so that R has all that is needed. By isoform, theta is X'w with X X'w = y, and
+        each further round adds the same for what is left of y.
+        """
+        if not self.by_isoform:
+            entry = F.struct(F.col("isoform_id").cast("bigint").alias("at"), "p")
+            count = F.struct(F.lit(self.n).cast("bigint").alias("at"), F.col("y").alias("p"))
+            both = F.when(F.col("leads"), F.array(entry, count)).otherwise(F.array(entry))
+            rows = self.entries.select(F.col("kmer_id").cast("bigint").alias("row"), F.inline(both).alias("at", "value"))
+            r = triangle(rows, self.n + 1)
+            return np.linalg.lstsq(r[: self.n, : self.n], r[: self.n, self.n], rcond=None)[0]
+        seen = self.entries.groupBy("kmer_id").agg(F.first("y").alias("y")).toArrow().sort_by("kmer_id")  # fewer than isoforms
+        kmers, y = seen["kmer_id"].to_numpy().astype(np.int64), seen["y"].to_numpy()
+        theta, left = np.zeros(self.n), y
+        if not len(kmers):
+            return theta
+        places = numbers(self.spark, kmer_id=kmers, at=np.arange(len(kmers)))
+        rows = self.entries.join(F.broadcast(places), "kmer_id").select(F.col("isoform_id").cast("bigint").alias("row"), "at", F.col("p").alias("value"))
+        _, s, v = np.linalg.svd(triangle(rows, len(kmers)))
+        some = s > len(kmers) * np.finfo(float).eps * s[0]
+        for i in range(rounds):
+            if i:
+                left = y - self.sums(theta).select("kmer_id", "s").toArrow().sort_by("kmer_id")["s"].to_numpy()
+            w = v[some].T @ ((v[some] @ left) / s[some] ** 2)
+            weights = F.broadcast(numbers(self.spark, kmer_id=kmers, w=w))
+            theta += self.gathered(self.entries.join(weights, "kmer_id").groupBy("isoform_id").agg(F.sum(F.col("p") * F.col("w")).alias("g")))
+        return theta
+
 
 class SimplexModel:
     """theta on the simplex, counts normalised, and a prior on theta / length of strength beta - 1."""

@@ -184,7 +184,13 @@ def lbfgs(objective: Objective, start: np.ndarray, iterations: int = 50_000, mem
 
 
 def lsqr(data, iterations: int = 200, tol: float = 1e-10) -> np.ndarray:
-    """Least squares of X theta = y by conjugate gradients on the normal equations; X theta and X'r are joins."""
+    """Least squares of X theta = y: at once where X or X' is narrow, else by conjugate gradients on the normal equations.
+
+    Each of the iterations, so many at most, takes some jobs, as X theta and X'r are joins; columns that are nearly
+    dependent need more iterations than that.
+    """
+    if data.narrow:
+        return data.least_squares()
     theta = np.zeros(data.n)
     residual = data.counts_pull()
     direction, norm = residual.copy(), float(residual @ residual)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from helixmill.operators import counts, lengths, linalg, matrix, metrics, prep, sampling
 from helixmill.plans import solvers
-from helixmill.plans.model import SimplexModel, SoftmaxModel, make_model
+from helixmill.plans.model import Evaluator, SimplexModel, SoftmaxModel, make_model
 from helixmill.plans.simulate import simulate
 
 ISOFORMS = ["AAACAGATCACCCGCT", "TGAGCGGGTTATCTGTT", "AACCGGTTAAACCCGGG"]
@@ -285,3 +285,69 @@ def test_few_entries_have_few_partitions(spark, xy):
         model.close()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def stretched(rows, columns, rank):
+    """A matrix of this rank whose singular values go from 1 down to a hundred-thousandth."""
+    rng = np.random.default_rng(4)
+    left, right = (np.linalg.qr(rng.normal(size=(size, rank)))[0] for size in (rows, columns))
+    return left @ np.diag(np.geomspace(1, 1e-5, rank)) @ right.T
+
+
+def evaluator(spark, dense, y, partitions):
+    entries = [(int(k), int(i), float(dense[k, i])) for k, i in np.ndindex(*dense.shape)]
+    x = spark.createDataFrame(entries, "kmer_id bigint, isoform_id bigint, p double")
+    return Evaluator(x, spark.createDataFrame(list(enumerate(map(int, y))), "kmer_id bigint, y bigint"), dense.shape[1], partitions)
+
+
+@pytest.mark.parametrize("shape, rank, partitions", [((150, 40), 40, 1), ((150, 40), 35, 20), ((30, 90), 30, 20), ((30, 90), 25, 1)])
+def test_least_squares_of_nearly_dependent_columns(spark, shape, rank, partitions):
+    """Iterations stop short of it. In few jobs, by both forms of the entries, over one partition and over rounds."""
+    dense, y = stretched(*shape, rank), np.random.default_rng(5).integers(1, 1000, shape[0])
+    data = evaluator(spark, dense, y, partitions)
+    assert data.by_isoform == (shape[0] < shape[1]) and data.narrow
+    spark.sparkContext.setJobGroup(f"least squares {shape} {rank}", "")
+    got = solvers.lsqr(data)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"least squares {shape} {rank}")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    data.close()
+    want = np.linalg.lstsq(dense, y, rcond=1e-9)[0]
+    assert np.linalg.norm(got - want) < 1e-5 * np.linalg.norm(want)
+    pull = dense.T @ y
+    assert np.abs(pull - dense.T @ (dense @ got)).max() < 1e-9 * np.abs(pull).max()
+    assert 0 < len(jobs) < 30
+
+
+def test_least_squares_by_iterations(spark, monkeypatch):
+    """Beyond the bound on columns."""
+    from helixmill.plans import model as module
+
+    dense, y = np.random.default_rng(6).random((9, 3)), np.arange(1, 10)
+    monkeypatch.setattr(module, "COLUMNS", 2)
+    data = evaluator(spark, dense, y, 2)
+    assert not data.narrow
+    assert solvers.lsqr(data) == pytest.approx(np.linalg.lstsq(dense, y, rcond=None)[0], rel=1e-6)
+    data.close()
+
+
+def test_least_squares_without_counts(spark):
+    data = evaluator(spark, np.ones((2, 3)), [0, 0], None)
+    assert solvers.lsqr(data).tolist() == [0, 0, 0]
+    data.close()
+
+
+def test_triangle(spark):
+    """Blocks that fill several times, a row over two batches, and places that occur twice."""
+    rng = np.random.default_rng(7)
+    dense = rng.normal(size=(500, 7)) * (rng.random((500, 7)) < 0.7)
+    entries = [(int(i), int(j), float(v) / 2) for i, j in zip(*np.nonzero(dense)) for v in [dense[i, j]] * 2]
+    rows = spark.createDataFrame(entries, "row bigint, at bigint, value double")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for parts in (1, 20):
+            r = linalg.triangle(rows.repartition(parts, "row"), 7)
+            np.testing.assert_allclose(r.T @ r, dense.T @ dense, rtol=1e-9, atol=1e-9)
+            assert np.allclose(r, np.triu(r))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
